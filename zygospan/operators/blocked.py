@@ -56,6 +56,11 @@ def prefix_sum(
     )
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate, which has exactly one row."""
+    return df.crossJoin(one_row)
+
+
 def row_numbers(df, by, block, order, out="rn", descending_blocks=False) -> DataFrame:
     return prefix_sum(df, by, block, order, F.lit(1).cast("long"), out, descending_blocks)
 
@@ -92,10 +97,10 @@ def exact_quantiles(
     Works on one row per distinct value, ranked in blocks, so no group of values
     is ever held by one task.
     """
-    by = list(by)
+    by, groups = ["_all", *by], list(by)
     weight = F.lit(1).cast("long") if weight is None else weight
     counts = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
         .groupBy(*by, value).agg(F.sum(weight).alias("_cnt"))
     )
     cum = prefix_sum(counts, by, value_block, [F.col(value).asc()], F.col("_cnt"), "_hi")
@@ -106,9 +111,7 @@ def exact_quantiles(
     )
     lo_rank, hi_rank = F.floor("_h") + 1, F.ceil("_h") + 1
     first, last = F.col("_hi") - F.col("_cnt") + 1, F.col("_hi")
-    joined = (
-        cum.join(F.broadcast(totals), by) if by else cum.crossJoin(F.broadcast(totals))
-    )
+    joined = cum.join(totals, by)
     hit_lo = (first <= lo_rank) & (lo_rank <= last)
     hit_hi = (first <= hi_rank) & (hi_rank <= last)
     v = F.col(value).cast("double")
@@ -121,7 +124,7 @@ def exact_quantiles(
             F.max("_h").alias("_h"),
         )
         .select(
-            *by, "prob",
+            *groups, "prob",
             (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("quantile"),
         )
     )
