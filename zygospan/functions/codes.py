@@ -12,7 +12,7 @@ def dominant(n0: Column, n1: Column) -> Column:
 
 def purity(n0: Column, n1: Column) -> Column:
     total = n0 + n1
-    return F.when(total > 0, F.greatest(n0, n1) / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.try_divide(F.greatest(n0, n1), total)).otherwise(F.lit(0.0))
 
 
 def trace_code(n0: Column, n1: Column) -> Column:
@@ -26,7 +26,7 @@ def trace_code(n0: Column, n1: Column) -> Column:
 
 def agreement_code(n_agree: Column, n_disagree: Column) -> Column:
     total = n_agree + n_disagree
-    share = n_agree / total
+    share = F.try_divide(n_agree, total)
     return (
         F.when(total < 5, ".")
         .when(share >= 0.95, "A")

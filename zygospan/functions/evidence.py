@@ -65,8 +65,8 @@ def length_to_posterior(
     The posterior is monotone in the number of blocks, so it inverts exactly.
     """
     match = F.greatest(F.lit(1e-12), 1 - mean_2pq)
-    blocks = _log_threshold(prior, target, s) / F.ln(match)
-    length = blocks * s.block_cm / rate
+    blocks = F.try_divide(_log_threshold(prior, target, s), F.ln(match))
+    length = F.try_divide(blocks * s.block_cm, rate)
     return (
         F.when(rate <= 0, F.lit(None).cast("double"))
         .when((match < 1) & (blocks <= 1), F.lit(lo))
@@ -78,9 +78,9 @@ def min_callable_length(rate, hbar, prior, target: float | None = None, s: Setti
     """Shortest run (Mb) whose block posterior reaches the target; inf if none."""
     target = s.target_posterior if target is None else target
     match = F.greatest(F.lit(s.homozygosity_floor), hbar)
-    blocks = _log_threshold(prior, target, s) / F.ln(match)
+    blocks = F.try_divide(_log_threshold(prior, target, s), F.ln(match))
     return F.when((rate <= 0) | (match >= 1), F.lit(INF)).otherwise(
-        F.greatest(blocks * s.block_cm / rate, s.block_cm / rate)
+        F.try_divide(F.greatest(blocks, F.lit(1.0)) * s.block_cm, rate)
     )
 
 

@@ -66,7 +66,7 @@ def curve_from_partials(partials: DataFrame, exposure: DataFrame, by: Sequence[s
     """
     by = list(by)
     cells = exposure.join(partials.select(*by).distinct(), by, "left_semi").withColumn(
-        "k", F.explode(F.sequence(F.lit(0), F.lit(s.grid_points - 1))).cast("long")
+        "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s.grid_points - 1).cast("long")))
     )
     filled = cells.join(partials, [*by, "k"], "left").select(
         *by, "k", "exposure_bp", F.coalesce("cnt", F.lit(0)).alias("_c"), F.coalesce("sum_bp", F.lit(0)).alias("_s")

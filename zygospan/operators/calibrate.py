@@ -45,7 +45,7 @@ def truth_lstar(
         F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_t")
     )
     # A threshold between two cells calls the same trials as the next cell's own.
-    grid = trials.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("long"))
+    grid = trials.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
     above = W.partitionBy(*by).orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
     full = grid.join(cells, [*by, "k"], "left").select(
         *by, "k", F.sum(F.coalesce("_n", F.lit(0))).over(above).alias("calls"),

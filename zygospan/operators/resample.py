@@ -53,7 +53,7 @@ def haplotype_pairs(indexed: DataFrame, by: Sequence[str], unit: str, n_pairs: i
     by = list(by)
     n = F.col("n_units")
     base = indexed.select(*by, "n_units").distinct().filter(n >= 2)
-    pairs = base.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(n_pairs - 1))).cast("long"))
+    pairs = base.withColumn("pair", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_pairs - 1).cast("long"))))
     i = F.pmod(draw(F.col("pair"), F.lit(1)), n)
     j = F.pmod(i + 1 + F.pmod(draw(F.col("pair"), F.lit(2)), n - 1), n)
     pairs = pairs.select(
@@ -151,7 +151,7 @@ def labelled_trials(
     base = markers.groupBy(*by).agg(F.max("n_units").alias("_m")).join(
         tests.groupBy("pop").agg(F.max("n_units").alias("_n")), "pop"
     ).filter(F.col("_n") >= 2)
-    trials = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).cast("long"))
+    trials = base.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trials - 1).cast("long"))))
     i = F.pmod(d(1), F.col("_n"))
     trials = trials.select(
         *by, "t", F.pmod(d(2), F.col("_m")).alias("_mi"), i.alias("_i"),
