@@ -68,9 +68,9 @@ CM = """endcm as (select chrom, max(cm_start + rate) as e from cum group by chro
   from common c left join cum u on u.chrom = c.chrom and u.window_start = c.pos // 1000000 * 1000000 join endcm e on e.chrom = c.chrom),
  mk as (select pop, chrom, pos, maf, cm, cast(blkf as bigint) as blk from cmark)"""
 THIN = CM + """,
- numbered as (select *, row_number() over (partition by pop, chrom, blk order by pos) - 1 as at, count(*) over (partition by pop, chrom, blk) as n from mk),
- thin as (select pop, chrom, pos, blk, case when n <= 25 then at else k.i end as slot from numbered left join (select unnest(range(25)) as i) k
-  on n > 25 and k.i * n // 25 = at where n <= 25 or k.i is not null)"""
+ numbered as (select *, row_number() over (partition by pop, chrom, blk order by pos) - 1 as ord, count(*) over (partition by pop, chrom, blk) as n from mk),
+ thin as (select pop, chrom, pos, blk, case when n <= 25 then ord else k.i end as slot from numbered left join (select unnest(range(25)) as i) k
+  on n > 25 and k.i * n // 25 = ord where n <= 25 or k.i is not null)"""
 HOM = THIN + """,
  hs as (select t.pop, t.chrom, t.blk, h.sample, h.hap, string_agg(t.slot || ':' || h.allele, ',' order by t.slot) as hs
   from thin t join haps h on h.pop = t.pop and h.chrom = t.chrom and h.pos = t.pos group by 1, 2, 3, 4, 5),
@@ -440,12 +440,12 @@ TRIO_SCORE = f"""cv as (select i.trio, i.chrom, i.start_pos, i.len_bp, avg(h.rat
  sc as (select cv.*, 2.1 * case when rate <= 0 or greatest(hbar, 1e-4) >= 1 then 'inf'::double else greatest(ln({THR}) / ln(greatest(hbar, 1e-4)) * 0.5 / rate, 0.5 / rate) end as lstar,
   case when rate > 0 and hbar > 0 then 0.0625*{EMISSION}/(0.0625*{EMISSION} + 0.9375*pow(greatest(hbar, 1e-4), greatest(1.0, len_bp/1e6*rate/0.5))) else 0.0625 end as posterior from cv),
  rep as (select sc.*, md.n_markers, case when n_inconsistent / n_markers > 0.03 then 'POSSIBLE_DELETION' else 'ok' end as deletion_flag,
-  case when len_bp/1e6 >= lstar then 'autozygous' when len_bp/1e6 >= 0.7*lstar then 'borderline' else 'background' end as call from sc join md using (trio, chrom, start_pos))"""
+  case when sc.len_bp/1e6 >= lstar then 'autozygous' when sc.len_bp/1e6 >= 0.7*lstar then 'borderline' else 'background' end as call from sc join md using (trio, chrom, start_pos))"""
 
 
 @check("d33_observed_autozygosity", sql(f"""with {TCALLS}, {REPORT}, {TRIO_SCORE}, sp as (select trio, cast(sum(x) as bigint) as span_bp from (select trio, chrom, max(pos) - min(pos) as x from trio group by 1, 2) group by 1)
  select sp.trio, sp.span_bp, cast(coalesce(sum(case when call = 'autozygous' and deletion_flag = 'ok' then len_bp end), 0) as bigint) as auto_bp, round(coalesce(sum(case when call = 'autozygous' and deletion_flag = 'ok' then len_bp end), 0) / sp.span_bp + 1e-9, 6) as f_obs,
- case when sp.trio % 8 = 3 then 0.0625 when sp.trio % 8 = 7 then 0.25 end as f_expected from sp left join rep on rep.trio = sp.trio group by 1, 2""", "trio", "hwin"))
+ case when sp.trio % 8 = 3 then 0.0625::double when sp.trio % 8 = 7 then 0.25::double end as f_expected from sp left join rep on rep.trio = sp.trio group by 1, 2""", "trio", "hwin"))
 def _(v):
     report = PT.roh_report(v.trio, v.hbar_windows(), DEFAULTS.prior)
     out = T.observed_autozygosity(report, B.spans(v.trio, ["trio"]), ["trio"])

@@ -1 +1 @@
-from checks import aggregates, joins, scans  # noqa: F401
+from checks import aggregates, joins, scalars, scans, sequences  # noqa: F401

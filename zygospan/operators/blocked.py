@@ -40,10 +40,10 @@ def prefix_sum(
     before = W.partitionBy(*by).orderBy(blk_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(c).alias(f"_o_{c}") for c in by],
-        F.col("_blk").alias("_o_blk"),
+        F.col("_blk").alias("_at_block"),
         F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"),
     )
-    cond = F.col("_blk").eqNullSafe(F.col("_o_blk"))
+    cond = F.col("_blk").eqNullSafe(F.col("_at_block"))
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     total = F.col("_loc") + F.col("_off")
@@ -52,7 +52,7 @@ def prefix_sum(
     return (
         scanned.join(offsets, cond)
         .withColumn(out, total)
-        .drop("_blk", "_val", "_loc", "_off", "_o_blk", *[f"_o_{c}" for c in by])
+        .drop("_blk", "_val", "_loc", "_off", "_at_block", *[f"_o_{c}" for c in by])
     )
 
 

@@ -39,19 +39,33 @@ def _step(vec: np.ndarray, stay: float, switch: float, join) -> np.ndarray:
                      join(vec[..., 0] + switch, vec[..., 1] + stay)], axis=-1)
 
 
+def _sites(pdf: pd.DataFrame, rate: float, eps: float):
+    """Plain lists for the scans: odds of hit or miss per state and log costs."""
+    stay, switch = _transitions(np.diff(pdf["pos"].to_numpy()), rate)
+    emit = _emissions(pdf, eps)
+    return np.exp(emit).tolist(), emit.tolist(), np.exp(switch).tolist(), stay.tolist(), switch.tolist()
+
+
 def _transfer(pdf: pd.DataFrame, rate: float, eps: float) -> pd.DataFrame:
     """Block matrices from the state at its first to the state at its last site."""
     pdf = pdf.sort_values("pos")
-    pos, emit = pdf["pos"].to_numpy(), _emissions(pdf, eps)
-    stay, switch = _transitions(np.diff(pos), rate)
-    out = {}
-    for name, join in (("s", np.logaddexp), ("v", np.maximum)):
-        mat = np.array([[emit[0, 0], -np.inf], [-np.inf, emit[0, 1]]])
-        for i in range(1, len(pos)):
-            mat = _step(mat, stay[i - 1], switch[i - 1], join) + emit[i]
-        out.update({f"{name}{k}": float(mat[int(k[0]), int(k[1])]) for k in _ORDER})
+    prob, emit, theta, stay, switch = _sites(pdf, rate, eps)
+    sums, best = [], []
+    for first in (0, 1):
+        a, b, scale = (prob[0][0], 0.0, 0.0) if first == 0 else (0.0, prob[0][1], 0.0)
+        x, y = (emit[0][0], -np.inf) if first == 0 else (-np.inf, emit[0][1])
+        for i, t in enumerate(theta, 1):
+            a, b = (a * (1 - t) + b * t) * prob[i][0], (a * t + b * (1 - t)) * prob[i][1]
+            total = a + b
+            a, b, scale = a / total, b / total, scale + np.log(total)
+            s, w = stay[i - 1], switch[i - 1]
+            x, y = max(x + s, y + w) + emit[i][0], max(x + w, y + s) + emit[i][1]
+        with np.errstate(divide="ignore"):
+            sums.append((np.log([a, b]) + scale).tolist())
+        best.append([x, y])
+    out = {f"{k}{i}{j}": float(m[i][j]) for k, m in (("s", sums), ("v", best)) for i in (0, 1) for j in (0, 1)}
     head = {c: pdf[c].iloc[0] for c in [*KEYS, "_blk"]}
-    return pd.DataFrame([{**head, "first_pos": pos[0], "last_pos": pos[-1], **out}])
+    return pd.DataFrame([{**head, "first_pos": pdf["pos"].iloc[0], "last_pos": pdf["pos"].iloc[-1], **out}])
 
 
 def _chain(pdf: pd.DataFrame, rate: float) -> pd.DataFrame:
@@ -97,30 +111,31 @@ def _chain(pdf: pd.DataFrame, rate: float) -> pd.DataFrame:
 def _solve(pdf: pd.DataFrame, rate: float, eps: float) -> pd.DataFrame:
     """Posteriors and best path inside one block, given its end messages."""
     pdf = pdf.sort_values("pos").reset_index(drop=True)
-    pos, emit, n = pdf["pos"].to_numpy(), _emissions(pdf, eps), len(pdf)
-    stay, switch = _transitions(np.diff(pos), rate)
-    fwd, best, bwd = np.empty((n, 2)), np.empty((n, 2)), np.empty((n, 2))
-    back = np.zeros((n, 2), dtype=int)
-    fwd[0] = pdf.loc[0, ["in_s0", "in_s1"]].to_numpy(dtype=float) + emit[0]
-    best[0] = pdf.loc[0, ["in_v0", "in_v1"]].to_numpy(dtype=float) + emit[0]
-    bwd[-1] = pdf.loc[0, ["out_0", "out_1"]].to_numpy(dtype=float)
+    prob, emit, theta, stay, switch = _sites(pdf, rate, eps)
+    n, head = len(pdf), pdf.iloc[0]
+    share = lambda u, v: 1.0 / (1.0 + np.exp(v - u))
+    a = share(head["in_s0"] + emit[0][0], head["in_s1"] + emit[0][1])
+    x, y = head["in_v0"] + emit[0][0], head["in_v1"] + emit[0][1]
+    fwd, back = [a], [(0, 0)]
     for i in range(1, n):
-        fwd[i] = _step(fwd[i - 1], stay[i - 1], switch[i - 1], np.logaddexp) + emit[i]
-        for to in (0, 1):
-            cost = (stay[i - 1], switch[i - 1]) if to == 0 else (switch[i - 1], stay[i - 1])
-            from0, from1 = best[i - 1, 0] + cost[0], best[i - 1, 1] + cost[1]
-            back[i, to] = 0 if from0 >= from1 else 1
-            best[i, to] = max(from0, from1) + emit[i, to]
-    for i in range(n - 2, -1, -1):
-        bwd[i] = _step(bwd[i + 1] + emit[i + 1], stay[i], switch[i], np.logaddexp)
-    total = fwd + bwd
-    total = total - np.logaddexp(total[:, 0], total[:, 1])[:, None]
-    state = np.zeros(n, dtype=int)
-    state[-1] = int(pdf.loc[0, "end_state"])
-    for i in range(n - 2, -1, -1):
-        state[i] = back[i + 1, state[i + 1]]
+        t, s, w = theta[i - 1], stay[i - 1], switch[i - 1]
+        u, v = (a * (1 - t) + (1 - a) * t) * prob[i][0], (a * t + (1 - a) * (1 - t)) * prob[i][1]
+        a = u / (u + v)
+        fwd.append(a)
+        back.append((0 if x + s >= y + w else 1, 0 if x + w >= y + s else 1))
+        x, y = max(x + s, y + w) + emit[i][0], max(x + w, y + s) + emit[i][1]
+    b, state = share(head["out_0"], head["out_1"]), int(head["end_state"])
+    post, path = [0.0] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        if i < n - 1:
+            t = theta[i]
+            u, v = b * prob[i + 1][0], (1 - b) * prob[i + 1][1]
+            u, v = u * (1 - t) + v * t, u * t + v * (1 - t)
+            b, state = u / (u + v), back[i + 1][state]
+        hit, miss = fwd[i] * b, (1 - fwd[i]) * (1 - b)
+        post[i], path[i] = hit / (hit + miss), state
     out = pdf[[*KEYS, "_blk", "pos"]].copy()
-    out["p0"], out["p1"], out["state"] = np.exp(total[:, 0]), np.exp(total[:, 1]), state
+    out["p0"], out["p1"], out["state"] = post, 1 - np.array(post), path
     return out
 
 
@@ -135,6 +150,9 @@ def transmission_states(
     eps = s.geno_error
     key_types = ", ".join(f"{c} {sites.schema[c].dataType.simpleString()}" for c in KEYS)
     rows = sites.select(*KEYS, "pos", "p0", "p1", "observed").withColumn("_blk", F.floor(F.col("pos") / block))
+    # A fixed partition count: sizing by bytes would put this CPU-bound work on few tasks.
+    parts = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *KEYS, "_blk")
     mats = ", ".join(f"{k}{x} double" for k in "sv" for x in _ORDER)
     blocks = rows.groupBy(*KEYS, "_blk").applyInPandas(
         lambda pdf: _transfer(pdf, rate, eps), f"{key_types}, _blk long, first_pos long, last_pos long, {mats}"
