@@ -27,6 +27,9 @@ HET = """het as (select pop, chrom, pos // 1000000 * 1000000 as window_start, co
  from site_freq where afm > 0 and afm < 1000 group by 1, 2, 3)"""
 
 
+HETW_RATES = HET + ", hw as (select h.*, coalesce(r.rate, 0.0) as rate from het h left join rates r using (chrom, window_start))"
+
+
 @check("d01_window_heterozygosity", sql(f"with {HET} select pop, chrom, window_start, n_variants, round(mean_2pq + 1e-9, 6) as mean_2pq from het", "site_freq"))
 def _(v):
     return D.window_heterozygosity(v.site_freq).select("pop", "chrom", "window_start", "n_variants", rd("mean_2pq"))

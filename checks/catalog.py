@@ -1 +1 @@
-from checks import aggregates, joins, scalars, scans, sequences  # noqa: F401
+from checks import aggregates, jobs, joins, scalars, scans, sequences  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.aggregates import HET, blocks
+from checks.aggregates import HETW_RATES
 from checks.joins import INTERVALS_SQL, intervals
 from checks.registry import check
 from checks.scans import LOCI_SQL, loci
@@ -23,7 +23,6 @@ def het_windows(v):
     return w.withColumn("rate", F.coalesce("rate", F.lit(0.0)))
 
 
-HETW = HET + ", hw as (select h.*, coalesce(r.rate, 0.0) as rate from het h left join rates r using (chrom, window_start))"
 
 
 @check("g01_haldane", sql("select chrom, window_start, round(0.5*(1-exp(-2*rate/100)) + 1e-9, 6) as theta, round(greatest(least(0.5*(1-exp(-2*(50000*(rate/1e8)))), 0.5-1e-12), 1e-15)*1000 + 1e-9, 6) as switch_per_mille from rates", "rates"))
@@ -31,7 +30,7 @@ def _(v):
     return v.rates.withColumn("theta", E.haldane(F.col("rate") / 100)).withColumn("switch_per_mille", E.switch_probability(F.lit(50000.0), F.col("rate")) * 1000).select("chrom", "window_start", rd("theta"), rd("switch_per_mille"))
 
 
-@check("g02_legacy_posterior", sql(f"""with {HETW} select pop, chrom, window_start, p.prior, l.length_mb, round(p.prior*{EMISSION}/(p.prior*{EMISSION} + (1-p.prior)*pow(greatest(1e-12, 1-mean_2pq), greatest(1.0, l.length_mb*rate/0.5))) + 1e-9, 6) as posterior
+@check("g02_legacy_posterior", sql(f"""with {HETW_RATES} select pop, chrom, window_start, p.prior, l.length_mb, round(p.prior*{EMISSION}/(p.prior*{EMISSION} + (1-p.prior)*pow(greatest(1e-12, 1-mean_2pq), greatest(1.0, l.length_mb*rate/0.5))) + 1e-9, 6) as posterior
  from hw cross join (select unnest([0.0625, 0.005]::double[]) as prior) p cross join (select unnest([1.5, 5.0, 10.0]::double[]) as length_mb) l""", "site_freq", "rates"))
 def _(v):
     grid = S.with_scenarios(het_windows(v), prior=[0.0625, 0.005], length_mb=[1.5, 5.0, 10.0])
@@ -39,7 +38,7 @@ def _(v):
     return grid.withColumn("posterior", post).select("pop", "chrom", "window_start", "prior", "length_mb", rd("posterior"))
 
 
-@check("g03_length_to_posterior", sql(f"""with {HETW}, x as (select *, ln(0.0625*{EMISSION}*(1-t)/(t*0.9375)) / ln(1-mean_2pq) as q from hw cross join (select unnest([0.5, 0.95, 0.99]::double[]) as t) t)
+@check("g03_length_to_posterior", sql(f"""with {HETW_RATES}, x as (select *, ln(0.0625*{EMISSION}*(1-t)/(t*0.9375)) / ln(1-mean_2pq) as q from hw cross join (select unnest([0.5, 0.95, 0.99]::double[]) as t) t)
  select pop, chrom, window_start, t as target, round(case when rate <= 0 then null when q <= 1 then 0.1 when q*0.5/rate <= 50 then greatest(q*0.5/rate, 0.1) end + 1e-9, 6) as length_mb from x""", "site_freq", "rates"))
 def _(v):
     w = het_windows(v)
