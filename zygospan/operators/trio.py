@@ -46,25 +46,25 @@ def phase_consistency(trio: DataFrame, by: Sequence[str] = ("trio",)) -> DataFra
     )
 
 
-def _side(trio: DataFrame, side: dict, deterministic: bool) -> DataFrame:
-    informative = trio.filter(F.col(side["p0"]) != F.col(side["p1"]))
-    if deterministic:
-        informative = informative.filter(F.col(side["o0"]) == F.col(side["o1"]))
-    label = G.transmitted(F.col(side["child"]), F.col(side["p0"]), F.col(side["p1"]))
-    return informative.select(
-        "trio", F.lit(side["parent"]).alias("parent"), "chrom", "pos",
-        F.col(side["p0"]).alias("p0"), F.col(side["p1"]).alias("p1"),
-        F.col(side["child"]).alias("observed"), label.alias("label"),
-    )
-
-
 def informative_sites(trio: DataFrame, deterministic: bool = False) -> DataFrame:
     """Heterozygous-parent sites of both parents with the transmitted label.
 
     ``deterministic`` also asks for a homozygous other parent. Inconsistent sites
-    keep a null label.
+    keep a null label. Both parents come from one pass over the trio.
     """
-    return _side(trio, PATERNAL, deterministic).unionByName(_side(trio, MATERNAL, deterministic))
+    fields = ("p0", "p1", "o0", "o1")
+    sides = F.array(*[
+        F.struct(F.lit(x["parent"]).alias("parent"), *[F.col(x[f]).alias(f) for f in fields], F.col(x["child"]).alias("observed"))
+        for x in (PATERNAL, MATERNAL)
+    ])
+    useful = lambda x: x["p0"] != x["p1"]
+    if deterministic:
+        useful = lambda x: (x["p0"] != x["p1"]) & (x["o0"] == x["o1"])
+    rows = trio.select("trio", "chrom", "pos", F.explode(F.filter(sides, useful)).alias("_s"))
+    label = G.transmitted(F.col("_s.observed"), F.col("_s.p0"), F.col("_s.p1"))
+    return rows.select(
+        "trio", "_s.parent", "chrom", "pos", "_s.p0", "_s.p1", "_s.observed", label.alias("label")
+    )
 
 
 def trace_counts(sites: DataFrame) -> DataFrame:
