@@ -18,7 +18,7 @@ from zygospan.operators import platform as P
 from zygospan.operators import resample as R
 from zygospan.operators import trio as T
 from zygospan.operators.runs import call_runs, focal_runs, label_runs
-from zygospan.plans import atlas as PA
+from zygospan.operators.sparse import sparse_runs
 from zygospan.plans import background as PB
 
 EV = """ev as (select user_id, min(epoch_us(ts)) as us, event_type, value from events group by user_id, ts, event_type, value),
@@ -70,6 +70,14 @@ def _(v):
     return call_runs(v.calls, ["sample", "chrom"], gaps=(0, 1, 2))
 
 
+@check("e05_sparse_runs", sql("select sample, chrom, cast(gap as int) as gap, start_pos, end_pos, n_markers, len_bp from runs3", "runs3"))
+def _(v):
+    """The same runs from heterozygous rows only."""
+    chroms = v.members.select("sample", "axis").join(v.axis.select("axis", "chrom").distinct(), "axis")
+    runs = sparse_runs(v.hets.drop("pop"), chroms, v.axis, ["sample"], ["axis", "chrom"], (0, 1, 2))
+    return runs.drop("axis")
+
+
 @check("e05_gap_tolerant_runs_events", "with e1 as (select user_id, epoch_us(ts) as pos, min(event_type) <> 'error' as hom from events group by user_id, ts),\n"
        + runs_sql("er", "e1", "user_id", "1").replace("<= 1000000", "<= 86400000000") + " select user_id, start_pos, end_pos, n_markers from er")
 def _(v):

@@ -139,6 +139,25 @@ class Views:
             F.concat(F.lit("NS=1"), *[af(p) for p in range(5)]).alias("info"), "af_milli",
         )
 
+    @cached_property
+    def axis(self) -> DataFrame:
+        """Marker axes: families that start at the same region share one."""
+        from zygospan.operators.sparse import index_axis
+
+        starts = self.members.join(self.typed, "sample").select("axis", "region").distinct()
+        return index_axis(self.markers.join(starts, "region").select("axis", "chrom", "pos"), ["axis", "chrom"])
+
+    @cached_property
+    def members(self) -> DataFrame:
+        n = self.markers.agg((F.max("region") + 1).alias("n_reg"))
+        return attach(self.panel, n).select("sample", "pop", F.pmod(F.floor(F.col("sample") / 4) * REGIONS, F.col("n_reg")).alias("axis"))
+
+    @cached_property
+    def hets(self) -> DataFrame:
+        """Heterozygous calls as marker numbers."""
+        rows = self.genotypes.filter(F.col("a0") != F.col("a1")).select("sample", "chrom", "pos").join(self.members, "sample")
+        return rows.join(self.axis, ["axis", "chrom", "pos"]).select("pop", "sample", "axis", "chrom", "idx")
+
     @cached_property
     def haplotypes(self) -> DataFrame:
         """``pop, sample, hap, chrom, pos, allele``."""
