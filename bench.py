@@ -23,6 +23,7 @@ from zygospan.operators import maps as M
 from zygospan.operators import resample as R
 from zygospan.operators import trio as T
 from zygospan.operators.runs import call_runs, label_runs
+from zygospan.operators.sparse import sparse_runs
 from zygospan.plans import atlas as PA
 from zygospan.plans import background as PB
 from zygospan.plans import scoring as PS
@@ -47,6 +48,11 @@ class Stored(Views):
         return PB.Null(self.spark.read.parquet(f"{self.store}/segments"), self.spark.read.parquet(f"{self.store}/burden"))
 
 
+def sparse(v):
+    chroms = v.members.select("pop", "sample", "axis").join(v.axis.select("axis", "chrom").distinct(), "axis")
+    return sparse_runs(v.hets, chroms, v.axis, ["pop", "sample"], ["axis", "chrom"], (1,), min_markers=2)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -82,6 +88,7 @@ def main() -> None:
     timed("ingest_genotypes", lambda: raw.genotypes.write.parquet(f"{store}/genotypes"), True)
     timed("e05_runs", run(lambda: call_runs(v.calls, ["pop", "sample", "chrom"])))
     timed("e05_runs_three_gaps", run(lambda: call_runs(v.calls, ["pop", "sample", "chrom"], gaps=(0, 1, 2))))
+    timed("e05_sparse_runs", run(lambda: sparse(v)))
     timed("e01_label_runs_events", run(lambda: label_runs(sequences.event_trace(v), ["user_id"], "us", "label", 86_400_000_000)))
     timed("j11_segments_and_burden", store_null, True)
     timed("d08_d09_curve_lstar", run(lambda: PB.background_summary(v.null())))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
 from zygospan.functions import genotype as G
-from zygospan.operators.blocked import row_numbers
+from zygospan.operators.blocked import broadcast_checked, row_numbers
 
 
 def window_heterozygosity(sites: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -71,11 +71,12 @@ def haplotype_codes(thinned: DataFrame, haplotypes: DataFrame, keys: Sequence[st
     """One integer per haplotype and block: the base-3 number of its alleles.
 
     Additive, so it combines before the shuffle; the digit 2 marks a missing allele.
+    Thinning drops nearly all markers, so the kept ones travel to the haplotypes.
     """
     digit = F.coalesce(F.col("allele"), F.lit(2)) * F.pow(F.lit(3.0), F.col("slot")).cast("long")
     on = [c for c in ("pop", "chrom", "pos") if c in thinned.columns and c in haplotypes.columns]
     return (
-        thinned.join(haplotypes, on).groupBy(*keys, *unit)
+        haplotypes.join(broadcast_checked(thinned, 2_000_000), on).groupBy(*keys, *unit)
         .agg(F.sum(digit.cast("long")).alias("code"))
     )
 

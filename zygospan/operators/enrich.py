@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import genotype as G
-from zygospan.operators.blocked import attach, exact_quantiles, prefix_sum
+from zygospan.operators.blocked import attach, broadcast_checked, exact_quantiles, prefix_sum
 
 _CHUNK = 4096
 
@@ -47,7 +47,7 @@ def binomial_tail(tests: DataFrame, keys: Sequence[str], k: str = "k", n: str =
 
 def locus_rates(loci: DataFrame, rates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Rate of the window at each locus midpoint; null when the window is unknown."""
-    table = rates.select("chrom", F.col("window_start").alias("_ws"), "rate")
+    table = broadcast_checked(rates.select("chrom", F.col("window_start").alias("_ws"), "rate"))
     return loci.withColumn("_ws", G.window_start(F.col("midpoint"), s.window_bp)).join(
         table, ["chrom", "_ws"], "left"
     ).drop("_ws")

@@ -37,12 +37,14 @@ def call_runs(
     gaps: Sequence[int] = (1,),
     max_gap: int = DEFAULTS.max_gap_bp,
     block: int = DEFAULTS.scan_block_bp,
+    block_col: str | None = None,
 ) -> DataFrame:
     """Maximal homozygous runs that bridge up to ``gap`` consecutive mismatches.
 
     Bridging counts markers; islands at the ends of a key are bridged too. A run
     breaks where neighbouring markers lie more than ``max_gap`` apart. Returns
     ``keys, gap, start_pos, end_pos, n_markers, len_bp`` for every gap tolerance.
+    ``block_col`` names a stored block number of a table clustered by keys and block.
     """
     keys = list(keys)
     depth = max(gaps)
@@ -50,7 +52,7 @@ def call_runs(
     rows = calls.select(
         *keys, F.col(pos).alias("_p"),
         F.when(F.col(hom), F.lit(0)).otherwise(F.lit(1)).alias("_h"),
-        F.floor(F.col(pos) / block).alias("_blk"),
+        (F.floor(F.col(pos) / block) if block_col is None else F.col(block_col)).alias("_blk"),
     )
     w = W.partitionBy(*keys, "_blk").orderBy("_p")
     before = _het_reach(lambda k: F.lag("_h", k, 2).over(w), depth)

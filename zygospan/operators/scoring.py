@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import codes as C
 from zygospan.functions import evidence as E
-from zygospan.operators.blocked import attach
+from zygospan.operators.blocked import attach, broadcast_checked
 
 
 def median_rate(rates: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def interval_rates(intervals: DataFrame, rates: DataFrame, key: str, s: Settings
     bins = F.explode(F.when(hi >= lo, F.sequence(lo, hi)))
     touched = intervals.select(key, "chrom", bins.alias("_b")).withColumn("window_start", F.col("_b") * w)
     local = (
-        touched.join(rates.filter(F.col("rate") > 0), ["chrom", "window_start"])
+        touched.join(broadcast_checked(rates.filter(F.col("rate") > 0)), ["chrom", "window_start"])
         .groupBy(key).agg(F.avg("rate").alias("_local"))
     )
     return attach(intervals.join(local, key, "left"), median_rate(rates)).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from zygospan.operators import background as B
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
 from zygospan.operators.runs import call_runs, keep_segments
+from zygospan.sources import variants as V
+from zygospan.sources.sinks import write_partitions
 
 SAMPLE = ["pop", "sample"]
 
@@ -35,13 +37,47 @@ def homozygosity_calls(genotypes: DataFrame, members: DataFrame, common: DataFra
     return mine.select("pop", "sample", "chrom", "pos", hom.alias("hom")).filter(F.col("hom").isNotNull())
 
 
-def sample_null(calls: DataFrame, gaps: Sequence[int] = (1,), keys: Sequence[str] = SAMPLE, s: Settings = DEFAULTS) -> Null:
-    """Kept segments of every sample and the burden at the first gap tolerance."""
+def calls_from_variants(
+    variants: DataFrame, names: Sequence[str], members: Mapping[str, str], s: Settings = DEFAULTS, missing: str = "drop"
+) -> DataFrame:
+    """Homozygosity calls straight from cohort lines, without any shuffle.
+
+    Frequencies are judged once per site; a sample's field is only unpacked where
+    the site is common in its population. ``members`` maps sample to population.
+    """
+    pops = sorted(set(members.values()))
+    common = F.array_compact(F.array(*[
+        F.when(G.is_common(G.info_value(F.col("info"), f"AF_{p}"), s.maf_min), F.lit(p)) for p in pops
+    ]))
+    index = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(n).alias("sample"), F.lit(members[n]).alias("pop"))
+        for i, n in enumerate(names) if n in members
+    ])
+    sites = V.snvs(variants).withColumn("_common", common).filter(F.size("_common") > 0)
+    mine = F.filter(index, lambda x: F.array_contains(F.col("_common"), x["pop"]))
+    rows = sites.select("chrom", "pos", F.split("gts", "\t").alias("_g"), F.explode(mine).alias("_s"))
+    gt = F.expr("get(_g, _s.i)")
+    hom = G.is_homozygous(F.substring(gt, 1, 1).try_cast("int"), F.substring(gt, 3, 1).try_cast("int"), missing)
+    return rows.select("_s.pop", "_s.sample", "chrom", "pos", hom.alias("hom")).filter(F.col("hom").isNotNull())
+
+
+def sample_null(
+    calls: DataFrame, gaps: Sequence[int] = (1,), keys: Sequence[str] = SAMPLE, s: Settings = DEFAULTS,
+    store: str | None = None,
+) -> Null:
+    """Kept segments of every sample and the burden at gap tolerance 1.
+
+    With ``store``, segments are written there by chromosome and read back, so
+    every later curve, screen and bootstrap starts from the stored table.
+    """
     keys = list(keys)
-    runs = call_runs(calls, [*keys, "chrom"], gaps=gaps, max_gap=s.max_gap_bp, block=s.scan_block_bp)
+    runs = keep_segments(call_runs(calls, [*keys, "chrom"], gaps=gaps, max_gap=s.max_gap_bp, block=s.scan_block_bp), s)
+    if store is not None:
+        write_partitions(runs, store)
+        runs = calls.sparkSession.read.schema(runs.schema).parquet(store)
     base = 1 if 1 in gaps else gaps[0]
     burden = B.sample_burden(runs.filter(F.col("gap") == base), B.spans(calls, keys), keys, s)
-    return Null(keep_segments(runs, s), burden)
+    return Null(runs, burden)
 
 
 def background_curves(null: Null, by: Sequence[str] = ("pop",), s: Settings = DEFAULTS) -> DataFrame:
@@ -128,7 +164,7 @@ def platform_sensitivity(calls: DataFrame, selections: DataFrame, span: DataFram
     keys = ["platform", "pop", "sample"]
     runs = call_runs(on, [*keys, "chrom"], gaps=(s.gap_tol,), max_gap=s.max_gap_bp, block=s.scan_block_bp)
     typed = on.select(*keys).distinct().join(span, SAMPLE)
-    return Null(keep_segments(runs, s), B.sample_burden(runs, typed, keys, s))
+    return Null(keep_segments(runs, s), B.sample_burden(keep_segments(runs, s), typed, keys, s))
 
 
 def rate_binned(

@@ -35,18 +35,19 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("chrom",)) -
     )
 
 
+def write_clustered(df: DataFrame, table: str, keys: Sequence[str], buckets: int, block_bp: int, path: str) -> None:
+    """Bucket calls by key and position block so later run scans need no first shuffle.
+
+    Pass ``block_col='blk'`` to ``runs.call_runs`` when reading the table back.
+    """
+    cols = [*keys, "blk"]
+    (
+        df.withColumn("blk", F.floor(F.col("pos") / block_bp)).repartition(buckets, *cols)
+        .write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *cols).sortBy(*cols, "pos").saveAsTable(table)
+    )
+
+
 def missing_partitions(done: DataFrame, wanted: DataFrame, by: Sequence[str] = ("chrom",)) -> DataFrame:
     """Partitions still to compute, for a resumable run."""
     return wanted.join(done.select(*by).distinct(), list(by), "left_anti")
-
-
-def variant_text(sites: DataFrame, genotypes: DataFrame) -> DataFrame:
-    """Tab-separated variant lines with samples in name order."""
-    calls = genotypes.groupBy("chrom", "pos", "ref", "alt").agg(
-        F.array_sort(F.collect_list(F.struct("sample", "gt"))).alias("_g")
-    )
-    line = F.concat_ws(
-        "\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."),
-        F.lit("PASS"), "info", F.lit("GT"), F.array_join(F.col("_g.gt"), "\t"),
-    )
-    return sites.join(calls, ["chrom", "pos", "ref", "alt"]).select(line.alias("value"))
