@@ -43,7 +43,7 @@ class Stored(Views):
         return self.spark.read.parquet(f"{self.store}/genotypes")
 
     def null(self, gaps=(1,)):
-        if tuple(gaps) != (1,) or not os.path.isdir(f"{self.store}/segments"):
+        if tuple(gaps) != (1,):
             return PB.sample_null(self.calls, gaps)
         return PB.Null(self.spark.read.parquet(f"{self.store}/segments"), self.spark.read.parquet(f"{self.store}/burden"))
 
@@ -80,10 +80,7 @@ def main() -> None:
     run = lambda make: (lambda: make().write.format("noop").mode("overwrite").save())
 
     def store_null():
-        null = v.null()
-        null.segments.write.parquet(f"{store}/segments-tmp")
-        null.burden.write.parquet(f"{store}/burden")
-        os.rename(f"{store}/segments-tmp", f"{store}/segments")
+        PB.sample_null(v.calls, store=f"{store}/segments").burden.write.parquet(f"{store}/burden")
 
     timed("ingest_genotypes", lambda: raw.genotypes.write.parquet(f"{store}/genotypes"), True)
     timed("e05_runs", run(lambda: call_runs(v.calls, ["pop", "sample", "chrom"])))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.joins import MANIFEST_SQL, PAIRS_SQL, arithmetic_draw, founders, manifest
+from checks.joins import MANIFEST_SQL, arithmetic_draw, manifest
 from checks.registry import check
 from checks.scans import AGREE_WIN, LOCI_SQL, TRACE_SQL, TWO_SETS, loci, two_call_sets
 from checks.views import EMISSION, THR, curve_sql, lstar_sql, rd, runs_sql, sql
@@ -17,7 +17,6 @@ from zygospan.operators import enrich as N
 from zygospan.operators import maps as M
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
-from zygospan.operators import scoring as S
 from zygospan.operators import trio as T
 from zygospan.operators.runs import call_runs
 from zygospan.plans import background as PB

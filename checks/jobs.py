@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.aggregates import (
-    BIN_EXPO, HBAR, HETW_RATES, LOADS, PLATFORM, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
-    _FLOORS, boot_draw, boot_sql, platforms, _plstar, TRACE_SQL, ARMS, centromeres, ENRICH,
+    BIN_EXPO, HBAR, HETW_RATES, LOADS, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
+    _FLOORS, boot_draw, boot_sql, TRACE_SQL, ARMS, centromeres, ENRICH,
 )
 from checks.joins import FAMILY_SQL, INTERVALS_SQL, PAIRS_SQL, arithmetic_draw, families, founders, intervals, manifest, MANIFEST_SQL
 from checks.registry import check
@@ -17,16 +17,11 @@ from checks.scalars import _mcl
 from checks.sequences import MATCH_SQL, XO, trial_parts
 from checks.views import EMISSION, THR, curve_sql, lstar_sql, rd, runs_sql, sql
 from zygospan.config import DEFAULTS
-from zygospan.functions import evidence as E
 from zygospan.operators import background as B
-from zygospan.operators import calibrate as K
 from zygospan.operators import enrich as N
 from zygospan.operators import maps as M
-from zygospan.operators import platform as P
-from zygospan.operators import resample as R
-from zygospan.operators import scoring as S
 from zygospan.operators import trio as T
-from zygospan.operators.runs import call_runs, keep_segments
+from zygospan.operators.runs import keep_segments
 from zygospan.plans import atlas as PA
 from zygospan.plans import background as PB
 from zygospan.plans import scoring as PS

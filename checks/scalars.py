@@ -9,10 +9,8 @@ from checks.joins import INTERVALS_SQL, intervals
 from checks.registry import check
 from checks.scans import LOCI_SQL, loci
 from checks.views import EMISSION, THR, rd, sql
-from zygospan.config import DEFAULTS
 from zygospan.functions import codes as C
 from zygospan.functions import evidence as E
-from zygospan.operators import background as B
 from zygospan.operators import diversity as D
 from zygospan.operators import scoring as S
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.aggregates import CM, RATE_BINS, THIN, blocks, boot_draw, boot_sql
+from checks.aggregates import CM, THIN, blocks, boot_draw, boot_sql
 from checks.joins import PAIRS_SQL, arithmetic_draw, draw_sql, founders
 from checks.registry import check
 from checks.views import rd, runs_sql, sql
 from zygospan.config import DEFAULTS
-from zygospan.functions import evidence as E
 from zygospan.operators import background as B
 from zygospan.operators import diversity as D
 from zygospan.operators import hmm as H

@@ -216,9 +216,9 @@ def rate_bins(rates: DataFrame, n_bins: int = 5) -> DataFrame:
         F.when(F.col("bin") == 0, F.lit(-E.INF)).otherwise(F.expr("get(_e, bin)")).alias("lo"),
         F.when(F.col("bin") == n_bins - 1, F.lit(E.INF)).otherwise(F.expr("get(_e, bin + 1)")).alias("hi"),
     )
-    inside = (F.col("rate") >= F.col("lo")) & (F.col("rate") < F.col("hi"))
-    return edges.join(known, inside, "left").groupBy("bin", "lo", "hi").agg(
-        F.avg("rate").alias("mean_rate"), F.count("rate").alias("footprint_windows")
+    per = assign_bin(known, edges).groupBy("bin").agg(F.avg("rate").alias("mean_rate"), F.count("rate").alias("_f"))
+    return edges.join(per, "bin", "left").select(
+        "bin", "lo", "hi", "mean_rate", F.coalesce("_f", F.lit(0)).alias("footprint_windows")
     )
 
 

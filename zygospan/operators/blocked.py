@@ -27,7 +27,8 @@ def prefix_sum(
 ) -> DataFrame:
     """Running total of ``value`` per ``by`` in ``order``.
 
-    ``block`` must be monotone in ``order``. Nulls in ``by`` match each other.
+    ``block`` must be monotone in ``order``; it and ``by`` must not be null. The rows
+    are shuffled once, by key and block, for the scan, the totals and the join.
     """
     by = list(by)
     value = F.lit(value) if isinstance(value, int) else value
@@ -39,20 +40,15 @@ def prefix_sum(
     totals = rows.groupBy(*by, "_blk").agg(F.sum("_val").alias("_tot"))
     before = W.partitionBy(*by).orderBy(blk_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(c).alias(f"_o_{c}") for c in by],
-        F.col("_blk").alias("_at_block"),
-        F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"),
+        *by, "_blk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"),
     )
-    cond = F.col("_blk").eqNullSafe(F.col("_at_block"))
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     total = F.col("_loc") + F.col("_off")
     if exclusive:
         total = total - F.col("_val")
     return (
-        scanned.join(offsets, cond)
+        scanned.join(offsets, [*by, "_blk"])
         .withColumn(out, total)
-        .drop("_blk", "_val", "_loc", "_off", "_at_block", *[f"_o_{c}" for c in by])
+        .drop("_blk", "_val", "_loc", "_off")
     )
 
 
