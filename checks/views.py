@@ -73,7 +73,9 @@ class Views:
 
     @cached_property
     def genotypes(self) -> DataFrame:
-        rows = self.markers.join(self.typed, "region")
+        # Few typed rows expand to many calls: spread them before they do.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = self.markers.join(self.typed.repartition(parts, "sample"), "region")
         idx, s, f, m = (F.col(c) for c in ("idx", "sample", "father", "mother"))
         own0, own1 = founder_allele(idx, s, 0), founder_allele(idx, s, 1)
         inner = F.pmod(idx, F.lit(400))
