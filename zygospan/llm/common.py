@@ -5,11 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +73,8 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 def small_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows holding about ``most`` bytes of text, so that a task's memory does not follow the batch size."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(text))] if batch.nbytes > most else []
+        column_ = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column_), 0).to_pylist() if batch.nbytes > most else []
         start = held = 0
         for i, n in enumerate(sizes):
             held += n
@@ -86,7 +87,3 @@ def small_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: i
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
-
-
-def pack_model(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
