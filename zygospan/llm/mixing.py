@@ -7,6 +7,8 @@ into quotas per shard; a seeded hash ranks the blocks that a quota takes once mo
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -184,10 +186,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     A pass that takes every word keeps the text as it is; otherwise the words of a taken part keep the white space
     between them and parts are joined by a line feed. ``n_chars``, where there is one, is counted anew. Documents
-    that the mix leaves out are gone.
+    that the mix leaves out are gone. Rows that repeat an id and a text all follow the fullest plan among them.
     """
-    import re
-
     plan = mix(docs, **settings).select(F.col("doc_id").alias("_mix_id"), F.col("x").alias("_mix_x"), F.col("size").alias("_mix_size"), F.col("spans").alias("_mix_spans"))
     plan = plan.groupBy("_mix_id", "_mix_x").agg(F.max("_mix_size").alias("_mix_size"), F.collect_list("_mix_spans").alias("_mix_all"))
     ranked = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_x")))
@@ -199,7 +199,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
             at = {c: i for i, c in enumerate(batch.schema.names)}
             rows, texts = [], []
             for i, (text, size, all_) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in ("text", "_mix_size", "_mix_all")))):
-                # Repeated rows met in the join get the sum of their plans on the first, none of it twice.
+                # Rows with one id and text cannot be told apart here; each follows the fullest of their plans.
                 spans = all_[0] if len(all_) == 1 else max(all_, key=lambda s: sum(x["length"] * x["times"] for x in s))
                 most = max((s["times"] for s in spans), default=0)
                 where = None
