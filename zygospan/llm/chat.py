@@ -82,11 +82,12 @@ def paths(messages: DataFrame) -> DataFrame:
     A parent that is missing ends the path as a root does. Raises an error on a cycle.
     """
     spark = messages.sparkSession
+    most = messages.count()
     links = messages.select("key", "node", F.col("parent").alias("up"))
     known = links.select("key", F.col("node").alias("up"))
     jumps = [cut(links.join(known, ["key", "up"], "left_semi").select("key", "node", "up"), "reply_links")]
     while not jumps[-1].isEmpty():
-        if len(jumps) > 40:
+        if 1 << len(jumps) > 2 * most:
             raise ValueError("the parent links hold a cycle")
         a, b = jumps[-1], jumps[-1].select("key", F.col("node").alias("up"), F.col("up").alias("far"))
         jumps.append(cut(a.join(b, ["key", "up"]).select("key", "node", F.col("far").alias("up")), "reply_links"))

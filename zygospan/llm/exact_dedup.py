@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zygospan.llm.common import column, cut, small_batches
+from zygospan.llm.common import column, cut, release, small_batches
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
@@ -113,6 +113,7 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK, primes=PRIMES, bases=B
     prints = cut(fingerprints(docs, chunk, primes, bases), "prints")
     groups = cut(prints.groupBy(*KEY).count().filter("count > 1"), "print_groups")
     bad = cut(colliding_groups(docs, prints, groups, chunk), "print_collisions")
+    release(docs.sparkSession)
     split = prints.join(bad.withColumn("bad", F.lit(True)), KEY, "left").withColumn("sub", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad")
     best = split.groupBy(*KEY, "sub").agg(
         F.count(F.lit(1)).alias("group_size"),

@@ -15,7 +15,6 @@ SAMPLE_DOCS = 200
 STRETCH = 600
 MOST_LANGUAGES = 256
 PIECE = 4096
-LEVEL = 3
 UNKNOWN = "und"
 
 
@@ -50,7 +49,16 @@ def sizes(data: bytes, compressors: list[zstandard.ZstdCompressor], piece: int =
     return np.array([sum(len(c.compress(p)) for p in parts) for c in compressors], dtype=np.int64)
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.0, piece: int = PIECE, level: int = LEVEL) -> DataFrame:
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """Looks for matches from four bytes on, as syllables are what tells languages apart in short texts."""
+    how = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_LAZY, min_match=4, search_log=4, window_log=18, chain_log=16, hash_log=16,
+        write_checksum=False, write_content_size=False, write_dict_id=False,
+    )
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
+def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.0, piece: int = PIECE) -> DataFrame:
     """``doc_id, lang_pred, score, margin`` per row of ``docs``.
 
     The smallest encoding names the language; ``margin`` is the second smallest's excess over it, as a share of the
@@ -62,7 +70,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = 0.0, piec
 
     def run(batches):
         names = list(shared.value)
-        pack = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(shared.value[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for n in names]
+        pack = [compressor(shared.value[n]) for n in names]
         for batch in small_batches(batches):
             out = []
             for text in column(batch, "text"):

@@ -129,6 +129,18 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def pack_names(names: np.ndarray, buckets: int) -> bytes:
+    """Names without what their bucket says: seven bytes each, of which nothing is lost from 256 buckets up."""
+    rest = (names >> np.uint64(32)) // np.uint64(buckets) << np.uint64(32) | names & np.uint64(0xFFFFFFFF)
+    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def unpack_names(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), dtype=np.uint8)
+    out[:, :7] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def removed_spans(block: Block, at: np.ndarray) -> list[list[tuple[int, int]]]:
     """Maximal runs covered by the prefixes that start at ``at``, per document, in its own places."""
     edge = np.zeros(len(block.words) + 1, dtype=np.int32)
@@ -220,7 +232,7 @@ def _send_suffixes(length: int, buckets: int, wide: int):
                 part = order[i:j]
                 cuts = [a for a, _ in _ranges(ids[part])]
                 counts = np.diff([*cuts, len(part)]).astype("<u4")
-                rows.append((int(to[part[0]]), block, names[part].tobytes(), ids[part][cuts].astype("<i8").tobytes(), counts.tobytes()))
+                rows.append((int(to[part[0]]), block, pack_names(names[part], wide), ids[part][cuts].astype("<i8").tobytes(), counts.tobytes()))
             yield _batch(rows, _SENT)
     return run
 
@@ -264,7 +276,7 @@ def _meet_samples(table: pa.Table) -> pa.Table:
 def _meet_suffixes(table: pa.Table) -> pa.Table:
     """Sorts a bucket's prefixes; in a run of equal neighbours all but the least document's have an earlier copy."""
     sent = table["names"].to_pylist()
-    names = np.frombuffer(b"".join(sent), dtype="<u8")
+    names = unpack_names(b"".join(sent))
     ids = np.repeat(np.frombuffer(b"".join(table["ids"].to_pylist()), dtype="<i8"), np.frombuffer(b"".join(table["counts"].to_pylist()), dtype="<u4"))
     order = np.argsort(names, kind="stable")
     s, d = names[order], ids[order]
@@ -274,7 +286,7 @@ def _meet_suffixes(table: pa.Table) -> pa.Table:
     least = np.repeat(np.minimum.reduceat(d, begins), np.diff(np.append(begins, len(s)))) if len(begins) else d
     earlier = np.zeros(len(names), dtype=bool)
     earlier[order] = least < d
-    return _reply(table, earlier, [len(x) // 8 for x in sent])
+    return _reply(table, earlier, [len(x) // 7 for x in sent])
 
 
 def _finish(length: int, buckets: int, wide: int, with_text: bool):
@@ -318,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     n_blocks = max(1, -(-total // block_bytes))
     # The sample has 5 names in 21 bytes; the bucket counts follow the input's size.
     buckets = max(64, -(-total * len(COVER) // (PERIOD * bucket_names)))
-    wide = max(64, -(-total // (2 * bucket_names)))
+    wide = max(256, -(-total // (2 * bucket_names)))
     same = cut(sizes.groupBy("sha", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeat_groups")
     copies = sizes.join(same, ["sha", "n"]).filter("doc_id > least or (doc_id is null and least is not null)").select("doc_id", "_x").distinct()
     copies = cut(copies, "repeat_copies")

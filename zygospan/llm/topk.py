@@ -54,7 +54,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
 
     Both tables have ``vec_id, embedding``; a component counts as ``floor(scale * x)``. Vectors that are null or hold a
     null or non-finite component, and null ids, take no part; vectors meet only those of their own length. A query does
-    not return rows with its own id; equal scores go to the smaller id; repeated rows are returned each. Blocks of rows
+    not return rows with its own id; equal scores go to the smaller id; repeated rows are returned each, repeated queries
+    asked once. Blocks of rows
     meet blocks of queries, each pair in a task of bounded size, and pass on ``k`` rows a query.
     """
     x = F.col("embedding")
@@ -64,13 +65,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
         whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
         return df.filter(sound).select(F.col("vec_id").cast("long"), whole.alias("v"), F.size(x).alias("dim"), F.monotonically_increasing_id().alias("_uid"))
 
-    rows, asked = cut(clean(vectors), "vectors"), cut(clean(queries), "query_vectors")
+    rows, asked = cut(clean(vectors), "vectors"), cut(clean(queries.dropDuplicates(["vec_id", "embedding"])), "query_vectors")
     n_blocks, n_asked = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // query_block))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("_uid"), F.lit(n_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     asked = asked.withColumn("q", F.pmod(F.xxhash64("_uid"), F.lit(n_asked)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()))}
+        empty = {c: pa.array([], t) for c, t in (("asked", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()))}
         if not left.num_rows or not right.num_rows:
             return pa.table(empty)
         dim = int(left["dim"][0].as_py())
@@ -80,11 +81,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
         asked_v = right["v"].combine_chunks().flatten().to_numpy().reshape(right.num_rows, dim)
         parts = [(q, *threshold_topk(v, ids, order, a, q, k)) for q, a in zip(right["vec_id"].to_pylist(), asked_v)]
         return pa.table({
+            "asked": pa.array(np.repeat(right["_uid"].to_numpy(), [len(i) for _, i, _ in parts])),
             "query_id": pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in parts]).astype(np.int64)),
             "vec_id": pa.array(np.concatenate([i for _, i, _ in parts]).astype(np.int64)), "score": pa.array(np.concatenate([s for _, _, s in parts]).astype(np.int64)),
         })
 
     keys = ("dim", "b", "q")
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "asked long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
