@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 import uuid
 
@@ -63,8 +62,6 @@ def main() -> None:
         .config("spark.driver.memory", "16g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     store = f"{sinks.shared_dir(spark)}/bench-{uuid.uuid4().hex}"
     raw, v = Views(spark, sf_dir), Stored(spark, sf_dir, store)
     times: dict[str, float] = {}

@@ -303,7 +303,7 @@ PLATFORM = """sel as (select 'full' as platform, pop, chrom, pos from common uni
  pc as (select s.platform, c.pop, c.sample, c.chrom, c.pos, c.hom from calls c join sel s on s.pop = c.pop and s.chrom = c.chrom and s.pos = c.pos)""" + ",\n " + runs_sql("pr", "pc", "platform, pop, sample, chrom") + """,
  ps as (select * from pr where len_bp > 5000),
  pb as (select t.platform, t.pop, t.sample, b.span_bp, cast(coalesce(r.roh, 0) as bigint) as roh_bp, coalesce(r.roh, 0) / b.span_bp as f_roh, coalesce(r.roh, 0) / b.span_bp > 0.0156 as is_outlier
-  from (select distinct platform, pop, sample from pc) t join burden b on b.sample = t.sample
+  from (select p.platform, p.pop, b.sample from (select distinct platform, pop from sel) p join burden b on b.pop = p.pop) t join burden b on b.sample = t.sample
   left join (select platform, sample, sum(case when len_bp >= 1000000 then len_bp else 0 end) as roh from pr group by 1, 2) r on r.platform = t.platform and r.sample = t.sample)"""
 
 

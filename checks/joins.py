@@ -45,12 +45,18 @@ def _(v):
     return tables.combine_sexes(pat, mat).select("chrom", "center", "pat", "mat", F.round("rate", 6).alias("rate"))
 
 
-@check("c05_call_set_intersection", sql("""select g.sample, count(*) as n, cast(sum(g.pos) as bigint) as sum_pos from genotypes g join panel p on p.sample = g.sample
+@check("c05_call_set_intersection", sql("""select g.sample, count(*) as n, cast(sum(g.pos) as bigint) as sum_pos,
+ cast(sum(g.idx * case when g.idx % 2 = 0 then g.a1 else g.a0 end) as bigint) as weighted from genotypes g join panel p on p.sample = g.sample
  where p.father is not null and g.idx % 13 <> 5 group by g.sample""", "genotypes"))
 def _(v):
     left, right = two_call_sets(v)
-    shared = T.shared_calls(left.unionByName(left), right, ("sample", "chrom", "pos"))
-    return shared.groupBy("sample").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+    # Each site twice; of even ones the later record has the alleles swapped, of odd ones the earlier.
+    swapped = left.withColumns({"a0": F.col("a1"), "a1": F.col("a0"), "line": F.col("line") + F.when(F.pmod("line", F.lit(2)) == 0, 1).otherwise(-1) * 10**9})
+    shared = T.shared_calls(left.unionByName(swapped), right, ("sample", "chrom", "pos"))
+    ids = v.markers.select("chrom", "pos", "idx")
+    return shared.join(ids, ["chrom", "pos"]).groupBy("sample").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("sum_pos"), F.sum(F.col("idx") * F.col("_l.a0")).cast("long").alias("weighted"),
+    )
 
 
 def manifest(v):
@@ -68,12 +74,12 @@ def _(v):
 
 
 def intervals(v):
-    """Long runs as scored intervals."""
-    runs = v.null().segments.filter(F.col("len_bp") >= 300_000)
+    """Runs as scored intervals."""
+    runs = v.null().segments
     return runs.select(F.concat_ws("-", "sample", "chrom", "start_pos").alias("id"), "pop", "chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))
 
 
-INTERVALS_SQL = """iv as (select sample || '-' || chrom || '-' || start_pos as id, pop, chrom, start_pos as s, end_pos as e from segs where len_bp >= 300000),
+INTERVALS_SQL = """iv as (select sample || '-' || chrom || '-' || start_pos as id, pop, chrom, start_pos as s, end_pos as e from segs),
  med as (select median(rate) as r_median from rates where rate > 0),
  loc as (select iv.id, avg(r.rate) as local from iv join rates r on r.chrom = iv.chrom and r.rate > 0
   and r.window_start between iv.s // 1000000 * 1000000 and (iv.e - 1) // 1000000 * 1000000 group by iv.id),
@@ -88,21 +94,21 @@ def _(v):
 @check("c08_run_covariates", sql("""
 select r.sample, r.chrom, r.start_pos, round(avg(h.rate) + 1e-9, 6) as rate, round(avg(h.hbar) + 1e-9, 6) as hbar from segs r
  join calls c on c.sample = r.sample and c.chrom = r.chrom and c.pos between r.start_pos and r.end_pos
- left join hwin h on h.chrom = c.chrom and h.window_start = c.pos // 1000000 * 1000000 where r.len_bp >= 500000 group by 1, 2, 3""", "segs", "hwin"))
+ left join hwin h on h.chrom = c.chrom and h.window_start = c.pos // 1000000 * 1000000 group by 1, 2, 3""", "segs", "hwin"))
 def _(v):
     keys = ["sample", "chrom"]
-    runs = v.null().segments.filter(F.col("len_bp") >= 500_000)
+    runs = v.null().segments
     cov = S.run_covariates(T.markers_in_runs(v.calls.drop("pop"), runs, keys), v.hbar_windows(), keys)
     return cov.select("sample", "chrom", "start_pos", rd("rate"), rd("hbar"))
 
 
 @check("c09_variant_in_run", sql("""
-with cand as (select t.sample, m.chrom, m.pos, m.idx from typed t join markers m on m.region = t.region where (m.idx + t.sample) % 50 = 0)
-select c.sample, c.chrom, c.pos, min(s.start_pos) as start_pos from cand c left join segs s on s.sample = c.sample and s.chrom = c.chrom and s.len_bp >= 100000
+with cand as (select t.sample, m.chrom, m.pos, m.idx from typed t join markers m on m.idx = t.idx where (m.idx + t.sample) % 50 = 0)
+select c.sample, c.chrom, c.pos, min(s.start_pos) as start_pos from cand c left join segs s on s.sample = c.sample and s.chrom = c.chrom
  and c.pos between s.start_pos and s.end_pos group by 1, 2, 3""", "segs"))
 def _(v):
-    cand = v.typed.select("sample", "region").join(v.markers, "region").filter(F.pmod(F.col("idx") + F.col("sample"), F.lit(50)) == 0).select("sample", "chrom", "pos")
-    runs = v.null().segments.filter(F.col("len_bp") >= 100_000)
+    cand = v.typed.select("sample", "idx").join(v.markers, "idx").filter(F.pmod(F.col("idx") + F.col("sample"), F.lit(50)) == 0).select("sample", "chrom", "pos")
+    runs = v.null().segments
     return S.first_run_of_variant(cand, runs, ["sample", "chrom"]).select("sample", "chrom", "pos", "start_pos")
 
 
@@ -161,7 +167,7 @@ def draw_sql(*cols):
 
 
 def founders(v):
-    """Indexed samples per population; a pair must share typed regions to overlap."""
+    """Indexed samples per population; a pair overlaps at the markers typed in both."""
     return R.index_units(v.panel.select("pop", "sample"), ["pop"], "sample", F.floor(F.col("sample") / 64))
 
 
@@ -188,11 +194,11 @@ def _(v):
 
 @check("c15_curve_interpolation", sql(f"""
 with bf as (select pop, l_bp, log10({EMISSION} / greatest(p_bg, 1e-12)) as y from curve),
- x as (select sample, chrom, start_pos, pop, least(greatest(len_bp * 3.7, 100000), 12000000) as x from segs where len_bp >= 50000)
+ x as (select sample, chrom, start_pos, pop, least(greatest(len_bp * 3.7, 100000), 12000000) as x from segs)
 select x.sample, x.chrom, x.start_pos, round(a.y + (b.y - a.y) * (x.x - a.l_bp) / 50000, 5) as log10_bf from x
  join bf a on a.pop = x.pop and a.l_bp = least(100000 + cast(floor((x.x - 100000) / 50000) as bigint) * 50000, 11950000) join bf b on b.pop = x.pop and b.l_bp = a.l_bp + 50000""", "curve"))
 def _(v):
-    x = v.null().segments.filter(F.col("len_bp") >= 50_000)
+    x = v.null().segments
     out = S.interpolate_curve(x, v.curve(), F.col("len_bp") * 3.7 / 1e6)
     return out.select("sample", "chrom", "start_pos", F.round("log10_bf", 5).alias("log10_bf"))
 

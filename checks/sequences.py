@@ -86,12 +86,12 @@ def _(v):
 
 
 @check("e06_focal_run", sql("""
-with foc as (select t.sample, m.chrom, min(m.pos) as focal from typed t join markers m on m.region = t.region where (m.idx*7 + t.sample) % 200 = 0 group by 1, 2),
- fm as (select c.sample, f.focal, c.chrom, c.pos, c.hom from calls c join foc f on f.sample = c.sample and f.chrom = c.chrom where abs(c.pos - f.focal) <= 8000000), """
+with foc as (select t.sample, m.chrom, min(m.pos) as focal from typed t join markers m on m.idx = t.idx where (m.idx*7 + t.sample) % 200 = 0 group by 1, 2),
+ fm as (select c.sample, f.focal, c.chrom, c.pos, c.hom from calls c join foc f on f.sample = c.sample and f.chrom = c.chrom ), """
  + runs_sql("fr", "fm", "sample, chrom, focal") + """ select f.sample, f.chrom, f.focal, coalesce(max(case when f.focal between r.start_pos and r.end_pos then r.len_bp end), 0) as len_bp
  from foc f left join fr r on r.sample = f.sample and r.chrom = f.chrom group by 1, 2, 3""", "calls"))
 def _(v):
-    foc = v.typed.select("sample", "region").join(v.markers, "region").filter(F.pmod(F.col("idx") * 7 + F.col("sample"), F.lit(200)) == 0).groupBy("sample", "chrom").agg(F.min("pos").alias("focal"))
+    foc = v.typed.select("sample", "idx").join(v.markers, "idx").filter(F.pmod(F.col("idx") * 7 + F.col("sample"), F.lit(200)) == 0).groupBy("sample", "chrom").agg(F.min("pos").alias("focal"))
     match = v.calls.join(foc, ["sample", "chrom"]).withColumn("trial", F.struct("sample", "chrom"))
     return focal_runs(match, "trial", "focal").select("trial.*", "focal", "len_bp")
 
@@ -204,7 +204,7 @@ TRIAL_SQL = f"""ix as (select pop, sample as unit, row_number() over (partition
 MATCH_SQL = TRIAL_SQL + f""",
  tm as (select r.pop, r.chrom, r.t, r.focal, r.label, a.pos,
   xor(a.allele, cast((({draw_sql('r.t', 'a.pos', '7')}) % 1000) < 1 as int)) = xor(case when r.label = 1 and abs(a.pos - r.focal) <= r.half_bp then a.allele else b.allele end, cast((({draw_sql('r.t', 'a.pos', '8')}) % 1000) < 1 as int)) as hom
-  from trl r join haps a on a.pop = r.pop and a.chrom = r.chrom and a.sample = r.unit_a and a.hap = r.hap_a and abs(a.pos - r.focal) <= 8000000
+  from trl r join haps a on a.pop = r.pop and a.chrom = r.chrom and a.sample = r.unit_a and a.hap = r.hap_a
   join haps b on b.sample = r.unit_b and b.hap = r.hap_b and b.chrom = a.chrom and b.pos = a.pos)"""
 
 
@@ -253,6 +253,6 @@ def _(v):
     return v.null().burden.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 3).select("pop", "sample", "roh_bp")
 
 
-@check("h05_first_hit", sql("select sample, chrom, min(start_pos) as start_pos from segs where len_bp >= 500000 group by 1, 2", "segs"))
+@check("h05_first_hit", sql("select sample, chrom, min(start_pos) as start_pos from segs group by 1, 2", "segs"))
 def _(v):
-    return v.null().segments.filter(F.col("len_bp") >= 500_000).groupBy("sample", "chrom").agg(F.min("start_pos").alias("start_pos"))
+    return v.null().segments.groupBy("sample", "chrom").agg(F.min("start_pos").alias("start_pos"))

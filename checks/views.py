@@ -1,8 +1,8 @@
 """Genotype-like views derived from the driver's tables by integer arithmetic.
 
-Suppliers act as samples and parts as markers. A family is typed on four regions
-of a thousand markers, so the genotype table grows linearly with the tables; up
-to four thousand parts that is the dense matrix.
+Suppliers act as samples, four in a row as a family, and parts as markers. A family
+is typed at the parts that any of its suppliers has a line item for, at every scale
+alike; so the genotype table is at most four rows per line item.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from zygospan.operators import background as B
 from zygospan.operators import maps as M
 from zygospan.operators import trio as T
-from zygospan.operators.blocked import attach
 from zygospan.plans import background as PB
 
 POPS = ("EUR", "AFR", "EAS", "SAS", "AMR")
-REGIONS = 4
 
 
 def founder_allele(idx, sample, which):
@@ -59,23 +57,22 @@ class Views:
         return self.table("part").select(
             k.alias("idx"), (F.pmod(k, F.lit(2)) + 21).cast("int").alias("chrom"),
             (k * 5000 + F.col("p_size") * 37 + F.when(inner >= 600, 1500000).otherwise(0) + (k - inner) * 1500).alias("pos"),
-            ((F.pmod(k * 31, F.lit(45)) + 5) * 10).alias("af_milli"), F.floor(k / 1000).alias("region"),
+            ((F.pmod(k * 31, F.lit(45)) + 5) * 10).alias("af_milli"),
         )
 
     @cached_property
     def typed(self) -> DataFrame:
-        n = self.markers.agg((F.max("region") + 1).alias("n_reg"))
-        slots = F.explode(F.sequence(F.lit(0), F.lit(REGIONS - 1)))
-        fam = F.floor(F.col("sample") / 4) * REGIONS
-        return attach(self.panel, n).withColumn("_j", slots).select(
-            "sample", "father", "mother", F.pmod(fam + F.col("_j"), F.col("n_reg")).alias("region")
-        ).distinct()
+        """``sample, father, mother, idx``: all members of a family at each of its markers."""
+        members = self.panel.select("sample", "father", "mother", F.floor(F.col("sample") / 4).alias("fam"))
+        return self.family_markers.join(members, "fam").select("sample", "father", "mother", "idx")
+
+    @cached_property
+    def family_markers(self) -> DataFrame:
+        return self.table("lineitem").select(F.floor(F.col("l_suppkey") / 4).alias("fam"), F.col("l_partkey").alias("idx")).distinct()
 
     @cached_property
     def genotypes(self) -> DataFrame:
-        # Few typed rows expand to many calls: spread them before they do.
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.markers.join(self.typed.repartition(parts, "sample"), "region")
+        rows = self.typed.join(self.markers, "idx")
         idx, s, f, m = (F.col(c) for c in ("idx", "sample", "father", "mother"))
         own0, own1 = founder_allele(idx, s, 0), founder_allele(idx, s, 1)
         inner = F.pmod(idx, F.lit(400))
@@ -143,16 +140,15 @@ class Views:
 
     @cached_property
     def axis(self) -> DataFrame:
-        """Marker axes: families that start at the same region share one."""
+        """Marker axes, one per family."""
         from zygospan.operators.sparse import index_axis
 
-        starts = self.members.join(self.typed, "sample").select("axis", "region").distinct()
-        return index_axis(self.markers.join(starts, "region").select("axis", "chrom", "pos"), ["axis", "chrom"])
+        own = self.family_markers.join(self.markers, "idx").select(F.col("fam").alias("axis"), "chrom", "pos")
+        return index_axis(own, ["axis", "chrom"])
 
     @cached_property
     def members(self) -> DataFrame:
-        n = self.markers.agg((F.max("region") + 1).alias("n_reg"))
-        return attach(self.panel, n).select("sample", "pop", F.pmod(F.floor(F.col("sample") / 4) * REGIONS, F.col("n_reg")).alias("axis"))
+        return self.panel.select("sample", "pop", F.floor(F.col("sample") / 4).alias("axis"))
 
     @cached_property
     def hets(self) -> DataFrame:
@@ -234,13 +230,13 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
    case when s_suppkey % 4 = 3 then s_suppkey - 2 end as mother from supplier)""", ()),
     "markers": ("""markers as (select p_partkey as idx, cast(21 + p_partkey % 2 as int) as chrom,
    cast(p_partkey as bigint)*5000 + p_size*37 + (case when p_partkey % 1000 >= 600 then 1500000 else 0 end)
-   + (p_partkey - p_partkey % 1000)*1500 as pos, 10*((p_partkey*31)%45+5) as af_milli, p_partkey // 1000 as region from part)""", ()),
-    "typed": (f"""typed as (select distinct p.sample, ((p.sample // 4)*{REGIONS} + j.j) % n.n_reg as region
-   from panel p cross join (select max(region) + 1 as n_reg from markers) n cross join (select unnest(range({REGIONS})) as j) j)""", ("panel", "markers")),
+   + (p_partkey - p_partkey % 1000)*1500 as pos, 10*((p_partkey*31)%45+5) as af_milli from part)""", ()),
+    "typed": ("""typed as (select p.sample, t.idx from (select distinct l_suppkey // 4 as fam, l_partkey as idx from lineitem) t
+   join panel p on p.sample // 4 = t.fam)""", ("panel", "markers")),
     "founder": ("""founder as (select s.sample, m.chrom, m.pos, m.idx,
    case when ((m.idx*7919 + s.sample*104729 + (m.idx%97)*(s.sample%89)*31) % 1009) < m.af_milli then 1 else 0 end as x0,
    case when ((m.idx*6007 + s.sample*15485863 + (m.idx%83)*(s.sample%79)*53 + 7) % 1013) < m.af_milli then 1 else 0 end as x1
-   from markers m join typed s on s.region = m.region)""", ("typed",)),
+   from markers m join typed s on s.idx = m.idx)""", ("typed",)),
     "genotypes": ("""genotypes as (select c.sample, c.chrom, c.pos, c.idx,
    case when p.father is null then c.x0 when (c.idx % 1000 < 500) then f.x0 else f.x1 end as a0,
    case when p.father is null then (case when c.sample % 7 = 0 and c.idx % 400 between 100 and 299 then c.x0 else c.x1 end)

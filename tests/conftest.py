@@ -1,5 +1,3 @@
-import tempfile
-
 import pytest
 from pyspark.sql import SparkSession
 
@@ -16,7 +14,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     yield session
     session.stop()

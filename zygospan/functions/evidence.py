@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,9 +137,7 @@ def emission_model(model: str, density, length_mb: Column, s: Settings = DEFAULT
 
 def threshold_p(prior: float, target: float, s: Settings = DEFAULTS) -> float:
     """Largest chance probability that still reaches ``target`` at ``prior``."""
-    return math.exp(
-        math.log(prior) - math.log1p(-prior) - math.log(target) + math.log1p(-target)
-    ) * s.emission
+    return replace(s, prior=prior, target_posterior=target).threshold
 
 
 def locus_interval(midpoint: Column, width_mb: Column) -> tuple[Column, Column]:

@@ -57,16 +57,6 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(one_row)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a cheap lookup table after counting it; a larger one is joined by shuffle.
-
-    Only for tables read or derived from small inputs (a genome has about three
-    thousand windows), where the count costs far less than shuffling the other side.
-    """
-    few = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
-
-
 def row_numbers(df, by, block, order, out="rn", descending_blocks=False) -> DataFrame:
     return prefix_sum(df, by, block, order, F.lit(1).cast("long"), out, descending_blocks)
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
 from zygospan.functions import genotype as G
-from zygospan.operators.blocked import broadcast_checked, row_numbers
+from zygospan.operators.blocked import row_numbers
+
+MOST_MARKERS = 31
 
 
 def window_heterozygosity(sites: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -67,17 +69,21 @@ def thin_blocks(markers: DataFrame, keys: Sequence[str], s: Settings = DEFAULTS)
     )
 
 
-def haplotype_codes(thinned: DataFrame, haplotypes: DataFrame, keys: Sequence[str], unit: Sequence[str]) -> DataFrame:
-    """One integer per haplotype and block: the base-3 number of its alleles.
+def haplotype_codes(thinned: DataFrame, haplotypes: DataFrame, keys: Sequence[str], unit: Sequence[str], s: Settings = DEFAULTS) -> DataFrame:
+    """One integer per haplotype and block: two bits for each kept marker.
 
-    Additive, so it combines before the shuffle; the digit 2 marks a missing allele.
-    Thinning drops nearly all markers, so the kept ones travel to the haplotypes.
+    Additive, so it combines before the shuffle. A marker without a row or with a null
+    allele leaves its bits 0; alleles 0 and 1 set 1 and 2, all others 3. A long holds
+    the bits of at most ``MOST_MARKERS`` markers.
     """
-    digit = F.coalesce(F.col("allele"), F.lit(2)) * F.pow(F.lit(3.0), F.col("slot")).cast("long")
+    if s.block_max_markers > MOST_MARKERS:
+        raise ValueError(f"a code holds at most {MOST_MARKERS} markers a block, not {s.block_max_markers}")
+    digit = F.least(F.col("allele") + 1, F.lit(3)).cast("long")
+    digit = F.call_function("shiftleft", F.coalesce(digit, F.lit(0).cast("long")), (F.col("slot") * 2).cast("int"))
     on = [c for c in ("pop", "chrom", "pos") if c in thinned.columns and c in haplotypes.columns]
     return (
-        haplotypes.join(broadcast_checked(thinned, 2_000_000), on).groupBy(*keys, *unit)
-        .agg(F.sum(digit.cast("long")).alias("code"))
+        haplotypes.join(thinned, on).groupBy(*keys, *unit)
+        .agg(F.sum(digit).alias("code"))
     )
 
 
@@ -109,7 +115,7 @@ def window_hbar(
     keys = ["pop", "chrom", "blk"]
     unit = [c for c in haplotypes.columns if c in ("sample", "hap")]
     thinned = thin_blocks(markers, keys, s)
-    blocks = unbiased_homozygosity(haplotype_codes(thinned, haplotypes, keys, unit), keys)
+    blocks = unbiased_homozygosity(haplotype_codes(thinned, haplotypes, keys, unit, s), keys)
     over = ["chrom", "blk"] if anchor == "any" else keys
     first = markers.groupBy(*over).agg(F.min("pos").alias("_first"))
     return (

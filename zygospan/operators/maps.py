@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
 from zygospan.functions import genotype as G
-from zygospan.operators.blocked import broadcast_checked
 
 
 def window_rates(recmap: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -44,15 +43,17 @@ def cumulative_cm(rates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def add_cm(df: DataFrame, cum: DataFrame, pos: str = "pos", out: str = "cm", s: Settings = DEFAULTS) -> DataFrame:
-    """Genetic position of ``pos``; the last value holds past the end of the map."""
+    """Genetic position of ``pos``; the last value holds past the end of the map.
+
+    A chromosome that the map lacks keeps its rows, all at position 0 as on an empty map.
+    """
     end = cum.groupBy("chrom").agg(F.max(F.col("cm_start") + F.col("rate") * (s.window_bp / 1e6)).alias("_end"))
     table = cum.select("chrom", F.col("window_start").alias("_ws"), F.col("rate").alias("_r"), "cm_start")
-    table, end = broadcast_checked(table), broadcast_checked(end)
     inside = F.col("cm_start") + F.col("_r") * (F.col(pos) - F.col("_ws")) / 1e6
     return (
         df.withColumn("_ws", G.window_start(F.col(pos), s.window_bp))
-        .join(table, ["chrom", "_ws"], "left").join(end, "chrom")
-        .withColumn(out, F.coalesce(inside, F.col("_end")))
+        .join(table, ["chrom", "_ws"], "left").join(end, "chrom", "left")
+        .withColumn(out, F.coalesce(inside, F.col("_end"), F.lit(0.0)))
         .drop("_ws", "_r", "cm_start", "_end")
     )
 

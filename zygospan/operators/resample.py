@@ -169,21 +169,24 @@ def labelled_trials(
 
 
 def implanted_matches(
-    trials: DataFrame, haplotypes: DataFrame, draw: Draw, reach: int = 8_000_000,
+    trials: DataFrame, haplotypes: DataFrame, draw: Draw, reach: int | None = None,
     flip_per_mille: int = 1, s: Settings = DEFAULTS,
 ) -> DataFrame:
     """Match flags around each trial's focal marker after implanting and genotyping error.
 
-    Trials meet haplotypes on 1 Mb bins, never as a range join.
+    Without ``reach`` a trial meets all markers of its chromosome; with it, those that near,
+    found on 1 Mb bins and never as a range join.
     """
-    bins = F.sequence(
-        F.floor(F.greatest(F.col("focal") - reach, F.lit(0)) / s.window_bp),
-        F.floor((F.col("focal") + reach) / s.window_bp),
-    )
     hap = haplotypes.withColumn("bin", F.floor(F.col("pos") / s.window_bp))
     side = lambda n: hap.select("pop", "chrom", "bin", "pos", F.col("unit").alias(f"unit_{n}"), F.col("hap").alias(f"hap_{n}"), F.col("allele").alias(f"_{n}"))
-    near = trials.withColumn("bin", F.explode(bins)).join(side("a"), ["pop", "chrom", "bin", "unit_a", "hap_a"])
-    near = near.filter(F.abs(F.col("pos") - F.col("focal")) <= reach)
+    if reach is None:
+        near = trials.join(side("a").drop("bin"), ["pop", "chrom", "unit_a", "hap_a"])
+    else:
+        bins = F.sequence(
+            F.floor(F.greatest(F.col("focal") - reach, F.lit(0)) / s.window_bp), F.floor((F.col("focal") + reach) / s.window_bp),
+        )
+        near = trials.withColumn("bin", F.explode(bins)).join(side("a"), ["pop", "chrom", "bin", "unit_a", "hap_a"])
+        near = near.filter(F.abs(F.col("pos") - F.col("focal")) <= reach)
     both = near.join(side("b").drop("bin"), ["pop", "chrom", "pos", "unit_b", "hap_b"])
     implanted = (F.col("label") == 1) & (F.abs(F.col("pos") - F.col("focal")) <= F.col("half_bp"))
     flip = lambda k: (F.pmod(draw(F.col("t"), F.col("pos"), F.lit(k)), F.lit(1000)) < flip_per_mille).cast("int")

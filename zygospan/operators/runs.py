@@ -183,15 +183,27 @@ def keep_segments(segments: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def focal_runs(
     match: DataFrame, trial: str, focal: str, pos: str = "pos", hom: str = "hom",
-    gap: int = 1, reach: int = 8_000_000, s: Settings = DEFAULTS,
+    gap: int = 1, reach: int | None = None, s: Settings = DEFAULTS,
 ) -> DataFrame:
     """Length of the run over each trial's focal marker, 0 when it is a mismatch.
 
-    ``match`` holds one row per trial and marker and repeats the focal position.
+    ``match`` holds one row per trial and marker and repeats the focal position. With
+    ``reach``, only markers that near are looked at, and ``cut`` tells whether a marker
+    beyond could have made the run longer.
     """
-    near = match.filter(F.abs(F.col(pos) - F.col(focal)) <= reach)
+    if reach is not None:
+        far = match.filter(F.abs(F.col(pos) - F.col(focal)) > reach)
+        beyond = far.groupBy(trial, focal).agg(
+            F.max(F.when(F.col(pos) < F.col(focal), F.col(pos))).alias("_before"), F.min(F.when(F.col(pos) > F.col(focal), F.col(pos))).alias("_after"),
+        )
+    near = match if reach is None else match.filter(F.abs(F.col(pos) - F.col(focal)) <= reach)
     runs = call_runs(near, [trial, focal], pos, hom, (gap,), s.max_gap_bp, s.scan_block_bp)
     covers = (F.col("start_pos") <= F.col(focal)) & (F.col(focal) <= F.col("end_pos"))
-    return runs.groupBy(trial, focal).agg(
-        F.coalesce(F.max(F.when(covers, F.col("len_bp"))), F.lit(0)).alias("len_bp")
+    if reach is None:
+        return runs.groupBy(trial, focal).agg(F.coalesce(F.max(F.when(covers, F.col("len_bp"))), F.lit(0)).alias("len_bp"))
+    found = runs.groupBy(trial, focal).agg(
+        F.coalesce(F.max(F.when(covers, F.col("len_bp"))), F.lit(0)).alias("len_bp"),
+        F.max(F.when(covers, F.col("start_pos"))).alias("_start"), F.max(F.when(covers, F.col("end_pos"))).alias("_end"),
     )
+    open_ = (F.col("_start") - F.col("_before") <= s.max_gap_bp) | (F.col("_after") - F.col("_end") <= s.max_gap_bp)
+    return found.join(beyond, [trial, focal], "left").select(trial, focal, "len_bp", F.coalesce(open_, F.lit(False)).alias("cut"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import codes as C
 from zygospan.functions import evidence as E
-from zygospan.operators.blocked import attach, broadcast_checked
+from zygospan.operators.blocked import attach
 
 
 def median_rate(rates: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def interval_rates(intervals: DataFrame, rates: DataFrame, key: str, s: Settings
     bins = F.explode(F.when(hi >= lo, F.sequence(lo, hi)))
     touched = intervals.select(key, "chrom", bins.alias("_b")).withColumn("window_start", F.col("_b") * w)
     local = (
-        touched.join(broadcast_checked(rates.filter(F.col("rate") > 0)), ["chrom", "window_start"])
+        touched.join(rates.filter(F.col("rate") > 0), ["chrom", "window_start"])
         .groupBy(key).agg(F.avg("rate").alias("_local"))
     )
     return attach(intervals.join(local, key, "left"), median_rate(rates)).select(
@@ -42,22 +42,22 @@ def interval_rates(intervals: DataFrame, rates: DataFrame, key: str, s: Settings
 def interpolate_curve(df: DataFrame, curve: DataFrame, x_mb: Column, value: str = "log10_bf", s: Settings = DEFAULTS) -> DataFrame:
     """Linear interpolation on the uniform grid, clamped to both ends.
 
-    Two equi joins on ``(pop, cell)``; no range condition.
+    A population's curve travels as one array of its grid values, so every row meets one
+    row of its population whatever its cell. A population without a curve keeps its rows,
+    with a null value and ``known_population`` false.
     """
     last = s.grid_points - 1
     at = (x_mb * 1e6 - s.grid_start_bp) / s.grid_step_bp
     at = F.greatest(F.lit(0.0), F.least(at, F.lit(float(last))))
-    cells = curve.select(
-        "pop", ((F.col("l_bp") - s.grid_start_bp) / s.grid_step_bp).cast("long").alias("_k"), F.col(value).alias("_v")
-    )
-    left = cells.select("pop", "_k", F.col("_v").alias("_v0"))
-    right = cells.select("pop", F.col("_k").alias("_k1"), F.col("_v").alias("_v1"))
+    cells = F.sort_array(F.collect_list(F.struct(F.col("l_bp"), F.col(value).alias("v"))))
+    arrays = curve.groupBy("pop").agg(cells.alias("_cells")).withColumn("known_population", F.lit(True))
+    k = F.least(F.floor("_at"), F.lit(last - 1)).cast("int")
+    v0, v1 = F.get("_cells", k)["v"], F.get("_cells", k + 1)["v"]
+    # At most ``grid_points`` values for each population of the curve: a proved bound.
     return (
-        df.withColumn("_at", at).withColumn("_k", F.least(F.floor("_at"), F.lit(last - 1)))
-        .withColumn("_k1", F.col("_k") + 1)
-        .join(left, ["pop", "_k"]).join(right, ["pop", "_k1"])
-        .withColumn(value, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_k")))
-        .drop("_at", "_k", "_k1", "_v0", "_v1")
+        df.withColumn("_at", at).join(F.broadcast(arrays), "pop", "left")
+        .withColumn(value, v0 + (v1 - v0) * (F.col("_at") - k))
+        .withColumn("known_population", F.coalesce("known_population", F.lit(False))).drop("_at", "_cells")
     )
 
 

@@ -46,6 +46,15 @@ def phase_consistency(trio: DataFrame, by: Sequence[str] = ("trio",)) -> DataFra
     )
 
 
+def father_first(trio: DataFrame) -> DataFrame:
+    """The child's alleles in the order father, mother: swapped in trios whose sites fit order B better."""
+    order = phase_consistency(trio).select("trio", (F.col("convention") == "B").alias("_b"))
+    rows = trio.join(order, "trio")
+    return rows.withColumns({
+        "c0": F.when(F.col("_b"), F.col("c1")).otherwise(F.col("c0")), "c1": F.when(F.col("_b"), F.col("c0")).otherwise(F.col("c1")),
+    }).select(*trio.columns)
+
+
 def informative_sites(trio: DataFrame, deterministic: bool = False) -> DataFrame:
     """Heterozygous-parent sites of both parents with the transmitted label.
 
@@ -137,10 +146,15 @@ def trace_windows(trio: DataFrame, width: int = 250_000) -> DataFrame:
 
 
 def shared_calls(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom", "pos")) -> DataFrame:
-    """Sites in both call sets; a site listed twice counts once, the last one."""
-    once = lambda df, tag: df.groupBy(*keys).agg(F.max(F.struct(
-        *[c for c in ("line", "ref", "alt", "a0", "a1") if c in df.columns]
-    )).alias(tag))
+    """Sites in both call sets; of a site listed twice the record with the highest ``line`` counts.
+
+    Both sides need a ``line`` column that orders their records, as ``variants.call_set`` gives.
+    """
+    for df in (left, right):
+        if "line" not in df.columns:
+            raise ValueError("a call set needs a column 'line' that orders its records")
+    fields = ("ref", "alt", "a0", "a1")
+    once = lambda df, tag: df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in fields if c in df.columns]), "line").alias(tag))
     return once(left, "_l").join(once(right, "_r"), list(keys))
 
 

@@ -40,25 +40,23 @@ def homozygosity_calls(genotypes: DataFrame, members: DataFrame, common: DataFra
 def calls_from_variants(
     variants: DataFrame, names: Sequence[str], members: Mapping[str, str], s: Settings = DEFAULTS, missing: str = "drop"
 ) -> DataFrame:
-    """Homozygosity calls straight from cohort lines, without any shuffle.
+    """Homozygosity calls straight from cohort lines; only the table of names is joined.
 
-    Frequencies are judged once per site; a sample's field is only unpacked where
-    the site is common in its population. ``members`` maps sample to population.
+    Frequencies are judged once per site; a sample's field is only kept where the
+    site is common in its population. ``members`` maps sample to population.
     """
     pops = sorted(set(members.values()))
     common = F.array_compact(F.array(*[
         F.when(G.is_common(G.info_value(F.col("info"), f"AF_{p}"), s.maf_min), F.lit(p)) for p in pops
     ]))
-    index = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(n).alias("sample"), F.lit(members[n]).alias("pop"))
-        for i, n in enumerate(names) if n in members
-    ])
+    spark = variants.sparkSession
+    index = spark.createDataFrame([(i, n, members[n]) for i, n in enumerate(names) if n in members], "i int, sample string, pop string")
     sites = V.snvs(variants).withColumn("_common", common).filter(F.size("_common") > 0)
-    mine = F.filter(index, lambda x: F.array_contains(F.col("_common"), x["pop"]))
-    rows = sites.select("chrom", "pos", F.split("gts", "\t").alias("_g"), F.explode(mine).alias("_s"))
-    gt = F.expr("get(_g, _s.i)")
+    rows = sites.select("chrom", "pos", "_common", F.posexplode(F.split("gts", "\t")).alias("i", "_g"))
+    rows = rows.join(index, "i").filter(F.array_contains("_common", F.col("pop")))
+    gt = F.col("_g")
     hom = G.is_homozygous(F.substring(gt, 1, 1).try_cast("int"), F.substring(gt, 3, 1).try_cast("int"), missing)
-    return rows.select("_s.pop", "_s.sample", "chrom", "pos", hom.alias("hom")).filter(F.col("hom").isNotNull())
+    return rows.select("pop", "sample", "chrom", "pos", hom.alias("hom")).filter(F.col("hom").isNotNull())
 
 
 def sample_null(
@@ -163,7 +161,8 @@ def platform_sensitivity(calls: DataFrame, selections: DataFrame, span: DataFram
     on = platform_calls(calls, selections)
     keys = ["platform", "pop", "sample"]
     runs = call_runs(on, [*keys, "chrom"], gaps=(s.gap_tol,), max_gap=s.max_gap_bp, block=s.scan_block_bp)
-    typed = on.select(*keys).distinct().join(span, SAMPLE)
+    # Every sample of a platform's populations counts, also one without a call on its markers.
+    typed = span.join(selections.select("platform", "pop").distinct(), "pop").select(*keys, *[c for c in span.columns if c not in keys])
     return Null(keep_segments(runs, s), B.sample_burden(keep_segments(runs, s), typed, keys, s))
 
 

@@ -13,8 +13,8 @@ from zygospan.operators.runs import call_runs
 
 
 def run_based_crossovers(trio: DataFrame, min_run: int = 2000) -> DataFrame:
-    """Label changes between long runs over all informative sites."""
-    sites = T.enough_sites(T.informative_sites(trio), 2 * min_run)
+    """Label changes between long runs over all informative sites, each trio in the allele order it is written in."""
+    sites = T.enough_sites(T.informative_sites(T.father_first(trio)), 2 * min_run)
     return T.crossovers(T.haplotype_runs(sites), min_run)
 
 

@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession, path: str | None = None) -> str:
+    """The folder all executors share: the given one or that of ``spark.checkpoint.dir``.
+
+    Only a session in local mode, whose executors are threads of one process, gets a folder of its own.
+    """
+    path = path or spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("give a folder that all executors share, or start the session with spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
 
 
 def wide_by(df: DataFrame, index: Sequence[str], column: str, values: Sequence, value: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Variant call text to typed tables, and cohort subsets back to text."""
+"""Variant call text to typed tables, and subsets of a cohort."""
 
 from __future__ import annotations
 
@@ -13,15 +13,28 @@ FIXED = 9
 
 
 def sample_names(lines: DataFrame) -> list[str]:
-    """Sample names of the single ``#CHROM`` header line."""
-    header = lines.filter(F.col("value").startswith("#CHROM")).head()
-    if header is None:
+    """Sample names of the ``#CHROM`` header lines, which must be alike in all files."""
+    headers = lines.filter(F.col("value").startswith("#CHROM")).select(F.rtrim("value").alias("value")).distinct().take(2)
+    if not headers:
         raise ValueError("no #CHROM header line")
-    return header["value"].rstrip("\n").split("\t")[FIXED:]
+    if len(headers) > 1:
+        raise ValueError("the files' #CHROM header lines differ: read them one by one")
+    return headers[0]["value"].split("\t")[FIXED:]
+
+
+def name_table(spark: SparkSession, names: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+    """``i, sample`` of the wanted columns: a table rather than literals, as a cohort may have any number of samples."""
+    wanted = None if keep is None else set(keep)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names) if wanted is None or n in wanted], "i int, sample string")
 
 
 def parse_variants(lines: DataFrame) -> DataFrame:
-    """Typed site columns; the genotype fields stay one unsplit string."""
+    """Typed site columns; the genotype fields stay one unsplit string.
+
+    ``line`` orders the records of a file as they stand in it, if ``lines`` has the
+    columns that ``read_lines`` adds; else in the order in which rows are read.
+    """
+    order = [F.col(c) for c in ("file", "block") if c in lines.columns]
     part = lambda i: F.get("_f", F.lit(i))
     return (
         lines.filter(~F.col("value").startswith("#"))
@@ -30,14 +43,20 @@ def parse_variants(lines: DataFrame) -> DataFrame:
             part(0).alias("chrom"), part(1).try_cast("long").alias("pos"),
             part(2).alias("id"), part(3).alias("ref"), part(4).alias("alt"),
             part(7).alias("info"), part(8).alias("format"), part(9).alias("gts"),
+            F.struct(*order, F.monotonically_increasing_id().alias("row")).alias("line"),
         )
         .filter(F.col("pos").isNotNull())
     )
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Text lines with their file and the start of the block they were read from."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
 def read_variants(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, list[str]]:
     """Variants and sample names. Gzip files are one task each: ingest once to Parquet."""
-    lines = spark.read.text(path)
+    lines = read_lines(spark, path)
     return parse_variants(lines), sample_names(lines)
 
 
@@ -48,14 +67,12 @@ def snvs(variants: DataFrame, drop_star: bool = False) -> DataFrame:
 def genotypes_long(
     variants: DataFrame, names: Sequence[str], keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per site and sample; only the samples in ``keep`` are exploded."""
-    keep_set = None if keep is None else set(keep)
-    wanted = [(i, n) for i, n in enumerate(names) if keep_set is None or n in keep_set]
-    index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("sample")) for i, n in wanted])
-    rows = variants.withColumn("_g", F.split("gts", "\t")).withColumn("_s", F.explode(index))
-    gt = F.substring_index(F.expr("get(_g, _s.i)"), ":", 1)
+    """One row per site and sample in ``keep``."""
+    rows = variants.select("chrom", "pos", "ref", "alt", F.posexplode(F.split("gts", "\t")).alias("i", "_g"))
+    rows = rows.join(name_table(variants.sparkSession, names, keep), "i")
+    gt = F.substring_index("_g", ":", 1)
     return rows.select(
-        "chrom", "pos", "ref", "alt", F.col("_s.sample").alias("sample"), gt.alias("gt"),
+        "chrom", "pos", "ref", "alt", "sample", gt.alias("gt"),
         F.substring(gt, 1, 1).try_cast("int").alias("a0"),
         F.substring(gt, 3, 1).try_cast("int").alias("a1"),
     )
@@ -104,7 +121,7 @@ def call_set(variants: DataFrame, names: Sequence[str], sample: str, chrom: str)
     calls = snvs(variants.filter(F.col("chrom") == chrom)).withColumn("gt", gt)
     return calls.filter(G.is_complete_phased(F.col("gt"))).select(
         "chrom", "pos", "ref", "alt", G.allele(F.col("gt"), 0).alias("a0"),
-        G.allele(F.col("gt"), 1).alias("a1"),
+        G.allele(F.col("gt"), 1).alias("a1"), *(["line"] if "line" in variants.columns else []),
     )
 
 
