@@ -54,7 +54,7 @@ def test_calls_from_cohort_lines(spark):
     calls = background.calls_from_variants(parse_variants(df), names, {"a": "P", "b": "P", "c": "Q"})
     got = sorted((r.sample, r.pos, r.hom) for r in calls.collect())
     assert got == [("a", 10, True), ("b", 10, False), ("b", 40, True), ("c", 20, False)]
-    assert "Exchange" not in calls._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in calls._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stored_null_equals_lazy(spark):

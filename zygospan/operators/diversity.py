@@ -78,7 +78,7 @@ def haplotype_codes(thinned: DataFrame, haplotypes: DataFrame, keys: Sequence[st
     """
     if s.block_max_markers > MOST_MARKERS:
         raise ValueError(f"a code holds at most {MOST_MARKERS} markers a block, not {s.block_max_markers}")
-    digit = F.least(F.col("allele") + 1, F.lit(3)).cast("long")
+    digit = F.when(F.col("allele").isNotNull(), F.least(F.col("allele") + 1, F.lit(3))).cast("long")
     digit = F.call_function("shiftleft", F.coalesce(digit, F.lit(0).cast("long")), (F.col("slot") * 2).cast("int"))
     on = [c for c in ("pop", "chrom", "pos") if c in thinned.columns and c in haplotypes.columns]
     return (
