@@ -14,7 +14,7 @@ from checks.joins import FAMILY_SQL, INTERVALS_SQL, PAIRS_SQL, arithmetic_draw,
 from checks.registry import check
 from checks.scans import LOCI_SQL, _SUBSET, _gt_rows, loci, two_call_sets
 from checks.scalars import _mcl
-from checks.sequences import MATCH_SQL, XO, trial_parts
+from checks.sequences import MATCH_SQL, XO, states_sql, trial_parts
 from checks.views import EMISSION, THR, curve_sql, lstar_sql, rd, runs_sql, sql
 from zygospan.config import DEFAULTS
 from zygospan.operators import background as B
@@ -44,7 +44,7 @@ def _(v):
     return PT.robust_crossovers(v.trio, 10).select("trio", "parent", "chrom", "prev_pos", "new_pos", "survives")
 
 
-@check("j03_state_model_crossovers")
+@check("j03_state_model_crossovers", states_sql("select trio, parent, chrom, prev_pos, new_pos, prev_state, new_state, posterior, gap_bp from switches where n >= 100"))
 def _(v):
     return PT.hmm_crossovers(v.trio, 1.2).withColumn("posterior", F.round("posterior", 6))
 

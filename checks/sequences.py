@@ -131,18 +131,50 @@ def _(v):
     return P.top_frequency(v.common, P.density_targets(v.common, 40.0)).select("pop", "chrom", "pos")
 
 
-@check("e12_state_posteriors")
+# Forward, backward and best path as recursions over a trio's sites; sinh keeps short distances exact.
+STATES = """obs as (select trio, parent, chrom, pos, row_number() over w as i, count(*) over (partition by trio, parent, chrom) as n,
+  case when observed = p0 then 0.999 else 0.001 end as e0, case when observed = p1 then 0.999 else 0.001 end as e1,
+  least(greatest(exp(-(pos - lag(pos) over w) * 1.2e-8) * sinh((pos - lag(pos) over w) * 1.2e-8), 1e-15), 0.5 - 1e-12) as t
+  from informative where o0 = o1 window w as (partition by trio, parent, chrom order by pos)),
+ fwd as (select trio, parent, chrom, i, e0 / (e0 + e1) as a0, e1 / (e0 + e1) as a1 from obs where i = 1
+  union all select trio, parent, chrom, i, x0 / (x0 + x1), x1 / (x0 + x1) from (
+   select o.trio, o.parent, o.chrom, o.i, (f.a0 * (1 - o.t) + f.a1 * o.t) * o.e0 as x0, (f.a1 * (1 - o.t) + f.a0 * o.t) * o.e1 as x1
+   from fwd f join obs o on o.trio = f.trio and o.parent = f.parent and o.chrom = f.chrom and o.i = f.i + 1)),
+ bwd as (select trio, parent, chrom, i, 0.5::double as b0, 0.5::double as b1 from obs where i = n
+  union all select trio, parent, chrom, i, x0 / (x0 + x1), x1 / (x0 + x1) from (
+   select o.trio, o.parent, o.chrom, b.i - 1 as i, b.b0 * o.e0 * (1 - o.t) + b.b1 * o.e1 * o.t as x0, b.b1 * o.e1 * (1 - o.t) + b.b0 * o.e0 * o.t as x1
+   from bwd b join obs o on o.trio = b.trio and o.parent = b.parent and o.chrom = b.chrom and o.i = b.i and b.i > 1)),
+ vit as (select trio, parent, chrom, i, n, ln(0.5) + ln(e0) as v0, ln(0.5) + ln(e1) as v1, 0 as c0, 0 as c1 from obs where i = 1
+  union all select o.trio, o.parent, o.chrom, o.i, o.n, greatest(v.v0 + ln(1 - o.t), v.v1 + ln(o.t)) + ln(o.e0), greatest(v.v0 + ln(o.t), v.v1 + ln(1 - o.t)) + ln(o.e1),
+   cast(v.v0 + ln(1 - o.t) < v.v1 + ln(o.t) as int), cast(v.v0 + ln(o.t) < v.v1 + ln(1 - o.t) as int)
+   from vit v join obs o on o.trio = v.trio and o.parent = v.parent and o.chrom = v.chrom and o.i = v.i + 1),
+ path as (select trio, parent, chrom, i, cast(v0 < v1 as int) as state from vit where i = n
+  union all select p.trio, p.parent, p.chrom, p.i - 1, case when p.state = 0 then v.c0 else v.c1 end
+   from path p join vit v on v.trio = p.trio and v.parent = p.parent and v.chrom = p.chrom and v.i = p.i and p.i > 1),
+ states as (select o.trio, o.parent, o.chrom, o.pos, o.n, f.a0 * b.b0 / (f.a0 * b.b0 + f.a1 * b.b1) as p0, p.state from obs o
+  join fwd f using (trio, parent, chrom, i) join bwd b using (trio, parent, chrom, i) join path p using (trio, parent, chrom, i)),
+ moves as (select trio, parent, chrom, n, lag(pos) over w as prev_pos, pos as new_pos, lag(state) over w as prev_state, state as new_state,
+  case when state = 0 then p0 else 1 - p0 end as posterior from states window w as (partition by trio, parent, chrom order by pos)),
+ switches as (select trio, parent, chrom, n, prev_pos, new_pos, prev_state, new_state, round(posterior, 6) as posterior, new_pos - prev_pos as gap_bp
+  from moves where prev_state <> new_state and posterior >= 0.95)"""
+
+
+def states_sql(body: str) -> str:
+    return sql(f"with {STATES} {body}", "informative").replace("with ", "with recursive ", 1)
+
+
+@check("e12_state_posteriors", states_sql("select trio, parent, chrom, pos, round(p0, 6) as p0, round(1 - p0, 6) as p1 from states"))
 def _(v):
     out = H.transmission_states(T.informative_sites(v.trio, deterministic=True), 1.2)
     return out.select("trio", "parent", "chrom", "pos", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
 
-@check("e13_best_path")
+@check("e13_best_path", states_sql("select trio, parent, chrom, pos, state from states"))
 def _(v):
     return H.transmission_states(T.informative_sites(v.trio, deterministic=True), 1.2).select("trio", "parent", "chrom", "pos", "state")
 
 
-@check("e14_state_crossovers")
+@check("e14_state_crossovers", states_sql("select trio, parent, chrom, prev_pos, new_pos, prev_state, new_state, posterior, gap_bp from switches"))
 def _(v):
     out = H.state_crossovers(H.transmission_states(T.informative_sites(v.trio, deterministic=True), 1.2))
     return out.withColumn("posterior", F.round("posterior", 6))
