@@ -223,7 +223,8 @@ def transmission_states(
     ends = ", ".join(f"{n}_{k} double" for n in ("in", "score", "out") for k in (0, 1))
     messages = _apply(blocks.repartition(parts, *KEYS), KEYS, "_blk", lambda p, at: _chain(p, at, rate),
                       f"{typed}, {ends}, end_state int")
-    joined = rows.join(messages, [*KEYS, "_blk"]).repartition(parts, *KEYS, "_blk")
+    # The rows keep their partitioning through the join, whichever kind it becomes.
+    joined = rows.join(messages, [*KEYS, "_blk"])
     return _apply(joined, [*KEYS, "_blk"], "pos", lambda p, at: _solve(p, at, rate, eps),
                   f"{typed}, pos long, p0 double, p1 double, state int")
 
