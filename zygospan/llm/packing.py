@@ -7,6 +7,7 @@ widened gap more tightly. Badly filled bins of all shards are packed again toget
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -20,29 +21,79 @@ LENGTH = 2048
 END = 0
 SHARD_PIECES = 8192
 WELL_FILLED = 0.98
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 TOKENIZER = "word_bpe_49k.json"
+# Words whose lower-case form and parts do not hang on their context, and the parts the tokenizer's own pattern cuts.
+_LETTER = "a-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[!-~{_LETTER}]*")
+_LETTERS = re.compile(f"[{_LETTER}]+")
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 
 
 class WordTokenizer:
-    """Ids of whole texts by the named tokenizer, which joins nothing over white space: each word is encoded once."""
+    """Ids of whole texts by the named tokenizer, which joins nothing over white space: words are encoded once and kept.
+
+    A word of plain letters, digits and marks is taken apart as the tokenizer does it, so that its parts are shared
+    with other words; letter runs go through the tokenizer many at a time, as each ends in a token of its own kind.
+    """
+
+    _shared: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """One for all tasks of a worker process."""
+        if path not in cls._shared:
+            cls._shared[path] = cls(path)
+        return cls._shared[path]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [t.split(" ") if "\n" not in t and "\t" not in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in lists for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in lists]
+        lists = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        for cache in (self.words, self.parts):
+            if len(cache) > self.most:
+                cache.clear()
+        new = set().union(*lists).difference(self.words)
+        if new:
+            self._learn(new)
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in lists]
+
+    def _learn(self, new: set[str]) -> None:
+        plain = {w: _PART.findall(w.lower()) for w in new if _PLAIN.fullmatch(w) and "<|" not in w}
+        for w, ids in self._encoded([w for w in new if w not in plain]):
+            self.words[w] = ids
+        missing = set().union(*plain.values()).difference(self.parts)
+        runs = [p for p in missing if _LETTERS.fullmatch(p)]
+        self.parts.update(self._encoded([p for p in missing if not _LETTERS.fullmatch(p)]))
+        for at in range(0, len(runs), 4096):
+            some = runs[at : at + 4096]
+            lines = [some[i : i + 128] for i in range(0, len(some), 128)]
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(line):
+                    self.parts.update(self._encoded(line))
+                    continue
+                data, start = ids.tobytes(), 0
+                for p, end in zip(line, ends.tolist()):
+                    self.parts[p] = data[4 * start : 4 * end]
+                    start = end
+        get = self.parts.__getitem__
+        for w, parts in plain.items():
+            self.words[w] = b"".join(map(get, parts))
+
+    def _encoded(self, texts: list[str]):
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                yield t, np.array(e.ids, dtype="<u4").tobytes()
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,7 +111,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, wi
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
-        words = WordTokenizer(tokenizer_path(tokenizer))
+        words = WordTokenizer.shared(tokenizer_path(tokenizer))
         for batch in small_batches(batches, most=2 << 20):
             out = []
             for doc_id, ids in zip(column(batch, "doc_id"), words.encode([t or "" for t in column(batch, "text")])):
