@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from zygospan.llm.common import cut
 
-BLOCK = 16
+BLOCK = 8
 REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SHARD_WORDS = 1 << 20

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -146,32 +147,37 @@ def features(text: str | None, model: Model, auto) -> list[float]:
 def lexicon(sample: DataFrame, least: int, most: int = LEXICON, purity: float = 0.9) -> tuple[dict[str, float], dict[str, float]]:
     """Insult words and stems with log-odds weights from ``sample`` (``text, y``).
 
-    A term counts in a toxic text once for each pair of neighbours it was seen between anywhere, so the words of one
-    much-copied text do not pass for insults; it needs ``least`` such settings, and a share of ``purity`` among the
-    texts that hold it. The ``most`` commonest go into the lexicon, which bounds what is collected.
+    A term needs ``least`` toxic texts that hold it, as many different pairs of neighbours (so the words of one
+    much-copied text do not pass for insults), and a share of ``purity`` of toxic ones among the texts that hold it.
+    The ``most`` commonest go into the lexicon, which bounds what is collected.
     """
+    kinds = (("term", pa.string()), ("ctx", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()))
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+
     def count(batches):
         clean: Counter[str] = Counter()
+        rows: list[tuple] = []
         for batch in small_batches(batches):
-            rows = []
             for text, y in zip(column(batch, "text"), column(batch, "y")):
                 words = WORD.findall((text or "").lower())
-                if y == 1:
-                    around = zip(words, ["", *words], [*words[1:], ""])
-                    for w, before, after in set(around):
-                        rows += [(t, f"{before} {after}", 0) for t in terms(w)]
-                else:
+                if y != 1:
                     clean.update({t for w in set(words) for t in terms(w)})
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["term", "ctx", "clean"])
+                    continue
+                rows += [(t, None, 1, 0) for t in {t for w in set(words) for t in terms(w)}]
+                for w, before, after in set(zip(words, ["", *words], [*words[1:], ""])):
+                    rows += [(t, f"{before} {after}", 0, 0) for t in terms(w)]
+                    if len(rows) > 50_000:
+                        yield table(rows)
+                        rows.clear()
+        yield table(rows)
         for at in range(0, len(clean), 100_000):
-            part = list(clean.items())[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part]), pa.nulls(len(part), pa.string()), pa.array([p[1] for p in part], pa.int64())], ["term", "ctx", "clean"])
+            yield table([(t, None, 0, n) for t, n in islice(clean.items(), at, at + 100_000)])
 
-    counts = sample.select("text", "y").mapInArrow(count, "term string, ctx string, clean long")
-    per_ctx = counts.groupBy("term", "ctx").agg(F.sum("clean").alias("clean"))
-    per = per_ctx.groupBy("term").agg(F.count("ctx").alias("t"), F.sum("clean").alias("c"))
+    counts = sample.select("text", "y").mapInArrow(count, "term string, ctx string, toxic long, clean long")
+    per_ctx = counts.groupBy("term", "ctx").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    per = per_ctx.groupBy("term").agg(F.count("ctx").alias("settings"), F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     n = sample.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    top = per.filter((F.col("t") >= least) & (F.col("t") >= purity * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "term").limit(most).collect()
+    top = per.filter((F.col("t") >= least) & (F.col("settings") >= least) & (F.col("t") >= purity * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "term").limit(most).collect()
     words, stems = {}, {}
     for r in top:
         weight = float(np.log((r.t + 0.5) / (n.t + 1)) - np.log((r.c + 0.5) / (n.n - n.t + 1)))
