@@ -53,7 +53,8 @@ def calls_from_variants(
     index = spark.createDataFrame([(i, n, members[n]) for i, n in enumerate(names) if n in members], "i int, sample string, pop string")
     sites = V.snvs(variants).withColumn("_common", common).filter(F.size("_common") > 0)
     rows = sites.select("chrom", "pos", "_common", F.posexplode(F.split("gts", "\t")).alias("i", "_g"))
-    rows = rows.join(index, "i").filter(F.array_contains("_common", F.col("pop")))
+    # The names fill one header line, no longer than each line of calls that a task holds: a proved bound.
+    rows = rows.join(F.broadcast(index), "i").filter(F.array_contains("_common", F.col("pop")))
     gt = F.col("_g")
     hom = G.is_homozygous(F.substring(gt, 1, 1).try_cast("int"), F.substring(gt, 3, 1).try_cast("int"), missing)
     return rows.select("pop", "sample", "chrom", "pos", hom.alias("hom")).filter(F.col("hom").isNotNull())

@@ -69,7 +69,8 @@ def genotypes_long(
 ) -> DataFrame:
     """One row per site and sample in ``keep``."""
     rows = variants.select("chrom", "pos", "ref", "alt", F.posexplode(F.split("gts", "\t")).alias("i", "_g"))
-    rows = rows.join(name_table(variants.sparkSession, names, keep), "i")
+    # The names fill one header line, no longer than each line of calls that a task holds: a proved bound.
+    rows = rows.join(F.broadcast(name_table(variants.sparkSession, names, keep)), "i")
     gt = F.substring_index("_g", ":", 1)
     return rows.select(
         "chrom", "pos", "ref", "alt", "sample", gt.alias("gt"),
