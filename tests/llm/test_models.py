@@ -62,6 +62,20 @@ def test_language_without_rows(spark):
     assert language.identify(frame(spark, [(1, "abc", "aa", None, 3)]), {}).head().lang_pred == "und"
 
 
+def test_a_repeated_text_takes_one_place_of_a_language(spark):
+    rng = random.Random(4)
+    texts = [words(rng, 12) for _ in range(50)]
+    hashes = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) as h").orderBy("h").collect()
+    data = [(i, t, "aa", None, 1) for i, t in enumerate(texts + [hashes[0].text] * 400)]
+    model = language.train(frame(spark, data), sample_docs=20)
+    assert model["aa"].decode().split("\n") == [r.text for r in hashes[:20]]
+
+
+def test_every_language_is_learned(spark):
+    data = [(i, f"text of {i}", f"l{i}", None, 1) for i in range(300)]
+    assert len(language.train(frame(spark, data))) == 300
+
+
 def test_training_rows_are_bounded_and_held_in(spark):
     _, labels = corpus()
     rows = training_rows(label_frame(spark, labels), "quality", 5, 0, 50)

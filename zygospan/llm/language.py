@@ -13,24 +13,21 @@ from zygospan.llm.common import column, small_batches
 
 SAMPLE_DOCS = 200
 STRETCH = 600
-MOST_LANGUAGES = 256
 PIECE = 4096
 UNKNOWN = "und"
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, stretch: int = STRETCH, most_languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, stretch: int = STRETCH) -> dict[str, bytes]:
     """A dictionary per non-null ``lang`` from a bounded sample of its rows, lower-cased, lowest text hash first.
 
-    The sample is bounded by ``sample_docs`` texts a language, ``stretch`` characters of each (at a place drawn by the
-    hash, so one long text does not fill a dictionary) and the ``most_languages`` most frequent languages. Null and
-    empty texts teach nothing, equal texts teach once.
+    The sample is bounded by ``sample_docs`` distinct texts a language and ``stretch`` characters of each (at a place
+    drawn by the hash, so one long text does not fill a dictionary). Every language is learned; their dictionaries
+    together, 0.1 MB each, must fit a worker. Null and empty texts teach nothing, equal texts teach once.
     """
     rows = docs.select("text", F.col("lang").cast("string")).filter(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
     h = F.xxhash64("text")
     least = Window.partitionBy("lang").orderBy("h")
-    picks = rows.select("lang", h.alias("h")).withColumn("n", F.row_number().over(least)).filter(F.col("n") <= sample_docs)
-    picks = picks.join(F.broadcast(common), "lang").select("lang", "h").distinct()
+    picks = rows.select("lang", h.alias("h")).distinct().withColumn("n", F.row_number().over(least)).filter(F.col("n") <= sample_docs).drop("n")
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - stretch, F.lit(0)) + 1).cast("int") + 1
     texts = rows.withColumn("h", h).join(F.broadcast(picks), ["lang", "h"]).select("lang", "h", F.lower(F.substring("text", start, F.lit(stretch))).alias("t")).distinct()
     parts: dict[str, list[tuple[int, str]]] = {}
