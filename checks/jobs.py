@@ -10,7 +10,7 @@ from checks.aggregates import (
     BIN_EXPO, HBAR, HETW_RATES, LOADS, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
     _FLOORS, boot_draw, boot_sql, TRACE_SQL, ARMS, centromeres, ENRICH,
 )
-from checks.joins import FAMILY_SQL, INTERVALS_SQL, PAIRS_SQL, arithmetic_draw, families, founders, intervals, manifest, MANIFEST_SQL
+from checks.joins import FAMILY_SQL, INTERVALS_SQL, PAIRS_SQL, arithmetic_draw, draw_sql, families, founders, intervals, manifest, MANIFEST_SQL
 from checks.registry import check
 from checks.scans import LOCI_SQL, _SUBSET, _gt_rows, loci, two_call_sets
 from checks.scalars import _mcl
@@ -149,11 +149,25 @@ def _(v):
     return out.select("pop", "lstar_mb", rd("ci_lo"), rd("ci_hi"), rd("median"), rd("se"), "n_unconverged")
 
 
-@check("j13_lstar_surface", sql(f"""with {SURFACE} select c.pop, cast(c.gap as int) as gap, coalesce(min(case when c.x / e.e <= {THR} then c.l_bp end) / 1e6, 'inf'::double) as lstar_mb
- from cv c join ex e on e.pop = c.pop and e.screen = c.screen where c.screen = 'none' group by 1, 2""", "segs3", "burden", "grid"))
+LADDER = [None, 0.05, 0.0156, 0.005]
+SURFACE_BOOT = f"""{SURFACE}, ix as (select pop, screen, sample, span_bp, row_number() over (partition by pop, screen order by sample) - 1 as idx, count(*) over (partition by pop, screen) as n_units from kp),
+ bw as (select pop, screen, b.b, ({draw_sql('b.b', 'ix.idx')}) % n_units as idx, count(*) as w from ix cross join (select unnest(range(1, 21)) as b) b group by 1, 2, 3, 4),
+ wt as (select bw.pop, bw.screen, bw.b, ix.sample, ix.span_bp, bw.w from bw join ix using (pop, screen, idx)),
+ be as (select pop, screen, b, sum(w * span_bp) as expo from wt group by 1, 2, 3),
+ sc as (select sample, gap, least((len_bp - 100000) // 50000, 238) as k, count(*) as c, sum(len_bp) as t from segs3 where len_bp >= 100000 group by 1, 2, 3),
+ bc as (select wt.pop, wt.screen, wt.b, sc.gap, sc.k, sum(w * c) as c, sum(w * t) as t from wt join sc using (sample) group by 1, 2, 3, 4, 5),
+ fu as (select x.*, g.k, coalesce(bc.c, 0) as c, coalesce(bc.t, 0) as t from (select distinct pop, screen, b, gap from bc) x cross join (select unnest(range(239)) as k) g left join bc using (pop, screen, b, gap, k)),
+ cu as (select pop, screen, b, gap, 100000 + 50000 * k as l_bp, sum(c) over w as c, sum(t) over w as t from fu window w as (partition by pop, screen, b, gap order by k desc)),
+ bl as (select pop, screen, gap, b, coalesce(min(case when (t - c * l_bp) / expo <= {THR} then l_bp end) / 1e6, 'inf'::double) as l from cu join be using (pop, screen, b) group by 1, 2, 3, 4),
+ ci as (select pop, screen, gap, quantile_cont(case when isinf(l) then 12.05 else l end, 0.025) as ci_lo, quantile_cont(case when isinf(l) then 12.05 else l end, 0.975) as ci_hi, count(case when isinf(l) then 1 end) as n_unconverged from bl group by 1, 2, 3)"""
+
+
+@check("j13_lstar_surface", sql(f"""with {SURFACE_BOOT} select x.*, round(ci_lo + 1e-9, 6) as ci_lo, round(ci_hi + 1e-9, 6) as ci_hi, n_unconverged from (
+ select c.pop, cast(c.gap as int) as gap, c.screen, coalesce(min(case when c.x / e.e <= {THR} then c.l_bp end) / 1e6, 'inf'::double) as lstar_mb, max(e.n_kept) as n_kept
+ from cv c join ex e on e.pop = c.pop and e.screen = c.screen group by 1, 2, 3) x join ci using (pop, gap, screen)""", "segs3", "burden", "grid"))
 def _(v):
-    null = v.null((0, 1, 2))
-    return B.lstar_surface(null.segments, null.burden, [None]).select("pop", "gap", "lstar_mb")
+    out = PB.lstar_surface(v.null((0, 1, 2)), LADDER, 20, F.floor(F.col("sample") / 64), boot_draw)
+    return out.select("pop", "gap", "screen", "lstar_mb", "n_kept", rd("ci_lo"), rd("ci_hi"), "n_unconverged")
 
 
 PROXY = f"""{MANIFEST_SQL}, hit as (select c.*, 'A1' as platform from common c join manifest m on m.chrom = c.chrom and m.pos = c.pos), sz as (select pop, chrom, count(*) as t from hit group by 1, 2),
@@ -189,11 +203,20 @@ def _(v):
     return B.emission_sensitivity(PB.background_curves(v.null()), density)
 
 
-@check("j16_rate_binned_lstar", sql(f"""with {RATE_BINS}, {BIN_EXPO}, {curve_sql('bcv', 'sb', 'bexpo', 'bin')}, bl as ({lstar_sql('bcv', 'bin')})
- select rb.bin, coalesce(bl.lstar_mb, 'inf'::double) as lstar_mb, round({_mcl('mean_rate', '0.05')} + 1e-9, 6) as lstar_closed_mb from rb left join bl using (bin)""", "segs_kept", "cum", "grid"))
+BIN_BOOT = f"""ix as (select sample, row_number() over (order by sample) - 1 as idx, count(*) over () as n_units from kept),
+ bw as (select b.b, ({draw_sql('b.b', 'ix.idx')}) % n_units as idx, count(*) as w from ix cross join (select unnest(range(1, 21)) as b) b group by 1, 2),
+ wt as (select bw.b, ix.sample, bw.w from bw join ix using (idx)),
+ bc as (select wt.b, sb.bin, g.l_bp, sum(w * greatest(0, sb.len_bp - g.l_bp)) as ex from wt join sb using (sample) cross join grid g group by 1, 2, 3),
+ br as (select bin, b, min(case when ex / exposure_bp <= {THR} then l_bp end) / 1e6 as l from bc join bexpo using (bin) group by 1, 2),
+ ci as (select bin, round(quantile_cont(l, 0.025) + 1e-9, 6) as ci_lo, round(quantile_cont(l, 0.975) + 1e-9, 6) as ci_hi, 20 - count(l) as n_unconverged from br group by 1)"""
+
+
+@check("j16_rate_binned_lstar", sql(f"""with {RATE_BINS}, {BIN_EXPO}, {curve_sql('bcv', 'sb', 'bexpo', 'bin')}, bl as ({lstar_sql('bcv', 'bin')}), {BIN_BOOT}
+ select rb.bin, coalesce(bl.lstar_mb, 'inf'::double) as lstar_mb, round({_mcl('mean_rate', '0.05')} + 1e-9, 6) as lstar_closed_mb, ci_lo, ci_hi, coalesce(n_unconverged, 20) as n_unconverged
+ from rb left join bl using (bin) left join ci using (bin)""", "segs_kept", "cum", "grid"))
 def _(v):
-    out = PB.rate_binned(v.null(), M.cumulative_cm(v.rates), v.rates, 0.05)
-    return out.select("bin", "lstar_mb", rd("lstar_closed_mb"))
+    out = PB.rate_binned(v.null(), M.cumulative_cm(v.rates), v.rates, 0.05, replicates=20, block=F.floor(F.col("sample") / 64), draw=boot_draw)
+    return out.select("bin", "lstar_mb", rd("lstar_closed_mb"), rd("ci_lo"), rd("ci_hi"), "n_unconverged")
 
 
 SCORE = INTERVALS_SQL + f""",

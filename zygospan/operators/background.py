@@ -117,12 +117,8 @@ def upper_lengths(segments: DataFrame, totals: DataFrame, by: Sequence[str], pro
     )
 
 
-def lstar_surface(segments: DataFrame, burden: DataFrame, cutoffs: Sequence[float | None], s: Settings = DEFAULTS) -> DataFrame:
-    """L* for every gap tolerance and screen; screens use the gap-1 burden.
-
-    A sample enters each rung of the ladder whose cutoff it passes, so all rungs
-    share one pass over the segments.
-    """
+def screen_ladder(burden: DataFrame, cutoffs: Sequence[float | None]) -> DataFrame:
+    """``pop, sample, span_bp, screen``: a sample once per rung of the ladder whose cutoff it passes."""
     rungs = F.filter(
         F.array(*[
             F.struct(
@@ -132,7 +128,15 @@ def lstar_surface(segments: DataFrame, burden: DataFrame, cutoffs: Sequence[floa
         ]),
         lambda r: F.col("f_roh") <= r["cut"],
     )
-    kept = burden.withColumn("_r", F.explode(rungs)).select("pop", "sample", "span_bp", "_r.screen")
+    return burden.withColumn("_r", F.explode(rungs)).select("pop", "sample", "span_bp", "_r.screen")
+
+
+def lstar_surface(segments: DataFrame, burden: DataFrame, cutoffs: Sequence[float | None], s: Settings = DEFAULTS) -> DataFrame:
+    """L* for every gap tolerance and screen; screens use the gap-1 burden.
+
+    All rungs of the ladder share one pass over the segments.
+    """
+    kept = screen_ladder(burden, cutoffs)
     by = ["pop", "gap", "screen"]
     sizes = kept.groupBy("pop", "screen").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("span_bp").alias("exposure_bp"))
     # Cells first: a sample has at most one row per grid cell when rungs multiply.

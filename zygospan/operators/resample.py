@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
@@ -90,31 +93,181 @@ def bootstrap_weights(units: DataFrame, by: Sequence[str], unit: str, replicates
     return weights.join(indexed.select(*by, "idx", unit), [*by, "idx"]).drop("idx")
 
 
+def weight_vectors(
+    units: DataFrame, by: Sequence[str], unit: str, replicates: int, block: Column, draw: Draw, hits_per_block: int = 1 << 21,
+) -> DataFrame:
+    """``by, unit, w``: how often each unit is drawn, as one array with a place per replicate.
+
+    The same draws as ``bootstrap_weights``, but a row holds all replicates of a draw and later of a unit, so the rows
+    number the units and not units times replicates. Units are dealt in blocks by number; a draw sends each block its
+    hits. Units that no replicate draws have no row.
+    """
+    by = list(by)
+    indexed = index_units(units, by, unit, block)
+    hit = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: F.pmod(draw(b, F.col("idx")), F.col("n_units")))
+    wide = max(1, hits_per_block // replicates)
+    rows = indexed.select(*by, "n_units", F.to_json(F.struct(*by)).alias("_g"), hit.alias("_t"))
+    keys = [rows.schema[c] for c in by]
+
+    def scatter(batches):
+        for batch in batches:
+            for part in _slices(batch):
+                group = _codes(part, "_g")
+                target = _column(part, "_t").flatten().to_numpy().astype(np.int64).reshape(-1, replicates)
+                place = group[:, None] * (1 << 40) + target // wide
+                hits = target % wide * replicates + np.arange(replicates)
+                order = np.argsort(place, axis=None, kind="stable")
+                place, hits = place.ravel()[order], hits.ravel()[order]
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                stops = np.append(first[1:], len(place))
+                sample = part.take(pa.array(order[first] // replicates))
+                out = [_column(sample, c) for c in by] + [
+                    pa.array(place[first] % (1 << 40), pa.int64()), pa.array([hits[i:j].tobytes() for i, j in zip(first, stops)], pa.binary())
+                ]
+                yield pa.RecordBatch.from_arrays(out, [*by, "_ublock", "_hits"])
+
+    def build(table: pa.Table) -> pa.Table:
+        hits = np.frombuffer(b"".join(table["_hits"].to_pylist()), dtype=np.int64)
+        unit_no, at = np.unique(hits // replicates, return_inverse=True)
+        w = np.bincount(at * replicates + hits % replicates, minlength=len(unit_no) * replicates)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(w) + 1, replicates), pa.int32()), pa.array(w, pa.int32()))
+        idx = unit_no + table["_ublock"][0].as_py() * wide
+        return pa.table([*(_repeated(table[c], len(idx)) for c in by), pa.array(idx, pa.int64()), lists], [*by, "idx", "w"])
+
+    sent = rows.mapInArrow(scatter, StructType([*keys, StructField("_ublock", LongType()), StructField("_hits", BinaryType())]))
+    built = sent.groupBy(*by, "_ublock").applyInArrow(build, StructType([*keys, StructField("idx", LongType()), StructField("w", ArrayType(IntegerType()))]))
+    return built.join(indexed.select(*by, "idx", unit), [*by, "idx"]).drop("idx")
+
+
+def _column(batch, name):
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _slices(batch, rows: int = 2048):
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def _codes(batch, name) -> np.ndarray:
+    return _column(batch, name).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _repeated(column, n: int):
+    return column.slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, dtype=np.int64)))
+
+
+def weighted_cells(
+    vectors: DataFrame, cells: DataFrame, by: Sequence[str], unit: str, replicates: int, on: Sequence[str] | None = None,
+    within: Sequence[str] = (), s: Settings = DEFAULTS,
+) -> DataFrame:
+    """``by, within, k, cnt, sum_bp`` with one array of replicates each: the cells of all units, weighted and added.
+
+    ``cells(on, unit, within, k, cnt, sum_bp)`` are additive partials, at most ``grid_points`` a unit and stratum; they
+    meet a unit's weights in one row. Each task multiplies weights and cells as matrices and sends one row per
+    group and cell; those are added element by element.
+    """
+    by, within, on = list(by), list(within), list(by if on is None else on)
+    entry = F.struct(F.to_json(F.struct(F.lit(0).alias("_"), *within)).alias("_h"), *within, "k", "cnt", "sum_bp")
+    rows = vectors.join(cells.groupBy(*on, unit).agg(F.collect_list(entry).alias("_c")), [*on, unit])
+    rows = rows.select(*by, F.to_json(F.struct(*by)).alias("_g"), "w", "_c")
+    inner = {f.name: f for f in rows.schema["_c"].dataType.elementType}
+    keys = [*(rows.schema[c] for c in by), *(inner[c] for c in within)]
+    arrays = [StructField("k", LongType()), StructField("cnt", ArrayType(LongType())), StructField("sum_bp", ArrayType(LongType()))]
+    schema = StructType([*keys, *arrays])
+    names = [f.name for f in schema]
+
+    def listed(matrix: np.ndarray):
+        flat = np.ascontiguousarray(matrix).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, replicates), pa.int32()), pa.array(flat, pa.int64()))
+
+    def multiply(batches):
+        total, sample = {}, {}
+        for batch in batches:
+            for part in _slices(batch):
+                w = _column(part, "w").flatten().to_numpy().astype(np.float64).reshape(-1, replicates)
+                lists, group = _column(part, "_c"), _column(part, "_g").to_pylist()
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                field = {c: flat.field(c) for c in ("_h", *within, "k", "cnt", "sum_bp")}
+                strata = field["_h"].dictionary_encode()
+                code, stratum = strata.indices.to_numpy(), strata.dictionary.to_pylist()
+                k, values = field["k"].to_numpy().astype(np.int64), [field[c].to_numpy() for c in ("cnt", "sum_bp")]
+                own, which = np.unique(np.array(group, dtype=object).astype(str), return_inverse=True)
+                for g, h in {(int(a), int(b)) for a, b in zip(which[row], code)}:
+                    here = np.flatnonzero((which[row] == g) & (code == h))
+                    key = (own[g], stratum[h])
+                    if key not in total:
+                        total[key] = np.zeros((2, s.grid_points, replicates), dtype=np.int64)
+                        first = [pa.array(_column(part.slice(int(row[here[0]]), 1), c)) for c in by]
+                        sample[key] = first + [field[c].slice(int(here[0]), 1) for c in within]
+                    members = np.unique(row[here])
+                    place = np.searchsorted(members, row[here])
+                    for i, v in enumerate(values):
+                        c = np.zeros((s.grid_points, len(members)))
+                        np.add.at(c, (k[here], place), v[here].astype(np.float64))
+                        exact = c.sum() * max(w[members].max(), 1.0) < 2**53
+                        total[key][i] += (c @ w[members]).astype(np.int64) if exact else c.astype(np.int64) @ w[members].astype(np.int64)
+        for key, (cnt, sums) in total.items():
+            used = np.flatnonzero(cnt.any(axis=1) | sums.any(axis=1))
+            if len(used):
+                ids = [x.take(pa.array(np.zeros(len(used), dtype=np.int64))) for x in sample[key]]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(used, pa.int64()), listed(cnt[used]), listed(sums[used])], names)
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = [table[c].combine_chunks().flatten().to_numpy().reshape(-1, replicates).sum(axis=0) for c in ("cnt", "sum_bp")]
+        return pa.table([*(_repeated(table[c], 1) for c in names[:-2]), *map(listed, sums)], names)
+
+    return rows.mapInArrow(multiply, schema).groupBy(*names[:-2]).applyInArrow(add, schema)
+
+
+def vector_lstar(weighted: DataFrame, exposure: DataFrame, by: Sequence[str], on: Sequence[str], replicates: int, s: Settings = DEFAULTS) -> DataFrame:
+    """``by, b, lstar_mb`` from weighted cells; ``exposure(on, exposure_bp)`` has an array of replicates.
+
+    A group is at most ``grid_points`` rows. Replicates without any segment have no L*, as in ``decisive_length``.
+    """
+    by = list(by)
+    rows = weighted.join(exposure, list(on)).select(*by, "k", "cnt", "sum_bp", "exposure_bp")
+    lengths = s.grid_start_bp + s.grid_step_bp * np.arange(s.grid_points, dtype=np.int64)
+
+    def solve(table: pa.Table) -> pa.Table:
+        k = table["k"].to_numpy()
+        full = np.zeros((2, s.grid_points, replicates), dtype=np.int64)
+        for i, c in enumerate(("cnt", "sum_bp")):
+            full[i, k] = table[c].combine_chunks().flatten().to_numpy().reshape(-1, replicates)
+        cnt, sums = np.cumsum(full[:, ::-1], axis=1)[:, ::-1]
+        over = table["exposure_bp"].slice(0, 1).combine_chunks().flatten().to_numpy().astype(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = ((sums - cnt * lengths[:, None]) / over <= s.threshold) & (over > 0)
+        at = np.where(low.any(axis=0), lengths[low.argmax(axis=0)] / 1e6, np.inf)
+        b = np.flatnonzero(cnt[0] > 0)
+        return pa.table([*(_repeated(table[c], len(b)) for c in by), pa.array(b + 1, pa.int32()), pa.array(at[b], pa.float64())], [*by, "b", "lstar_mb"])
+
+    schema = StructType([*(rows.schema[c] for c in by), StructField("b", IntegerType()), StructField("lstar_mb", DoubleType())])
+    return rows.groupBy(*by).applyInArrow(solve, schema)
+
+
 def bootstrap_lstar(
     segments: DataFrame, burden: DataFrame, by: Sequence[str], replicates: int, block: Column,
-    draw: Draw, s: Settings = DEFAULTS,
+    draw: Draw, s: Settings = DEFAULTS, cells_by: Sequence[str] | None = None, within: Sequence[str] = (),
 ) -> DataFrame:
-    """L* of every replicate.
+    """``by, within, b, lstar_mb``: L* of every replicate, in groups of samples (``by``) and strata of segments (``within``).
 
-    Exceedance is additive over samples, so a replicate is a weighted sum of
-    per-sample grid partials; the segments are read once for all replicates.
+    Exceedance is additive over samples, so a replicate is a weighted sum of per-sample grid cells. All replicates
+    travel as one array a sample: the segments are read once and no row is repeated per replicate. ``cells_by`` names
+    the groups that ``segments`` knows where a sample stands in several of ``by``, as in a ladder of screens.
     """
-    by = list(by)
-    weights = bootstrap_weights(burden.select(*by, "sample"), by, "sample", replicates, block, draw)
-    partials = B.cell_partials(segments, [*by, "sample"], s)
-    weighted = weights.join(partials, [*by, "sample"]).groupBy(*by, "b", "k").agg(
-        F.sum(F.col("w") * F.col("cnt")).alias("cnt"), F.sum(F.col("w") * F.col("sum_bp")).alias("sum_bp")
-    )
-    exposure = weights.join(burden.select(*by, "sample", "span_bp"), [*by, "sample"]).groupBy(*by, "b").agg(
-        F.sum(F.col("w") * F.col("span_bp")).alias("exposure_bp")
-    )
-    curve = B.curve_from_partials(weighted, exposure, [*by, "b"], s)
-    return B.decisive_length(curve, [*by, "b"], s=s)
+    by, within = list(by), list(within)
+    on = by if cells_by is None else list(cells_by)
+    vectors = weight_vectors(burden.select(*by, "sample"), by, "sample", replicates, block, draw)
+    cells = B.cell_partials(segments, [*on, "sample", *within], s)
+    weighted = weighted_cells(vectors, cells, by, "sample", replicates, on, within, s)
+    span = burden.select(*by, "sample", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("cnt"), F.col("span_bp").alias("sum_bp"))
+    exposure = weighted_cells(vectors, span, by, "sample", replicates, s=s).select(*by, F.col("sum_bp").alias("exposure_bp"))
+    return vector_lstar(weighted, exposure, [*by, *within], by, replicates, s)
 
 
 def bootstrap_interval(replicates: DataFrame, by: Sequence[str], drop_unconverged: bool = False, s: Settings = DEFAULTS) -> DataFrame:
-    """Percentile interval, median and SE; replicates without a crossing count as one
-    step past the grid, or are left out."""
+    """Percentile interval, median and SE over a group's replicates, as many as were asked for; replicates without a
+    crossing count as one step past the grid, or are left out."""
     never = F.col("lstar_mb") == E.INF
     past = (s.grid_start_bp + s.grid_step_bp * s.grid_points) / 1e6
     value = F.when(~never, F.col("lstar_mb"))

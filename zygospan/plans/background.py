@@ -14,6 +14,7 @@ from zygospan.functions import genotype as G
 from zygospan.operators import background as B
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
+from zygospan.operators.blocked import attach
 from zygospan.operators.runs import call_runs, keep_segments
 from zygospan.sources import variants as V
 from zygospan.sources.sinks import write_partitions
@@ -122,6 +123,20 @@ def lstar_bootstrap(null: Null, replicates: int, block: Column, draw: R.Draw, s:
     return point.join(R.bootstrap_interval(reps, ["pop"], s=s), "pop")
 
 
+def lstar_surface(
+    null: Null, cutoffs: Sequence[float | None], replicates: int, block: Column, draw: R.Draw, s: Settings = DEFAULTS
+) -> DataFrame:
+    """``pop, gap, screen, n_kept, lstar_mb`` with ``ci_lo, ci_hi, n_unconverged`` in every cell of the surface.
+
+    Samples are drawn among those a screen keeps; a draw serves all gap tolerances.
+    """
+    point = B.lstar_surface(null.segments, null.burden, cutoffs, s)
+    kept = B.screen_ladder(null.burden, cutoffs)
+    reps = R.bootstrap_lstar(null.segments, kept, ["pop", "screen"], replicates, block, draw, s, cells_by=["pop"], within=["gap"])
+    cells = ["pop", "gap", "screen"]
+    return point.join(R.bootstrap_interval(reps, cells, s=s).select(*cells, "ci_lo", "ci_hi", "n_unconverged"), cells)
+
+
 def platform_calls(calls: DataFrame, selections: DataFrame) -> DataFrame:
     """Calls restricted to each platform's markers ``(platform, pop, chrom, pos)``."""
     return calls.join(selections, ["pop", "chrom", "pos"])
@@ -168,13 +183,34 @@ def platform_sensitivity(calls: DataFrame, selections: DataFrame, span: DataFram
 
 
 def rate_binned(
-    null: Null, cum: DataFrame, rates: DataFrame, mean_hbar: float, n_bins: int = 5, s: Settings = DEFAULTS
+    null: Null, cum: DataFrame, rates: DataFrame, mean_hbar: float, n_bins: int = 5, s: Settings = DEFAULTS,
+    replicates: int = 0, block: Column | None = None, draw: R.Draw | None = None,
 ) -> DataFrame:
-    """Decisive length per recombination-rate bin next to the closed form."""
+    """Decisive length per recombination-rate bin next to the closed form.
+
+    With ``replicates``, samples are drawn anew and each bin gets ``ci_lo, ci_hi, n_unconverged``; replicates that
+    never cross are left out of the interval, which is null where all are.
+    """
     kept = B.screened(null.burden, s.outlier_f)
     bins = B.rate_bins(rates, n_bins)
     placed = B.assign_bin(B.segment_rate(B.screen_segments(null.segments, kept, SAMPLE), cum, s), bins)
     n = kept.agg(F.count(F.lit(1)).alias("n_samples"))
-    return B.rate_binned_lstar(placed, bins, n, s).withColumn(
+    out = B.rate_binned_lstar(placed, bins, n, s).withColumn(
         "lstar_closed_mb", E.min_callable_length(F.col("mean_rate"), F.lit(mean_hbar), s.prior, s=s)
     )
+    if not replicates:
+        return out
+    one = ["_all"]
+    whole = lambda d: d.withColumn("_all", F.lit(0))
+    vectors = R.weight_vectors(whole(kept).select("_all", "sample"), one, "sample", replicates, block, draw)
+    cells = B.cell_partials(whole(placed), ["_all", "sample", "bin"], s)
+    weighted = R.weighted_cells(vectors, cells, one, "sample", replicates, within=["bin"], s=s)
+    # Every replicate draws as many samples, so a bin's exposure is the same in all of them.
+    exposure = attach(bins, n).select("bin", F.array_repeat(F.col("n_samples") * F.col("footprint_windows") * s.window_bp, replicates).alias("exposure_bp"))
+    reps = R.vector_lstar(weighted, exposure, ["bin"], ["bin"], replicates, s)
+    found = R.bootstrap_interval(reps, ["bin"], drop_unconverged=True, s=s)
+    # A replicate without any segment in a bin does not converge there either.
+    counted = reps.groupBy("bin").agg((F.lit(replicates) - F.count_if(F.col("lstar_mb") != E.INF)).alias("n_unconverged"))
+    return out.join(found.select("bin", "ci_lo", "ci_hi"), "bin", "left").join(counted, "bin", "left").withColumn(
+        "n_unconverged", F.coalesce("n_unconverged", F.lit(replicates)).cast("long")
+    )
