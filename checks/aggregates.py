@@ -299,7 +299,7 @@ def _(v):
 
 
 PLATFORM = """sel as (select 'full' as platform, pop, chrom, pos from common union all
-  select 'every_' || k.k, pop, chrom, pos from (select *, row_number() over (partition by pop, chrom order by pos) - 1 as at from common) c cross join (select unnest([2, 5]) as k) k where c.at % k.k = 0),
+  select 'every_' || k.k, pop, chrom, pos from (select *, row_number() over (partition by pop, chrom order by pos) - 1 as at from common) c cross join (select unnest([2, 5, 10, 20]) as k) k where c.at % k.k = 0),
  pc as (select s.platform, c.pop, c.sample, c.chrom, c.pos, c.hom from calls c join sel s on s.pop = c.pop and s.chrom = c.chrom and s.pos = c.pos)""" + ",\n " + runs_sql("pr", "pc", "platform, pop, sample, chrom") + """,
  ps as (select * from pr where len_bp > 5000),
  pb as (select t.platform, t.pop, t.sample, b.span_bp, cast(coalesce(r.roh, 0) as bigint) as roh_bp, coalesce(r.roh, 0) / b.span_bp as f_roh, coalesce(r.roh, 0) / b.span_bp > 0.0156 as is_outlier
@@ -307,7 +307,7 @@ PLATFORM = """sel as (select 'full' as platform, pop, chrom, pos from common uni
   left join (select platform, sample, sum(case when len_bp >= 1000000 then len_bp else 0 end) as roh from pr group by 1, 2) r on r.platform = t.platform and r.sample = t.sample)"""
 
 
-def platforms(v, steps=(2, 5)):
+def platforms(v, steps=(2, 5, 10, 20)):
     sel = PB.platform_selections(v.common, steps)
     span = B.spans(v.calls, PB.SAMPLE)
     return sel, PB.platform_sensitivity(v.calls, sel, span)

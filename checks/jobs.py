@@ -170,22 +170,24 @@ def _(v):
     return out.select("pop", "gap", "screen", "lstar_mb", "n_kept", rd("ci_lo"), rd("ci_hi"), "n_unconverged")
 
 
+DENSITIES = (20.0, 40.0)
 PROXY = f"""{MANIFEST_SQL}, hit as (select c.*, 'A1' as platform from common c join manifest m on m.chrom = c.chrom and m.pos = c.pos), sz as (select pop, chrom, count(*) as t from hit group by 1, 2),
  rk as (select c.*, row_number() over (partition by pop, chrom order by maf desc, pos) as r from common c),
- tg as (select pop, chrom, least(cast(floor(40.0 * (max(pos) - min(pos)) / 1e6) as bigint), count(*)) as t from common group by 1, 2),
+ tg as (select pop, chrom, d, least(cast(floor(d * (max(pos) - min(pos)) / 1e6) as bigint), count(*)) as t from common cross join (select unnest([20, 40]) as d) group by 1, 2, 3),
  psel as (select 'full' as platform, pop, chrom, pos from common union all select 'A1', pop, chrom, pos from hit union all select 'A1_proxy', rk.pop, rk.chrom, rk.pos from rk join sz on sz.pop = rk.pop and sz.chrom = rk.chrom where rk.r <= sz.t
-  union all select 'top_40', rk.pop, rk.chrom, rk.pos from rk join tg on tg.pop = rk.pop and tg.chrom = rk.chrom where rk.r <= tg.t)"""
+  union all select 'top_' || tg.d, rk.pop, rk.chrom, rk.pos from rk join tg on tg.pop = rk.pop and tg.chrom = rk.chrom where rk.r <= tg.t
+  union all select 'every_' || k.k, pop, chrom, pos from (select *, row_number() over (partition by pop, chrom order by pos) - 1 as at from common) c cross join (select unnest([2, 5, 10, 20]) as k) k where c.at % k.k = 0)"""
 
 
 @check("j14_platform_selections", sql(f"with {PROXY} select * from psel", "common"))
 def _(v):
-    return PB.platform_selections(v.common, steps=(), densities=(40.0,), manifest=manifest(v).withColumn("array", F.lit("A1")))
+    return PB.platform_selections(v.common, densities=DENSITIES, manifest=manifest(v).withColumn("array", F.lit("A1")))
 
 
 @check("j14_platform_manifest_lstar", sql(f"""with {PROXY}, mc as (select s.platform, c.pop, c.sample, c.chrom, c.pos, c.hom from calls c join psel s on s.pop = c.pop and s.chrom = c.chrom and s.pos = c.pos), {runs_sql('mr', 'mc', 'platform, pop, sample, chrom')},
  ms as (select * from mr where len_bp > 5000), me as (select t.platform, t.pop, cast(sum(b.span_bp) as bigint) as exposure_bp from (select distinct platform, pop, sample from mc) t join burden b on b.sample = t.sample group by 1, 2), {curve_sql('mcv', 'ms', 'me', 'platform, pop')} {lstar_sql('mcv', 'platform, pop')}""", "calls", "common", "burden", "grid"))
 def _(v):
-    sel = PB.platform_selections(v.common, steps=(), densities=(40.0,), manifest=manifest(v).withColumn("array", F.lit("A1")))
+    sel = PB.platform_selections(v.common, densities=DENSITIES, manifest=manifest(v).withColumn("array", F.lit("A1")))
     null = PB.platform_sensitivity(v.calls, sel, B.spans(v.calls, PB.SAMPLE))
     by = ["platform", "pop"]
     return B.decisive_length(B.exceedance_curve(null.segments, null.burden, by), by)
@@ -321,13 +323,16 @@ def _(v):
     return out.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(code).alias("code"))
 
 
-@check("k02_incremental_curve", sql("select pop, l_bp, excess_bp, round(p_bg + 1e-9, 6) as p_bg from curve", "curve"))
+@check("k02_incremental_curve", sql("select pop, l_bp, exposure_bp, excess_bp, round(p_bg + 1e-9, 6) as p_bg from curve", "curve"))
 def _(v):
+    """Segments and calls arrive apart, calls cut across each chromosome; the curve comes from the folded states alone."""
     base = f"{sinks.shared_dir(v.spark)}/partials-{uuid.uuid4().hex}"
     null = v.null()
     for chrom in (21, 22):
         null.segments.filter(F.col("chrom") == chrom).write.mode("append").parquet(f"{base}/in")
         I.merge_partials_available(v.spark, f"{base}/in", null.segments.schema, f"{base}/out", f"{base}/cp")
-    exposure = null.burden.groupBy("pop").agg(F.sum("span_bp").alias("exposure_bp"))
-    curve = B.curve_from_partials(I.merged_partials(v.spark, f"{base}/out"), exposure, ["pop"])
-    return curve.select("pop", "l_bp", "excess_bp", rd("p_bg"))
+    for half in (0, 1):
+        v.calls.filter(F.pmod(F.floor(F.col("pos") / 1_000_000), F.lit(2)) == half).write.mode("append").parquet(f"{base}/calls")
+        I.merge_extents_available(v.spark, f"{base}/calls", v.calls.schema, f"{base}/extents", f"{base}/cp2")
+    curve = I.incremental_curve(v.spark, f"{base}/out", f"{base}/extents")
+    return curve.select("pop", "l_bp", "exposure_bp", "excess_bp", rd("p_bg"))

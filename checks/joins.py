@@ -13,6 +13,7 @@ from zygospan.operators import diversity as D
 from zygospan.operators import enrich as N
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
+from zygospan.operators import asof as A
 from zygospan.operators import scoring as S
 from zygospan.operators import trio as T
 from zygospan.plans import background as PB
@@ -103,11 +104,11 @@ def _(v):
 
 
 @check("c09_variant_in_run", sql("""
-with cand as (select t.sample, m.chrom, m.pos, m.idx from typed t join markers m on m.idx = t.idx where (m.idx + t.sample) % 50 = 0)
+with cand as (select t.sample, m.chrom, m.pos, m.idx from typed t join markers m on m.idx = t.idx)
 select c.sample, c.chrom, c.pos, min(s.start_pos) as start_pos from cand c left join segs s on s.sample = c.sample and s.chrom = c.chrom
  and c.pos between s.start_pos and s.end_pos group by 1, 2, 3""", "segs"))
 def _(v):
-    cand = v.typed.select("sample", "idx").join(v.markers, "idx").filter(F.pmod(F.col("idx") + F.col("sample"), F.lit(50)) == 0).select("sample", "chrom", "pos")
+    cand = v.typed.select("sample", "idx").join(v.markers, "idx").select("sample", "chrom", "pos")
     runs = v.null().segments
     return S.first_run_of_variant(cand, runs, ["sample", "chrom"]).select("sample", "chrom", "pos", "start_pos")
 
@@ -203,6 +204,18 @@ def _(v):
     return out.select("sample", "chrom", "start_pos", F.round("log10_bf", 5).alias("log10_bf"))
 
 
+@check("c15_irregular_grid", sql("""with k as (select chrom, center, pat from cmap), p as (select distinct chrom, pos from markers),
+ lo as (select p.chrom, p.pos, k.center as x0, k.pat as y0 from p asof left join k on k.chrom = p.chrom and p.pos >= k.center),
+ hi as (select p.chrom, p.pos, k.center as x1, k.pat as y1 from p asof left join k on k.chrom = p.chrom and p.pos < k.center)
+select chrom, pos, round(case when x0 is null then y1 when x1 is null or pos = x0 then y0 else y0 + (y1 - y0) * ((pos - x0) / (x1 - x0)::double) end + 1e-9, 6) as rate
+from lo join hi using (chrom, pos)""", "cmap"))
+def _(v):
+    """The paternal map at every marker: its centres have holes, and markers lie before, between and behind them."""
+    knots = v.combined_map.select("chrom", "center", F.col("pat").alias("rate"))
+    points = v.markers.select("chrom", "pos").distinct()
+    return A.interpolate(points, knots, ["chrom"], "pos", "center", "rate", F.floor(F.col("_x") / 5_000_000)).select("chrom", "pos", rd("rate"))
+
+
 @check("c16_burden_screen", sql("select pop, count(*) as n, cast(sum(len_bp) as bigint) as total_bp from segs_kept group by pop", "segs_kept"))
 def _(v):
     null = v.null()

@@ -142,19 +142,19 @@ def _(v):
     return tables.curve_long(text, POPS, "_bg", value="p_bg").select("pop", "l_bp", F.round("p_bg", 6).alias("p_bg"))
 
 
-@check("a09_interval_load", sql("select 'chr' || chrom as chrom, start_pos as \"start\", end_pos as \"end\" from runs where len_bp > 100000", "runs"))
+@check("a09_interval_load", sql("select 'chr' || chrom as chrom, start_pos as \"start\", end_pos as \"end\" from segs", "segs"))
 def _(v):
-    long = v.null().segments.filter(F.col("len_bp") > 100000)
+    long = v.null().segments
     good = long.select(F.concat(F.lit("chr"), "chrom", F.lit("\t"), F.format_number("start_pos", 0), F.lit("   "), F.format_number("end_pos", 0), F.lit(" x")).alias("value"))
     bad = long.select(F.concat(F.lit("# chr1 1 "), "end_pos").alias("value")).unionByName(long.select(F.concat(F.lit("chrom start "), "end_pos").alias("value")))
     return tables.parse_intervals(good.unionByName(bad))
 
 
-@check("a09_region_string", sql("select 'chr' || chrom as chrom, start_pos as \"start\", end_pos as \"end\" from runs where len_bp > 100000", "runs"))
+@check("a09_region_string", sql("select 'chr' || chrom as chrom, start_pos as \"start\", end_pos as \"end\" from segs", "segs"))
 def _(v):
     text = F.format_string("chr%d:%d-%d", "chrom", "start_pos", "end_pos")
     c, a, b = tables.parse_region(F.col("t"))
-    return v.null().segments.filter(F.col("len_bp") > 100000).select(text.alias("t")).select(c.alias("chrom"), a.alias("start"), b.alias("end"))
+    return v.null().segments.select(text.alias("t")).select(c.alias("chrom"), a.alias("start"), b.alias("end"))
 
 
 @check("a10_manifest_load", sql("select 'A1' as array, chrom, pos from markers", "markers"))

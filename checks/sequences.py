@@ -86,12 +86,13 @@ def _(v):
 
 
 @check("e06_focal_run", sql("""
-with foc as (select t.sample, m.chrom, min(m.pos) as focal from typed t join markers m on m.idx = t.idx where (m.idx*7 + t.sample) % 200 = 0 group by 1, 2),
+with foc as (select t.sample, m.chrom, arg_min(m.pos, (m.idx*7 + t.sample) % 997 * 10000000000 + m.pos) as focal from typed t join markers m on m.idx = t.idx group by 1, 2),
  fm as (select c.sample, f.focal, c.chrom, c.pos, c.hom from calls c join foc f on f.sample = c.sample and f.chrom = c.chrom ), """
  + runs_sql("fr", "fm", "sample, chrom, focal") + """ select f.sample, f.chrom, f.focal, coalesce(max(case when f.focal between r.start_pos and r.end_pos then r.len_bp end), 0) as len_bp
  from foc f left join fr r on r.sample = f.sample and r.chrom = f.chrom group by 1, 2, 3""", "calls"))
 def _(v):
-    foc = v.typed.select("sample", "idx").join(v.markers, "idx").filter(F.pmod(F.col("idx") * 7 + F.col("sample"), F.lit(200)) == 0).groupBy("sample", "chrom").agg(F.min("pos").alias("focal"))
+    draw = F.pmod(F.col("idx") * 7 + F.col("sample"), F.lit(997))
+    foc = v.typed.select("sample", "idx").join(v.markers, "idx").groupBy("sample", "chrom").agg(F.min(F.struct(draw, "pos"))["pos"].alias("focal"))
     match = v.calls.join(foc, ["sample", "chrom"]).withColumn("trial", F.struct("sample", "chrom"))
     return focal_runs(match, "trial", "focal").select("trial.*", "focal", "len_bp")
 

@@ -121,6 +121,7 @@ def exact_quantiles(
         )
         .select(
             *groups, "prob",
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("quantile"),
+            F.when(F.col("_a") == F.col("_b"), F.col("_a"))
+            .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("quantile"),
         )
     )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
 from zygospan.functions import genotype as G
-from zygospan.operators.blocked import row_numbers
+from zygospan.operators.blocked import exact_quantiles, row_numbers
+from zygospan.operators.sketches import quantile_sketch, sketch_quantiles
 
 MOST_MARKERS = 31
 
@@ -134,13 +135,19 @@ def noise_side_by_side(hbar: DataFrame, legacy: DataFrame) -> DataFrame:
     ).drop("_q")
 
 
-def population_summary(windows: DataFrame, prior: float, s: Settings = DEFAULTS) -> DataFrame:
-    """Mean block homozygosity and median callable length per population."""
+def population_summary(windows: DataFrame, prior: float, s: Settings = DEFAULTS, sketch_k: int | None = None) -> DataFrame:
+    """Mean block homozygosity and median callable length per population.
+
+    The median is exact, from ranks in blocks; with ``sketch_k`` it comes from a sketch of that size.
+    """
     length = E.min_callable_length(F.col("rate"), F.col("hbar"), prior, s=s)
-    return windows.groupBy("pop").agg(
-        F.avg("hbar").alias("mean_hbar"),
-        F.percentile(F.when(F.col("rate") > 0, length), F.lit(0.5)).alias("median_callable_mb"),
-    )
+    callable_ = windows.withColumn("_l", F.when(F.col("rate") > 0, length))
+    if sketch_k is None:
+        median = exact_quantiles(callable_, ["pop"], "_l", (0.5,), F.floor("_l"))
+    else:
+        median = sketch_quantiles(quantile_sketch(callable_, ["pop"], "_l", sketch_k), ["pop"], (0.5,))
+    mean = windows.groupBy("pop").agg(F.avg("hbar").alias("mean_hbar"))
+    return mean.join(median.select("pop", F.col("quantile").alias("median_callable_mb")), "pop", "left")
 
 
 def representative_windows(windows: DataFrame, by: Sequence[str] = ("chrom",)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import genotype as G
 from zygospan.operators.blocked import attach, exact_quantiles, prefix_sum
+from zygospan.operators.sketches import quantile_sketch, sketch_quantiles
 
 _CHUNK = 4096
 
@@ -123,14 +124,23 @@ def match_counts(joined: DataFrame) -> DataFrame:
     )
 
 
-def case_descriptives(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Length statistics of the cases with a known length."""
-    l, n = F.col("roh_mb"), F.count("roh_mb")
-    return cases.filter(l.isNotNull()).groupBy(*by).agg(
-        n.alias("n"), F.avg(l).alias("mean_mb"), F.stddev_samp(l).alias("sd_mb"),
-        F.percentile(l, F.lit(0.5)).alias("median_mb"), F.min(l).alias("min_mb"), F.max(l).alias("max_mb"),
+def case_descriptives(cases: DataFrame, by: Sequence[str] = (), sketch_k: int | None = None) -> DataFrame:
+    """Length statistics of the cases with a known length.
+
+    The median is exact, from ranks in blocks; with ``sketch_k`` it comes from a sketch of that size.
+    """
+    l, n, groups = F.col("roh_mb"), F.count("roh_mb"), list(by) or ["_all"]
+    known = cases.filter(l.isNotNull()).withColumn("_all", F.lit(0))
+    basic = known.groupBy(*groups).agg(
+        n.alias("n"), F.avg(l).alias("mean_mb"), F.stddev_samp(l).alias("sd_mb"), F.min(l).alias("min_mb"), F.max(l).alias("max_mb"),
         *[(F.count_if(l <= t) / n).alias(f"share_le_{int(t)}") for t in (3.0, 5.0, 10.0)],
     )
+    if sketch_k is None:
+        median = exact_quantiles(known, groups, "roh_mb", (0.5,), F.floor(l))
+    else:
+        median = sketch_quantiles(quantile_sketch(known, groups, "roh_mb", sketch_k), groups, (0.5,))
+    out = basic.join(median.select(*groups, F.col("quantile").alias("median_mb")), groups)
+    return out if by else out.drop("_all")
 
 
 def case_loads(segments: DataFrame, burden: DataFrame, floors_bp: Sequence[int]) -> DataFrame:
