@@ -177,11 +177,23 @@ def test_a_full_cache_forgets_nothing_it_uses():
     small, large = alignment.Pair(*path, most=20), alignment.Pair(*path)
     for _ in range(30):
         texts = [words(rng, 12, "abcé") for _ in range(3)]
-        for x, y in zip(small.encode(texts), large.encode(texts)):
-            assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
+        for x, y in zip(small.encode(texts)[2], large.encode(texts)[2]):
+            assert (x == y).all()
     assert len(small.words) < 100
 
 
+def test_the_faster_encoder_has_the_named_tokenizer_s_ids():
+    pair = alignment.Pair.shared(alignment.tokenizer_path(alignment.A_TOKENIZER), alignment.tokenizer_path(alignment.B_TOKENIZER))
+    assert pair.ranked is not None
+    # Every entry of the vocabulary by itself, then invented words of all simple characters.
+    texts = [t.decode() for t in pair.a_bytes if t.decode("utf-8", "ignore").encode() == t and alignment._SIMPLE.fullmatch(t.decode())]
+    rng, simple = random.Random(2), [chr(c) for c in range(33, 0x250) if alignment._SIMPLE.fullmatch(chr(c))] + ["\n"]
+    texts += ["".join(rng.choice(simple) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts += ["".join(rng.choice("abcdehilnorstuéè'ñß.,1\n") for _ in range(rng.randint(1, 20))) for _ in range(20_000)]
+    assert len(texts) > 50_000
+    assert pair._a_ids(texts) == [e.ids for e in pair.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+
 # Quality rules
 
 def plain_measures(text):

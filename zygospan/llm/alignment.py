@@ -9,7 +9,9 @@ documents, from one row per id pair and block.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ CACHE_WORDS = 250_000
 NEAR = 64
 # A blank that does not plainly end a word: neither tokenizer joins over any other blank.
 _UNSURE = re.compile(r"[^!-~¡-ɏ] |^ | $")
+# Words in which all versions of the character tables agree on letters, digits and marks.
+_SIMPLE = re.compile(r"[!-~¡-ɏ\n]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,6 +48,22 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+def ranked(path: str, ids: dict[bytes, int]):
+    """A faster encoder of the same byte-level vocabulary; None if its merges are not in the order of their ids."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    vocabulary, special = told["model"]["vocab"], {x["content"] for x in told["added_tokens"]}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+    order = [vocabulary["".join(m)] for m in merges]
+    if any(x >= y for x, y in pairwise(order)) or any(i >= order[0] for t, i in vocabulary.items() if len(t) == 1):
+        return None
+    own = {t: i for t, i in ids.items() if t.decode("latin-1") not in special}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
+
+
 class Words(dict):
     """Words with their ids. A word that is not known is asked of the previous generation, so that a full cache forgets
     only what a generation did not see."""
@@ -76,6 +96,7 @@ class Pair:
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_length, self.b_length = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.most, self.words = most, Words({})
+        self.ranked = ranked(a, dict(zip(self.a_bytes, range(len(self.a_bytes)))))
         # Each id in decimal with each sign that may follow it.
         names = [f"{i}{s}".encode() for n, signs in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for s in signs for i in range(n)]
         self.wide = max(map(len, names))
@@ -92,15 +113,34 @@ class Pair:
     def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of each text by both tokenizers; a pair of empty bytes where the tokens do not spell it."""
         out = []
-        for at in range(0, len(texts), 2048):
-            some = texts[at : at + 2048]
-            ours = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-            for t, a, b in zip(some, ours, self.b.encode(some, num_threads=1)):
-                spelt = (" " + t).encode()
-                fits = b"".join(map(self.a_bytes.__getitem__, a.ids)) == spelt == b"".join(map(self.b_bytes.__getitem__, b))
-                out.append((np.array(a.ids, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()) if fits else (b"", b""))
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            ids = [self._a_ids(some), self.b.encode(some, num_threads=1)]
+            spelt = [(" " + t).encode() for t in some]
+            flat = [np.fromiter(chain.from_iterable(x), dtype="<u4") for x in ids]
+            data = [x.tobytes() for x in flat]
+            stops = [np.cumsum([len(x) for x in side]).tolist() for side in ids]
+            # Mostly all of them are spelt; only then the lengths need not be looked at one by one.
+            fits = all(self._spells(t, x, n, spelt) for t, x, n in zip((self.a_bytes, self.b_bytes), flat, (self.a_length, self.b_length)))
+            i = j = 0
+            for t, k, m in zip(spelt, *stops):
+                good = fits or all(b"".join(map(names.__getitem__, x[u:v].tolist())) == t for names, x, u, v in ((self.a_bytes, flat[0], i, k), (self.b_bytes, flat[1], j, m)))
+                out.append((data[0][4 * i : 4 * k], data[1][4 * j : 4 * m]) if good else (b"", b""))
+                i, j = k, m
         return out
 
+    @staticmethod
+    def _spells(names: list[bytes], ids: np.ndarray, lengths: np.ndarray, spelt: list[bytes]) -> bool:
+        """Whether the tokens of all texts together are all their bytes, and no token passes over from one to the next."""
+        if b"".join(map(names.__getitem__, ids.tolist())) != b"".join(spelt):
+            return False
+        return bool(np.isin(np.cumsum([len(t) for t in spelt]), np.cumsum(lengths[ids])).all())
+
+    def _a_ids(self, texts: list[str]) -> list[list[int]]:
+        plain = [self.ranked is not None and bool(_SIMPLE.fullmatch(t)) for t in texts]
+        other = iter(self.a.encode_batch_fast([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [self.ranked.encode_ordinary(" " + t) if p else next(other).ids for t, p in zip(texts, plain)]
+
     def by_words(self, text: str) -> list[tuple[bytes, bytes]]:
         """The ids of each blank-led word of ``text``."""
         if len(self.words) > self.most:
@@ -110,34 +150,41 @@ class Pair:
         found = list(map(self.words.__getitem__, split))
         open_ = [i for i, v in enumerate(found) if v is None]
         if open_:
-            new = list(dict.fromkeys(split[i] for i in open_))
+            new = list(dict.fromkeys([split[i] for i in open_]))
             self.words.update(zip(new, self.whole(new)))
             for i in open_:
                 found[i] = self.words[split[i]]
         return found
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each text by both tokenizers, none where it has no tokens.
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Rows that have tokens, in any order, their token counts by both tokenizers, and the ids of all in that order.
 
         Texts are taken apart at blanks that end a word, all of a block at once, and each distinct word is encoded
         once; a text with any other blank is encoded whole.
         """
-        none = np.empty(0, dtype="<u4")
-        out = [(none, none)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and not _UNSURE.search(t)]
-        odd = [i for i, t in enumerate(texts) if t and _UNSURE.search(t)]
+        plain, odd = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (odd if _UNSURE.search(t) else plain).append(i)
         found = self.by_words(" ".join([texts[i] for i in plain])) if plain else []
-        at = 0
-        for i in plain:
-            own = found[at : at + texts[i].count(" ") + 1]
-            at += len(own)
-            a, b = zip(*own)
-            if all(a):
-                out[i] = np.frombuffer(b"".join(a), dtype="<u4"), np.frombuffer(b"".join(b), dtype="<u4")
-        for i in odd:
-            a, b = self.whole([texts[i]])[0]
-            out[i] = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-        return out
+        first = np.cumsum([0, *(texts[i].count(" ") + 1 for i in plain)], dtype=np.int64)[:-1]
+        sides = [[v[k] for v in found] for k in (0, 1)]
+        size = [np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in sides]
+        if plain and not size[0].all():
+            # A word that the tokens do not spell leaves its text without any.
+            whole = np.minimum.reduceat(size[0], first) > 0
+            word = np.repeat(whole, np.diff(np.append(first, len(found))))
+            for k in (0, 1):
+                sides[k], size[k] = [x for x, w in zip(sides[k], word.tolist()) if w], size[k][word]
+            counts = np.diff(np.append(first, len(found)))[whole]
+            plain, first = [i for i, w in zip(plain, whole.tolist()) if w], np.cumsum(counts) - counts
+        rows, n, ids = plain, [np.empty(0, dtype=np.int64)] * 2, [b""] * 2
+        if plain:
+            n, ids = [np.add.reduceat(x, first) >> 2 for x in size], [b"".join(x) for x in sides]
+        more = [(i, v) for i, v in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()) if v[0]]
+        rows = np.array(rows + [i for i, _ in more], dtype=np.int64)
+        n = [np.append(n[k], np.array([len(v[k]) >> 2 for _, v in more], dtype=np.int64)) for k in (0, 1)]
+        return rows, n, [np.frombuffer(ids[k] + b"".join(v[k] for _, v in more), dtype="<u4").astype(np.int64) for k in (0, 1)]
 
 
 def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray, first: np.ndarray, last: np.ndarray, near: int = NEAR) -> np.ndarray:
@@ -178,18 +225,15 @@ def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray, first: np.ndarray, last:
                 at[i] = inner[np.argmin(np.abs(inner - middle[i]))]
         split = at >= 0
         cut_[at[split]] = True
-        lo, hi = np.concatenate([lo[split], at[split] + 1]), np.concatenate([at[split] + 1, hi[split]])
+        # The intervals do not overlap: both ends in rising order keep them and make the next bisections local.
+        lo, hi = np.sort(np.concatenate([lo[split], at[split] + 1])), np.sort(np.concatenate([at[split] + 1, hi[split]]))
 
 
 class Aligned:
     """Tokens, groups and links of a block of documents. ``place`` lists the rows that have tokens."""
 
     def __init__(self, pair: Pair, texts: list[str | None]):
-        ids = pair.encode(texts)
-        self.place = np.array([i for i, (a, _) in enumerate(ids) if len(a)], dtype=np.int64)
-        self.n_a, self.n_b = (np.array([len(ids[i][s]) for i in self.place], dtype=np.int64) for s in (0, 1))
-        none = [np.empty(0, dtype="<u4")]
-        self.a, self.b = (np.concatenate(none + [ids[i][s] for i in self.place]).astype(np.int64) for s in (0, 1))
+        self.place, (self.n_a, self.n_b), (self.a, self.b) = pair.encode(texts)
         self.a_ends, self.b_ends = np.cumsum(pair.a_length[self.a]), np.cumsum(pair.b_length[self.b])
         self.a_last, self.b_last = np.cumsum(self.n_a), np.cumsum(self.n_b)
         self.a_cut = shared_ends(self.a_ends, self.b_ends, self.a_last - self.n_a, self.a_last)
@@ -266,6 +310,9 @@ def blocks(docs: DataFrame, a: str = A_TOKENIZER, b: str = B_TOKENIZER, block_by
             values = zip(x.place.tolist(), x.n_a.tolist(), x.n_b.tolist(), x.n_groups.tolist(), n_links.tolist(), x.digests(pair), n_pairs.tolist())
             for i, *v in values:
                 rows[i].update(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs"), v))
+            # In the order of their pairs, those without tokens last.
+            held = set(x.place.tolist())
+            rows = [rows[i] for i in x.place.tolist()] + [r for i, r in enumerate(rows) if i not in held]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([rows], kind), pa.array([packed(step)], pa.binary()), pa.array([packed(times)], pa.binary()),
                  pa.array([distinct], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
