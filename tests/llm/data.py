@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-CLASH = ("uid", "x", "kept", "score", "length", "shard", "n", "block", "fp", "size", "piece", "y", "h1", "bucket", "spans", "_uid2")
+CLASH = ("uid", "x", "kept", "score", "length", "shard", "n", "block", "fp", "size", "piece", "y", "h1", "bucket", "spans", "_uid2",
+         "_uid", "sequence_id", "offset", "_mix_id", "_mix_i", "_mix_x", "_mix_plan", "_keep_id", "_keep_x", "_keep_row", "_row", "_i", "_x", "d", "row")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from zygospan.llm import mixing, packing
@@ -81,12 +82,27 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert mixing.mix(frame(spark, [(1, None, None, None, 0)])).head().taken == 0
 
 
+def test_repeated_rows_follow_a_plan_each(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(7, text, "aa", "s", i) for i in range(400)] + [(8, text + " x", "aa", "t", i) for i in range(20)] + [(None, text, None, "s", i) for i in range(50)]
+    df = frame(spark, data)
+    taken = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    n = out.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()
+    assert sorted(map(tuple, n)) == sorted(map(tuple, taken))
+
+
 def test_word_cache_gives_the_tokenizers_ids():
     path = public_tokenizers.path(packing.TOKENIZER)
     plain = Tokenizer.from_file(path)
     texts = [r[1] or "" for r in rows()] + ["Don't  stop\t\tI'LL 12 á b c d <|endoftext|>x </s> İI ΣΣ \r\n !!??  '", "' s", "\U0001f600‍ x\x0b\x0cy\x1cz"]
-    for got, t in zip(packing.WordTokenizer(path, most=10).encode(texts), texts):
-        assert got.tolist() == plain.encode(t, add_special_tokens=False).ids
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    words_ = packing.WordTokenizer(path, most=10)
+    for some in (texts, texts[::-1], texts[:3]):
+        ids, n = words_.encode(some)
+        own = [want[texts.index(t)] for t in some]
+        assert ids.tolist() == [i for o in own for i in o] and n.tolist() == [len(o) for o in own]
 
 
 @pytest.mark.parametrize("shard_pieces", [8192, 8])
@@ -112,6 +128,17 @@ def test_packing_places_every_piece(spark, shard_pieces):
     assert packing.pack(packing.pieces(empty(spark))).count() == 0
 
 
+def test_pieces_that_pair_with_none_stay_in_their_shards(spark, monkeypatch):
+    sizes = []
+    plain = packing.best_two_fit
+    monkeypatch.setattr(packing, "_filler", (lambda f: lambda *a: (sizes.append(a) or f(*a)))(packing._filler))
+    rows_ = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1100).cast("long").alias("length"), F.lit("z").alias("_uid"), F.lit("y").alias("offset"))
+    packed = packing.pack(rows_, shard_pieces=100)
+    assert packed.columns == ["doc_id", "length", "_uid", "sequence_id", "offset"]
+    assert packed.select("sequence_id").distinct().count() == 3000 and packed.filter("offset <> 0 or _uid <> 'z'").isEmpty()
+    assert [last for _, _, last in sizes] == [False, True] and plain([1100] * 3, 2048) == [[2], [1], [0]]
+
+
 def test_two_pieces_replace_a_smallest_one():
     # Greedy leaves 6+3 with a gap of 1; giving up the 3 lets 2+2 in.
     assert sorted(sorted([6, 3, 2, 2][i] for i in b) for b in packing.best_two_fit([6, 3, 2, 2], 10)) == [[2, 2, 6], [3]]

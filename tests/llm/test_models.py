@@ -161,3 +161,27 @@ def test_rejected_documents_go(spark):
     scores = toxicity.score(df, model).filter("score < 0.5").select("doc_id")
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, (r.doc_id for r in scores.collect())))
     assert 0.6 < kept.count() / df.count() < 0.9
+
+
+@pytest.mark.parametrize("texts", [["abcd", "wxyz"], ["", ""], ["a", "abcdefg"], ["abcd", ""]])
+def test_quality_learns_from_rows_of_any_size(texts, spark):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, y int")
+    model = quality.train(docs, labels)
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
+
+
+def test_language_equals_plain_compression(spark):
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choice(("abc é", "xyz ß", "klm ñ")[i % 3]) for _ in range(rng.randint(1, 9000))), "abc"[i % 3]) for i in range(60)] + [(100, None, "a"), (101, "12 !", "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.train(df.filter("doc_id % 2 = 0"))
+    for r in language.identify(df, model).collect():
+        text = docs[r.doc_id][1] if r.doc_id < 60 else None
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.margin) == ("und", 0.0, 0.0)
+            continue
+        data = text.lower().encode()
+        n = {k: sum(len(language.compressor(d).compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for k, d in model.items()}
+        best = sorted(n.items(), key=lambda kv: (kv[1], kv[0]))
+        assert r.lang_pred == best[0][0] and abs(r.margin - (best[1][1] - best[0][1]) / best[0][1]) < 1e-12

@@ -30,12 +30,10 @@ def test_topk_equals_brute_force(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "[ROLE]\n", "</s>"]), st.text(alphabet="<s>/[]INTROLEY\\ \nab", max_size=40)), max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "[ROLE]\n", "</s>", "tool\nx", "\n", "a\\", "user\n"]), st.text(alphabet="<s>/[]INTROLEY\\ \nab", max_size=40)), max_size=6))
 def test_formatted_turns_read_back(turns):
     text, spans = chat.render(turns)
-    clean = [(r, t) for r, t in turns]
-    if all("\n" not in r for r, _ in turns):
-        assert chat.parse(text) == clean
+    assert chat.parse(text) == turns
     assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
@@ -60,6 +58,8 @@ def test_paths_of_reply_trees(spark):
             want[c, n] = (chat.render([(r, t) for _, r, t, _ in path[::-1]])[0], sum(s for *_, s in path))
     got = chat.format_conversations(df).collect()
     assert {(r.conv_id, r.leaf): (r.formatted, r.score) for r in got} == want and len(got) == len(want)
+    ranks = {c: [n for _, n in sorted((-s, n) for (d, n), (_, s) in want.items() if d == c)] for c, _ in want}
+    assert all(ranks[r.conv_id][r.branch - 1] == r.leaf for r in got)
     top = chat.format_conversations(df, best=2).filter("conv_id = 1").orderBy("branch").collect()
     assert [(r.branch, r.leaf) for r in top] == [(i + 1, n) for i, (n, _) in enumerate(sorted(((n, s) for (c, n), (_, s) in want.items() if c == 1), key=lambda x: (-x[1], x[0]))[:2])]
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zygospan.llm.common import column, cut, release, small_batches
+from zygospan.llm.common import Words, column, cut, release, small_batches
 from zygospan.llm.packing import tokenizer_path
 
 A_TOKENIZER = "byte_bpe_50k.json"
@@ -64,21 +64,6 @@ def ranked(path: str, ids: dict[bytes, int]):
     return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
 
 
-class Words(dict):
-    """Words with their ids. A word that is not known is asked of the previous generation, so that a full cache forgets
-    only what a generation did not see."""
-
-    def __init__(self, old: dict):
-        super().__init__()
-        self.old = old
-
-    def __missing__(self, word: str):
-        found = self.old.get(word)
-        if found is not None:
-            self[word] = found
-        return found
-
-
 class Pair:
     """Both tokenizers, their tokens' bytes, and the words that were met before."""
 
@@ -95,7 +80,7 @@ class Pair:
         self.a_bytes = [bytes(byte[c] for c in vocabulary.get(i, "")) for i in range(max(vocabulary) + 1)]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_length, self.b_length = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.most, self.words = most, Words({})
+        self.most, self.words = most, Words()
         self.ranked = ranked(a, dict(zip(self.a_bytes, range(len(self.a_bytes)))))
         # Each id in decimal with each sign that may follow it.
         names = [f"{i}{s}".encode() for n, signs in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for s in signs for i in range(n)]
@@ -144,8 +129,7 @@ class Pair:
     def by_words(self, text: str) -> list[tuple[bytes, bytes]]:
         """The ids of each blank-led word of ``text``."""
         if len(self.words) > self.most:
-            self.words.old = {}
-            self.words = Words(self.words)
+            self.words = self.words.next()
         split = text.split(" ")
         found = list(map(self.words.__getitem__, split))
         open_ = [i for i, v in enumerate(found) if v is None]

@@ -22,6 +22,7 @@ CONTROL = [m for pair in (*MARKS.values(), OTHER) for m in pair]
 _TO_ESCAPE = re.compile("|".join(re.escape(c) for c in ("\\", *CONTROL)))
 _MARK = re.compile(r"\\.|" + "|".join(re.escape(c) for c in CONTROL), re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
+_ROLE = re.compile(r"((?:[^\\\n]|\\.)*)\n(.*)", re.S)
 
 
 def escape(text: str) -> str:
@@ -38,7 +39,9 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     out, spans, at = [], [], 0
     for role, text in turns:
         opens, closes = MARKS.get(role, OTHER)
-        head = opens if role in MARKS else f"{opens}{escape(role)}\n"
+        # A line feed ends the role, so one within it is escaped too.
+        named = escape(role).replace("\n", "\\\n")
+        head = opens if role in MARKS else f"{opens}{named}\n"
         body = escape(text)
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
@@ -59,7 +62,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         else:
             body = formatted[start : m.start()]
             if role is None:
-                name, _, body = body.partition("\n")
+                name, body = _ROLE.fullmatch(body).groups()
                 role = unescape(name)
             turns.append((role, unescape(body)))
     return turns
@@ -116,12 +119,11 @@ def format_conversations(messages: DataFrame, best: int | None = None) -> DataFr
     whole = on_path.groupBy("key", "leaf").agg(
         F.first("conv_id").alias("conv_id"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score"), F.array_sort(F.collect_list(turn)).alias("turns")
     )
-    if best is not None:
-        rank = Window.partitionBy("key").orderBy(F.desc("score"), "leaf")
-        names = whole.select("key", "leaf", F.row_number().over(rank).alias("branch")).filter(F.col("branch") <= best)
-        whole = whole.join(names, ["key", "leaf"])
-    else:
-        whole = whole.withColumn("branch", F.lit(None).cast("int"))
+    # Ranked from narrow rows; ``best`` only filters.
+    rank = Window.partitionBy("key").orderBy(F.desc("score"), "leaf")
+    scores = on_path.groupBy("key", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
+    names = scores.select("key", "leaf", F.row_number().over(rank).alias("branch"))
+    whole = whole.join(names if best is None else names.filter(F.col("branch") <= best), ["key", "leaf"])
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

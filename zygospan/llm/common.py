@@ -91,5 +91,33 @@ def small_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: i
             yield batch.slice(start)
 
 
+class Words(dict):
+    """Words with what was learned of them. An unknown word is asked of the previous generation, so that a full cache
+    forgets only what a generation did not see."""
+
+    def __init__(self, old: dict | None = None):
+        super().__init__()
+        self.old = {} if old is None else old
+
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is not None:
+            self[word] = found
+        return found
+
+    def next(self) -> Words:
+        """An empty generation after this one."""
+        self.old = {}
+        return Words(self)
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, or the first longer one that no column bears, upper and lower case alike."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))

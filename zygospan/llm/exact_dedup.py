@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zygospan.llm.common import column, cut, release, small_batches
+from zygospan.llm.common import column, cut, fresh, release, small_batches
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
@@ -139,13 +139,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     Only ids that occur on several equal rows are reduced by an aggregate; the rest passes a semi-join.
     """
     x = F.xxhash64("text")
-    kept = kept.select(F.col("doc_id").alias("_keep_id"), F.col("x").alias("_keep_x")).distinct()
-    on = lambda d, k: F.col("doc_id").cast("long").eqNullSafe(k["_keep_id"]) & (x == k["_keep_x"])
-    times = cut(docs.groupBy(F.col("doc_id").cast("long").alias("_keep_id"), x.alias("_keep_x")).count().filter("count > 1").drop("count"), "repeated_rows")
+    i, h, row = (fresh(docs.columns, n) for n in ("_keep_id", "_keep_x", "_keep_row"))
+    kept = kept.select(F.col("doc_id").alias(i), F.col("x").alias(h)).distinct()
+    on = lambda k: F.col("doc_id").cast("long").eqNullSafe(k[i]) & (x == k[h])
+    times = cut(docs.groupBy(F.col("doc_id").cast("long").alias(i), x.alias(h)).count().filter("count > 1").drop("count"), "repeated_rows")
     if times.isEmpty():
-        return docs.join(kept, on(docs, kept), "left_semi")
-    once = docs.join(kept, on(docs, kept), "left_semi").join(times, on(docs, times), "left_anti")
-    more = docs.join(times, on(docs, times))
-    more = more.join(kept.withColumnsRenamed({"_keep_id": "_i", "_keep_x": "_x"}), F.col("_keep_id").eqNullSafe(F.col("_i")) & (F.col("_keep_x") == F.col("_x")), "left_semi")
-    firsts = more.groupBy("_keep_id", "_keep_x").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return once.unionByName(firsts.select("_row.*"))
+        return docs.join(kept, on(kept), "left_semi")
+    once = docs.join(kept, on(kept), "left_semi").join(times, on(times), "left_anti")
+    both = times.join(kept.withColumnsRenamed({i: f"{i}k", h: f"{h}k"}), F.col(i).eqNullSafe(F.col(f"{i}k")) & (F.col(h) == F.col(f"{h}k")), "left_semi")
+    more = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col("doc_id").cast("long").alias("d"), x.alias("x"))
+    more = more.join(both, F.col("d").eqNullSafe(F.col(i)) & (F.col("x") == F.col(h)))
+    firsts = more.groupBy(i, h).agg(F.first(row).alias(row))
+    return once.unionByName(firsts.select(f"{row}.*"))

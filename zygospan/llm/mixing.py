@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zygospan.llm.common import cut
+from zygospan.llm.common import cut, fresh
 
 BLOCK = 8
 REPEATS = 3
@@ -181,26 +181,39 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42
     return out.select("doc_id", "x", "source", "size", "source_size", "target", taken.alias("taken"), "spans")
 
 
+def on_key(a: DataFrame, b: DataFrame, key: list[str]) -> Column:
+    return a[key[0]].eqNullSafe(b[key[0]]) & (a[key[1]] == b[key[1]])
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` as the mix has them: per pass over a document one row with the words taken in it.
 
     A pass that takes every word keeps the text as it is; otherwise the words of a taken part keep the white space
     between them and parts are joined by a line feed. ``n_chars``, where there is one, is counted anew. Documents
-    that the mix leaves out are gone. Rows that repeat an id and a text all follow the fullest plan among them.
+    that the mix leaves out are gone. Rows that repeat an id and a text are numbered, and each follows a plan of its own.
     """
-    plan = mix(docs, **settings).select(F.col("doc_id").alias("_mix_id"), F.col("x").alias("_mix_x"), F.col("size").alias("_mix_size"), F.col("spans").alias("_mix_spans"))
-    plan = plan.groupBy("_mix_id", "_mix_x").agg(F.max("_mix_size").alias("_mix_size"), F.collect_list("_mix_spans").alias("_mix_all"))
-    ranked = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_x")))
+    plan = cut(mix(docs, **settings).select(F.col("doc_id").alias("i"), "x", "size", "spans"), "mix_plans")
+    i, x, n, plan_, size = (fresh(docs.columns, f"_mix_{c}") for c in ("i", "x", "n", "plan", "size"))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), x: F.xxhash64("text")})
+    plan = plan.select(F.col("i").alias(f"{i}p"), F.col("x").alias(f"{x}p"), F.col("size").alias(size), F.col("spans").alias(plan_))
+    same = F.col(i).eqNullSafe(F.col(f"{i}p")) & (F.col(x) == F.col(f"{x}p"))
+    key = [f"{i}p", f"{x}p"]
+    times = cut(plan.groupBy(*key).count().filter("count > 1").select(*key), "mix_repeats")
+    ranked = rows.join(plan.join(times, on_key(plan, times, key), "left_anti"), same)
+    if not times.isEmpty():
+        # Only rows that share id and text are numbered, on both sides alike.
+        known = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+        numbered = rows.join(times, same, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(i, x).orderBy(F.xxhash64(*known))))
+        plans = plan.join(times, on_key(plan, times, key), "left_semi").withColumn(f"{n}p", F.row_number().over(Window.partitionBy(*key).orderBy(F.size(plan_))))
+        ranked = ranked.unionByName(numbered.join(plans, same & (F.col(n) == F.col(f"{n}p"))).drop(n, f"{n}p"))
     columns = docs.columns
 
     def cut_texts(batches):
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             at = {c: i for i, c in enumerate(batch.schema.names)}
-            rows, texts = [], []
-            for i, (text, size, all_) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in ("text", "_mix_size", "_mix_all")))):
-                # Rows with one id and text cannot be told apart here; each follows the fullest of their plans.
-                spans = all_[0] if len(all_) == 1 else max(all_, key=lambda s: sum(x["length"] * x["times"] for x in s))
+            places, texts = [], []
+            for row, (text, n_words, spans) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in ("text", size, plan_)))):
                 most = max((s["times"] for s in spans), default=0)
                 where = None
                 for k in range(1, most + 1):
@@ -210,14 +223,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
                             parts[-1][1] += s["length"]
                         else:
                             parts.append([s["start"], s["start"] + s["length"]])
-                    if parts == [[0, size]]:
+                    if parts == [[0, n_words]]:
                         piece = text
                     else:
                         where = where or [m.span() for m in word.finditer(text)]
                         piece = "\n".join(text[where[a][0] : where[b - 1][1]] for a, b in parts)
-                    rows.append(i)
+                    places.append(row)
                     texts.append(piece)
-            out = batch.take(pa.array(rows, pa.int64())).select(columns)
+            out = batch.take(pa.array(places, pa.int64())).select(columns)
             out = out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
             if "n_chars" in columns:
                 n = pa.array([len(t) for t in texts], pa.int64()).cast(out.schema.field("n_chars").type)

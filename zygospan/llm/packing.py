@@ -2,7 +2,7 @@
 
 Documents become token pieces; pieces are dealt over shards and each shard is packed on its own. A bin is filled
 greedily with the longest piece that fits; then its smallest piece gives way to two unpacked ones if they fill the
-widened gap more tightly. Badly filled bins of all shards are packed again together until one shard holds them.
+widened gap more tightly. Badly filled bins of all shards are packed again together while that spares enough of them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zygospan.llm.common import column, cut, small_batches
+from zygospan.llm.common import Words, column, cut, fresh, small_batches
 
 LENGTH = 2048
 END = 0
@@ -42,7 +42,7 @@ class WordTokenizer:
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most, Words(), Words()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -54,22 +54,28 @@ class WordTokenizer:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        for cache in (self.words, self.parts):
-            if len(cache) > self.most:
-                cache.clear()
-        new = set().union(*lists).difference(self.words)
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in lists]
-
-    def _learn(self, new: set[str]) -> None:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        if len(self.words) > self.most:
+            self.words = self.words.next()
+        if len(self.parts) > self.most:
+            self.parts = self.parts.next()
+        split = " ".join(texts).replace("\n", " ").replace("\t", " ").split(" ")
+        found = list(map(self.words.__getitem__, split))
+        open_ = [i for i, v in enumerate(found) if v is None]
+        if open_:
+            self._learn(list(dict.fromkeys([split[i] for i in open_])))
+            for i in open_:
+                found[i] = self.words[split[i]]
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        words = np.array([t.count(" ") + t.count("\n") + t.count("\t") + 1 for t in texts], dtype=np.int64)
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.add.reduceat(n, np.cumsum(words) - words)
+
+    def _learn(self, new: list[str]) -> None:
         plain = {w: _PART.findall(w.lower()) for w in new if _PLAIN.fullmatch(w) and "<|" not in w}
         for w, ids in self._encoded([w for w in new if w not in plain]):
             self.words[w] = ids
-        missing = set().union(*plain.values()).difference(self.parts)
+        missing = [p for p in set().union(*plain.values()) if self.parts[p] is None]
         runs = [p for p in missing if _LETTERS.fullmatch(p)]
         self.parts.update(self._encoded([p for p in missing if not _LETTERS.fullmatch(p)]))
         for at in range(0, len(runs), 4096):
@@ -113,14 +119,27 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, wi
     def run(batches):
         words = WordTokenizer.shared(tokenizer_path(tokenizer))
         for batch in small_batches(batches, most=2 << 20):
-            out = []
-            for doc_id, ids in zip(column(batch, "doc_id"), words.encode([t or "" for t in column(batch, "text")])):
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
-                for k, a in enumerate(range(0, len(ids), length)):
-                    data = ids[a : a + length].tobytes()
-                    out.append((doc_id, k, a, len(data) // 4, zlib.crc32(data), data))
-            kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds[: 5 + with_ids])], [n for n, _ in kinds[: 5 + with_ids]])
+            ids, n = words.encode([t or "" for t in column(batch, "text")])
+            ends = np.cumsum(n + 1)
+            all_ = np.full(ends[-1], END, dtype="<u4")
+            closing = np.zeros(ends[-1], dtype=bool)
+            closing[ends - 1] = True
+            all_[~closing] = ids
+            parts = -(-(n + 1) // length)
+            doc = np.repeat(np.arange(len(n)), parts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * length
+            size = np.minimum(length, n[doc] + 1 - start)
+            first = (ends - n - 1)[doc] + start
+            data = memoryview(all_.tobytes())
+            cuts = [data[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + size).tolist())]
+            out = [
+                batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
+                pa.array(map(zlib.crc32, cuts), pa.int64()),
+            ]
+            if with_ids:
+                out.append(pa.array(map(bytes, cuts), pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -195,24 +214,25 @@ def _filler(length: int, level: int, last: bool):
 def pack(rows: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``rows`` (as from ``pieces``) with ``sequence_id`` and ``offset``; the sequence numbers mean nothing by themselves.
 
-    Pieces of full length stand alone. Repeated rows are packed each on its own; no rows give none.
+    Pieces of full length stand alone. Repeated rows are packed each on its own; no rows give none. Columns of the two
+    names are replaced, all others kept. A shard holds ``shard_pieces`` pieces at a time: badly filled bins of all
+    shards meet again as long as a round spares three pieces in ten; what then is left is packed within its shards.
     """
-    rows = cut(rows.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
-    full = rows.filter(F.col("length") >= length).select("_uid", (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo, done, n, level = rows.filter(F.col("length") < length).select("_uid", "length"), full, None, 0
+    uid = fresh(rows.columns, "_uid")
+    rows = cut(rows.drop("sequence_id", "offset").withColumn(uid, F.monotonically_increasing_id()), "pieces")
+    own = rows.select(F.col(uid).alias("_uid"), "length")
+    done = own.filter(F.col("length") >= length).select("_uid", (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    todo, level, final = own.filter(F.col("length") < length), 0, False
     n = todo.count()
     while n:
         shards = -(-n // shard_pieces)
-
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("_uid", F.lit(level)), F.lit(shards)))
-        filled = cut(dealt.groupBy("shard").applyInArrow(_filler(length, level, shards == 1), "_uid long, length long, sequence_id long, offset long"), "bins")
+        filled = cut(dealt.groupBy("shard").applyInArrow(_filler(length, level, final or shards == 1), "_uid long, length long, sequence_id long, offset long"), "bins")
         done = done.unionByName(filled.filter("sequence_id >= 0").select("_uid", "sequence_id", "offset"))
         todo = filled.filter("sequence_id < 0").select("_uid", "length")
         left = todo.count()
-        # Where a round leaves about as much as it got, the rest is packed as it falls.
-        shard_pieces = shard_pieces if left < 0.7 * n else max(left, shard_pieces)
-        n, level = left, level + 1
-    return rows.join(done, "_uid").drop("_uid")
+        n, level, final = left, level + 1, left >= 0.7 * n
+    return rows.join(done.withColumnRenamed("_uid", uid), uid).drop(uid)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int, smooth: float = 1.0) -
     if len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
         test = np.zeros(len(y), dtype=bool)
     p, q = np.full(size, smooth), np.full(size, smooth)
-    for r, label in zip(np.array(rows, dtype=object)[~test], y[~test]):
-        (p if label == 1 else q)[r] += 1
+    for i in np.flatnonzero(~test):
+        (p if y[i] == 1 else q)[rows[i]] += 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
 
     def scaled(r):
