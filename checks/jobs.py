@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.aggregates import (
-    BIN_EXPO, HBAR, HETW_RATES, LOADS, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
+    BIN_EXPO, HBAR, HETW_RATES, HOM, LOADS, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
     _FLOORS, boot_draw, boot_sql, TRACE_SQL, ARMS, centromeres, ENRICH,
 )
 from checks.joins import FAMILY_SQL, INTERVALS_SQL, PAIRS_SQL, arithmetic_draw, draw_sql, families, founders, intervals, manifest, MANIFEST_SQL
 from checks.registry import check
 from checks.scans import LOCI_SQL, _SUBSET, _gt_rows, loci, two_call_sets
 from checks.scalars import _mcl
-from checks.sequences import MATCH_SQL, XO, states_sql, trial_parts
+from checks.sequences import MATCH_SQL, TRACT, TRACT_SQL, XO, states_sql
 from checks.views import EMISSION, THR, curve_sql, lstar_sql, rd, runs_sql, sql
 from zygospan.config import DEFAULTS
 from zygospan.operators import background as B
@@ -93,19 +93,43 @@ def _(v):
     return B.decisive_length(curve, ["pop", "gap"])
 
 
-TRUTH = MATCH_SQL + ",\n " + runs_sql("tr", "tm", "pop, chrom, t, focal, label") + f""",
+_HALF = f"sp as (select pop, sample, row_number() over (partition by pop order by {draw_sql('sample')}, sample) as r from panel)"
+TRUTH = _HALF + ",\n " + MATCH_SQL.replace("count(*) over (partition by pop) as n from panel)", "count(*) over (partition by pop) as n from sp where r between 9 and 16)").replace(
+    f"((({draw_sql('t', '9')}) % 4000000) + 200000) // 2 as half_bp", f"cast(floor({TRACT_SQL} * 1e6 / 2) as bigint) as half_bp") + ",\n " + HOM.replace(
+    "join haps h on", "join (select h.* from haps h join sp on sp.sample = h.sample where sp.r <= 8) h on") + """,
+ own as (select pop, chrom, blk, min(pos) as fp from mk group by 1, 2, 3),
+ hown as (select h.pop, h.chrom, o.fp // 1000000 * 1000000 as window_start, avg(h.hom) as hbar from hom h join own o using (pop, chrom, blk) where h.n_hap >= 2 group by 1, 2, 3),
+ """ + runs_sql("tr", "tm", "pop, chrom, t, focal, label") + f""",
  ob as (select pop, chrom, t, label, focal, max(len_bp) / 1e6 as l_obs from tr where focal between start_pos and end_pos group by 1, 2, 3, 4, 5 having max(len_bp) >= 100000),
- scd as (select o.*, case when h.rate > 0 and h.hbar > 0 then 0.0625*{EMISSION}/(0.0625*{EMISSION} + 0.9375*pow(greatest(1e-4, h.hbar), greatest(1.0, l_obs*h.rate/0.5))) else 0.0625 end as posterior
-  from ob o left join hwin h on h.chrom = o.chrom and h.window_start = o.focal // 1000000 * 1000000)"""
+ scd as (select o.*, case when r.rate > 0 and h.hbar > 0 then 0.0625*{EMISSION}/(0.0625*{EMISSION} + 0.9375*pow(greatest(1e-4, h.hbar), greatest(1.0, l_obs*r.rate/0.5))) else 0.0625 end as posterior
+  from ob o left join hown h on h.pop = o.pop and h.chrom = o.chrom and h.window_start = o.focal // 1000000 * 1000000 left join rates r on r.chrom = o.chrom and r.window_start = o.focal // 1000000 * 1000000),
+ bins as (select pop, least(cast(floor(posterior*10) as bigint), 9) as bin, avg(posterior) as mp, avg(label) as ob, count(*) as n from scd group by 1, 2)"""
+_TRUTH_VIEWS = ("haps", "common", "cum")
 
 
-@check("j09_truth_calibration", sql(f"with {TRUTH} select pop, chrom, t, label, l_obs, round(posterior + 1e-9, 6) as posterior from scd", "haps", "common", "hwin"))
+def truth(v):
+    return PA.truth_calibration(v.panel, v.common, v.haplotypes, v.combined_map, 8, 8, 60, 500, arithmetic_draw, F.floor(F.col("sample") / 64), TRACT, target=0.35)
+
+
+@check("j09_truth_calibration", sql(f"with {TRUTH} select pop, chrom, t, label, l_obs, round(posterior + 1e-9, 6) as posterior from scd", *_TRUTH_VIEWS))
+def _(v):
+    return truth(v).trials.select("pop", "chrom", "t", "label", "l_obs", rd("posterior"))
+
+
+@check("j09_reliability_bins", sql(f"with {TRUTH} select pop, bin, round(mp + 1e-9, 6) as mean_posterior, round(ob + 1e-9, 6) as observed, n from bins", *_TRUTH_VIEWS))
+def _(v):
+    return truth(v).bins.select("pop", "bin", rd("mean_posterior"), rd("observed"), "n")
+
+
+@check("j09_truth_summary", sql(f"""with {TRUTH}, ec as (select pop, sum(n * abs(ob - mp)) / sum(n) as ece, cast(sum(n) as bigint) as n from bins group by 1),
+ fd as (select pop, 1 - avg(case when l_obs >= 0.7 then label end) as f07, 1 - avg(case when l_obs >= 1.5 then label end) as f15, 1 - avg(case when posterior >= 0.95 then label end) as fp from scd group by 1),
+ g as (select 100 + 50*i as l from (select unnest(range(159)) as i)),
+ th as (select scd.pop, g.l, count(*) as calls, avg(label) as ok from scd join g on scd.l_obs * 1000 >= g.l - 1e-6 group by 1, 2),
+ tl as (select pop, min(l) / 1000 as lstar_mb from th where calls >= 20 and 1 - ok <= 0.35 group by 1)
+ select pop, n, round(ece + 1e-9, 6) as ece, round(f07 + 1e-9, 6) as fdr_0_7mb, round(f15 + 1e-9, 6) as fdr_1_5mb, round(fp + 1e-9, 6) as fdr_posterior, coalesce(lstar_mb, 'inf'::double) as lstar_mb
+ from ec join fd using (pop) left join tl using (pop)""", *_TRUTH_VIEWS))
 def _(v):
-    tests, markers, tract = trial_parts(v)
-    haps = v.haplotypes.withColumnRenamed("sample", "unit")
-    windows = v.hbar_windows().withColumn("pop", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    out = PA.calibration_trials(tests, markers, haps, windows, 60, 500, tract, arithmetic_draw)
-    return out.select("pop", "chrom", "t", "label", "l_obs", rd("posterior"))
+    return truth(v).summary.select("pop", "n", rd("ece"), rd("fdr_0_7mb"), rd("fdr_1_5mb"), rd("fdr_posterior"), "lstar_mb")
 
 
 @check("j10_trio_roh_report", sql(f"""with {TCALLS}, {REPORT}, {TRIO_SCORE} select trio, chrom, start_pos, len_bp, n_markers, round(rate + 1e-9, 5) as rate, round(hbar + 1e-9, 5) as hbar, round(lstar + 1e-9, 5) as lstar_mb, round(posterior + 1e-9, 5) as posterior, call, deletion_flag from rep""", "trio", "hwin"))

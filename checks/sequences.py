@@ -255,6 +255,18 @@ def _(v):
     return match.groupBy("pop", "chrom", "t", "label").agg(F.count("*").alias("n"), F.count_if("hom").alias("n_hom"))
 
 
+TRACT = R.exponential_tract(draws=2147483647)
+TRACT_SQL = f"least(12.0, greatest(0.2, -2.0 * ln(1 - (({_d(9)}) + 0.5) / 2147483647.0::double)))"
+
+
+@check("f06_exponential_trials", sql(f"""with {TRIAL_SQL}, ex as (select pop, chrom, t, focal, label, cast(floor({TRACT_SQL} * 1e6 / 2) as bigint) as half_bp from trl)
+ select ex.* from ex where (select count(*) from common c where c.pop = ex.pop and c.chrom = ex.chrom and abs(c.pos - ex.focal) <= 30000) >= 5""", "haps", "common"))
+def _(v):
+    tests, markers, _ = trial_parts(v)
+    trials = R.labelled_trials(tests, markers, 60, 500, TRACT, arithmetic_draw)
+    return R.crowded_trials(trials, markers, 30_000).select("pop", "chrom", "t", "focal", "label", "half_bp")
+
+
 # -- set operations, sorts and limits -------------------------------------------
 
 

@@ -321,6 +321,32 @@ def labelled_trials(
     )
 
 
+def exponential_tract(mean_mb: float = 2.0, low_mb: float = 0.2, high_mb: float = 12.0, key: int = 9, draws: int = 2**62) -> Callable[[Draw], Column]:
+    """Tract lengths of an exponential distribution held to ``[low_mb, high_mb]``, in base pairs.
+
+    The inverse distribution function of one integer draw below ``draws``.
+    """
+    def tract(d: Draw) -> Column:
+        u = (d(key) + 0.5) / float(draws)
+        return F.least(F.lit(high_mb), F.greatest(F.lit(low_mb), -mean_mb * F.ln(1 - u))) * 1e6
+    return tract
+
+
+def crowded_trials(trials: DataFrame, markers: DataFrame, scan_bp: int, least: int = 5) -> DataFrame:
+    """The trials with at least ``least`` markers within ``scan_bp`` of their focal one, itself included.
+
+    Markers are numbered along a chromosome, so those within reach are neighbours by number: a trial asks the
+    ``least - 1`` on each side by equality and counts the near ones.
+    """
+    key, by = ["pop", "chrom", "t"], ["pop", "chrom"]
+    own = markers.select(*by, F.col("pos").alias("focal"), F.col("idx").alias("_at"))
+    asked = trials.select(*key, "focal").join(own, [*by, "focal"])
+    asked = asked.withColumn("idx", F.explode(F.sequence(F.col("_at") - (least - 1), F.col("_at") + (least - 1))))
+    near = F.abs(F.col("pos") - F.col("focal")) <= scan_bp
+    enough = asked.join(markers.select(*by, "idx", "pos"), [*by, "idx"]).filter(near).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    return trials.join(enough.select(*key), key, "left_semi")
+
+
 def implanted_matches(
     trials: DataFrame, haplotypes: DataFrame, draw: Draw, reach: int | None = None,
     flip_per_mille: int = 1, s: Settings = DEFAULTS,

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
 from zygospan.functions import genotype as G
+from zygospan.operators import calibrate as K
 from zygospan.operators import diversity as D
 from zygospan.operators import maps as M
 from zygospan.operators import resample as R
@@ -47,12 +49,26 @@ def hbar_atlas(
     )
 
 
+def population_hbar(common: DataFrame, haplotypes: DataFrame, recmap: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """``pop, chrom, window_start, rate, hbar`` from the given haplotypes, blocks anchored in their own population."""
+    rates = M.window_rates(recmap, s)
+    markers = M.add_cm(common.select("pop", "chrom", "pos"), M.cumulative_cm(rates, s), s=s).withColumn("blk", M.block_id(s=s))
+    windows = D.window_hbar(markers, haplotypes, s, anchor="pop").select("pop", "chrom", "window_start", "hbar")
+    return windows.join(rates, ["chrom", "window_start"], "left")
+
+
 def calibration_trials(
     tests: DataFrame, markers: DataFrame, haplotypes: DataFrame, windows: DataFrame, n_trials: int,
     prior_per_mille: int, tract_bp, draw: R.Draw, min_call_bp: int = 100_000, s: Settings = DEFAULTS,
+    scan_bp: int | None = None, least_markers: int = 5,
 ) -> DataFrame:
-    """Scored trials ``pop, l_obs, label, posterior`` with known truth."""
+    """Scored trials ``pop, chrom, t, l_obs, label, posterior`` with known truth.
+
+    With ``scan_bp``, a trial needs ``least_markers`` markers that near its focal one.
+    """
     trials = R.labelled_trials(tests, markers, n_trials, prior_per_mille, tract_bp, draw)
+    if scan_bp is not None:
+        trials = R.crowded_trials(trials, markers, scan_bp, least_markers)
     match = R.implanted_matches(trials, haplotypes, draw, s=s).withColumn("trial", F.struct("pop", "chrom", "t", "label"))
     seen = focal_runs(match, "trial", "focal", s=s).filter(F.col("len_bp") >= min_call_bp)
     flat = seen.select("trial.*", "focal", (F.col("len_bp") / 1e6).alias("l_obs"))
@@ -60,3 +76,34 @@ def calibration_trials(
     scored = flat.join(windows.select("pop", "chrom", "window_start", "rate", "hbar"), ["pop", "chrom", "window_start"], "left")
     post = E.posterior_block(F.col("l_obs"), F.coalesce("rate", F.lit(0.0)), F.col("hbar"), s.prior, s)
     return scored.select("pop", "chrom", "t", "l_obs", "label", post.alias("posterior"))
+
+
+class Calibration(NamedTuple):
+    trials: DataFrame
+    bins: DataFrame
+    summary: DataFrame
+
+
+def truth_calibration(
+    units: DataFrame, common: DataFrame, haplotypes: DataFrame, recmap: DataFrame, n_ref: int, n_test: int, n_trials: int,
+    prior_per_mille: int, draw: R.Draw, block: Column, tract_bp=None, scan_bp: int = 8_000_000,
+    lengths_mb: Sequence[float] = (0.7, 1.5), target: float = 0.05, min_calls: int = 20, s: Settings = DEFAULTS,
+) -> Calibration:
+    """Posteriors against planted truth: trials, reliability bins and a line per population.
+
+    ``units(pop, sample)`` are split in two halves: one gives the homozygosity of windows, the other the trials. The
+    summary has ``n, ece``, the realised FDR at each length and at the target posterior, and ``lstar_mb``, the shortest length
+    with ``min_calls`` calls whose FDR is at most ``target``.
+    """
+    split = R.reference_test_split(units.select("pop", "sample"), ["pop"], "sample", n_ref, n_test, draw)
+    half = lambda part: split.filter(F.col("part") == part).select("pop", "sample")
+    windows = population_hbar(common, haplotypes.join(half("ref"), ["pop", "sample"], "left_semi"), recmap, s)
+    tests = R.index_units(half("test"), ["pop"], "sample", block).withColumnRenamed("sample", "unit")
+    markers = R.index_units(common.select("pop", "chrom", "pos"), ["pop", "chrom"], "pos", F.floor(F.col("pos") / s.scan_block_bp))
+    trials = calibration_trials(
+        tests, markers, haplotypes.withColumnRenamed("sample", "unit"), windows, n_trials, prior_per_mille,
+        tract_bp or R.exponential_tract(), draw, s=s, scan_bp=scan_bp,
+    )
+    bins = K.reliability(trials)
+    summary = K.calibration_error(bins).join(K.false_discovery(trials, lengths_mb, s.target_posterior).drop("n"), "pop")
+    return Calibration(trials, bins, summary.join(K.truth_lstar(trials, target=target, min_calls=min_calls), "pop"))
