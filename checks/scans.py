@@ -13,7 +13,7 @@ from zygospan.operators import enrich as N
 from zygospan.operators import trio as T
 
 from zygospan.sources import sinks, tables, variants
-from zygospan.operators.runs import keep_segments
+from zygospan.operators.runs import call_runs, keep_segments
 
 
 def _gt_rows(v):
@@ -61,6 +61,28 @@ def _(v):
     )
 
 
+@check("a01_columns_per_file", sql("""
+select g.sample, count(*) as n, cast(sum(g.a0) as bigint) as sum_a0, cast(sum(g.pos * (g.a0 + 2*g.a1)) as bigint) as checksum
+from genotypes g join sites s on s.idx = g.idx where length(s.alt) = 1 group by g.sample""", "genotypes", "sites"))
+def _(v):
+    """A text file for every family and chromosome; its four columns start at another member in each family."""
+    import uuid
+
+    path = f"{sinks.shared_dir(v.spark)}/cohort-{uuid.uuid4().hex}"
+    rows = _gt_rows(v).withColumn("fam", F.floor(F.col("sample") / 4)).withColumn("slot", F.pmod(F.col("sample") + F.col("fam"), F.lit(4)))
+    cell = lambda k: F.coalesce(F.max(F.when(F.col("slot") == k, F.col("gt"))), F.lit("."))
+    wide = rows.groupBy("fam", "chrom", "pos", "ref", "alt", "id").agg(F.concat_ws("\t", *[cell(k) for k in range(4)]).alias("gts"))
+    member = lambda k: (F.col("fam") * 4 + F.pmod(F.lit(k) - F.col("fam"), F.lit(4))).cast("string")
+    fixed = F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT")
+    heads = wide.select("fam", "chrom").distinct().select("fam", "chrom", F.concat_ws("\t", fixed, *[member(k) for k in range(4)]).alias("value"))
+    lines = wide.select("fam", "chrom", F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "gts").alias("value"))
+    heads.unionByName(lines).repartition("fam", "chrom").write.partitionBy("fam", "chrom").text(path)
+    long = variants.genotypes_by_name(variants.snvs(variants.with_file_samples(variants.read_lines(v.spark, path))))
+    return long.filter(F.col("a0").isNotNull()).groupBy(F.col("sample").cast("long").alias("sample")).agg(
+        F.count("*").alias("n"), F.sum("a0").alias("sum_a0"), F.sum(F.col("pos") * (F.col("a0") + 2 * F.col("a1"))).alias("checksum")
+    )
+
+
 @check("a02_trio_extract", sql("""
 select t.trio, t.chrom, count(*) as n, cast(sum(t.f0 + 2*t.f1 + 4*t.m0 + 8*t.m1 + 16*t.c0 + 32*t.c1) as bigint) as code, cast(sum(t.pos) as bigint) as sum_pos
 from trio t join sites s on s.chrom = t.chrom and s.pos = t.pos
@@ -264,6 +286,29 @@ def _(v):
     return v.spark.read.parquet(path).groupBy("pop").agg(F.count("*").alias("n"), F.sum("len_bp").alias("total_bp"))
 
 
+@check("a16_resumed_job", sql("select pop, chrom, count(*) as n, cast(sum(len_bp) as bigint) as total_bp from segs group by pop, chrom", "segs"))
+def _(v):
+    """A job that is cut after its first chromosome, started anew, then only aggregated."""
+    import uuid
+
+    path = f"{sinks.shared_dir(v.spark)}/resumed-{uuid.uuid4().hex}"
+    runs = lambda calls: keep_segments(call_runs(calls, ["pop", "sample", "chrom"]))
+    started = []
+
+    def cut_short(calls):
+        started.append(1)
+        if len(started) > 1:
+            raise InterruptedError("cut")
+        return runs(calls)
+
+    try:
+        sinks.resume_partitions(v.calls, cut_short, path)
+    except InterruptedError:
+        sinks.resume_partitions(v.calls, runs, path)
+    out = sinks.resume_partitions(v.calls, runs, path, aggregate_only=True)
+    return out.groupBy("pop", "chrom").agg(F.count("*").alias("n"), F.sum("len_bp").alias("total_bp"))
+
+
 # -- filters and predicates ------------------------------------------------------
 
 

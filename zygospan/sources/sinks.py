@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 _LOCAL: dict[str, str] = {}
@@ -61,3 +65,41 @@ def write_clustered(df: DataFrame, table: str, keys: Sequence[str], buckets: int
 def missing_partitions(done: DataFrame, wanted: DataFrame, by: Sequence[str] = ("chrom",)) -> DataFrame:
     """Partitions still to compute, for a resumable run."""
     return wanted.join(done.select(*by).distinct(), list(by), "left_anti")
+
+
+def finished_partitions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The commit log of ``resume_partitions``: partitions whose data are complete."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path.rstrip('/')}-log").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def resume_partitions(
+    source: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, by: Sequence[str] = ("chrom",), aggregate_only: bool = False,
+) -> DataFrame:
+    """Compute what ``path`` lacks, partition by partition, and return all finished partitions.
+
+    A partition's data are written first and its line in the log after them. A job that is cut in between computes that
+    partition again and replaces it; finished ones are neither read nor touched. A partition without any result is
+    finished too. ``aggregate_only`` computes nothing. Only the partitions' names reach the driver.
+    """
+    spark, by = source.sparkSession, list(by)
+    wanted = source.select(*by).distinct()
+    todo = [] if aggregate_only else missing_partitions(finished_partitions(spark, path, wanted.schema), wanted, by).orderBy(*by).collect()
+    for part in todo:
+        mine = reduce(and_, (F.col(c).eqNullSafe(F.lit(part[c])) for c in by))
+        write_partitions(compute(source.filter(mine)), path, by)
+        spark.createDataFrame([part], wanted.schema).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}-log")
+    done = finished_partitions(spark, path, wanted.schema)
+    shape = compute(source.limit(0))
+    try:
+        kept = spark.read.schema(shape.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return shape
+    # The log holds one row per partition of a folder tree.
+    return kept.join(done, by, "left_semi").select(*shape.columns)

@@ -18,7 +18,7 @@ def sample_names(lines: DataFrame) -> list[str]:
     if not headers:
         raise ValueError("no #CHROM header line")
     if len(headers) > 1:
-        raise ValueError("the files' #CHROM header lines differ: read them one by one")
+        raise ValueError("the files' #CHROM header lines differ: read them by with_file_samples")
     return headers[0]["value"].split("\t")[FIXED:]
 
 
@@ -60,6 +60,44 @@ def read_variants(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame
     return parse_variants(lines), sample_names(lines)
 
 
+def file_samples(lines: DataFrame) -> DataFrame:
+    """``file, names``: the sample names of each file's own #CHROM line, in the order of its columns."""
+    names = F.slice(F.split(F.rtrim("value"), "\t"), F.lit(FIXED + 1), F.lit(2**31 - 1))
+    heads = lines.filter(F.col("value").startswith("#CHROM")).select("file", names.alias("names")).groupBy("file").agg(
+        F.min("names").alias("names"), F.max("names").alias("_other")
+    )
+    differ = F.raise_error(F.concat(F.lit("two #CHROM lines that differ in "), "file"))
+    return heads.select("file", F.when(F.col("names") == F.col("_other"), F.col("names")).otherwise(differ).alias("names"))
+
+
+def with_file_samples(lines: DataFrame, most_bytes: int = 64 << 20, salts: int = 32) -> DataFrame:
+    """Parsed variants with ``names``, the samples of their own file; files may list other samples in other orders.
+
+    The header lines together are broadcast while they hold at most ``most_bytes``, which is measured; beyond that each
+    is laid out under a few salts, so that the lines of a large file meet it in many tasks. A file without a header is
+    an error.
+    """
+    heads = file_samples(lines)
+    size = heads.agg(F.sum(F.length(F.array_join("names", "\t")))).first()[0] or 0
+    rows = parse_variants(lines).withColumn("file", F.col("line.file"))
+    if size <= most_bytes:
+        both = rows.join(F.broadcast(heads), "file", "left")
+    else:
+        salted = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        both = rows.withColumn("_salt", F.pmod(F.xxhash64("chrom", "pos"), F.lit(salts)).cast("int")).join(salted, ["file", "_salt"], "left").drop("_salt")
+    unknown = F.raise_error(F.concat(F.lit("no #CHROM header line in "), "file"))
+    return both.withColumn("names", F.coalesce("names", unknown))
+
+
+def genotypes_by_name(variants: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """One row per site and sample, as ``genotypes_long`` gives it, from variants with their own ``names``."""
+    cells = F.explode(F.arrays_zip(F.col("names").alias("sample"), F.split("gts", "\t").alias("g")))
+    rows = variants.select("chrom", "pos", "ref", "alt", cells.alias("_c")).select("chrom", "pos", "ref", "alt", "_c.sample", F.substring_index("_c.g", ":", 1).alias("gt"))
+    if keep is not None:
+        rows = rows.filter(F.col("sample").isin(list(keep)))
+    return rows.withColumns({"a0": F.substring("gt", 1, 1).try_cast("int"), "a1": F.substring("gt", 3, 1).try_cast("int")})
+
+
 def snvs(variants: DataFrame, drop_star: bool = False) -> DataFrame:
     return variants.filter(G.is_biallelic_snv(F.col("ref"), F.col("alt"), drop_star))
 
