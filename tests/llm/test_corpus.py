@@ -105,6 +105,18 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert ids.tolist() == [i for o in own for i in o] and n.tolist() == [len(o) for o in own]
 
 
+def test_words_that_share_a_hash_stay_apart(monkeypatch):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain, real = Tokenizer.from_file(path), packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda *a: [real(*a)[0] % np.uint64(7), real(*a)[1]])
+    tokenizer = packing.WordTokenizer(path)
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = [words(rng, rng.choice([1, 2, 30])) for _ in range(3)] + ["w" * 200 + " x"]
+        ids, n = tokenizer.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
+
+
 @pytest.mark.parametrize("shard_pieces", [8192, 8])
 def test_packing_places_every_piece(spark, shard_pieces):
     data = rows()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from itertools import chain, pairwise
 
@@ -73,6 +74,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores by themselves
         self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True
         byte = byte_alphabet()

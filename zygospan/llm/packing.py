@@ -7,11 +7,13 @@ widened gap more tightly. Badly filled bins of all shards are packed again toget
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,39 @@ TOKENIZER = "word_bpe_49k.json"
 _LETTER = "a-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[!-~{_LETTER}]*")
 _LETTERS = re.compile(f"[{_LETTER}]+")
-_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\n|[^{_LETTER}0-9\n]+")
+
+
+_SEPARATOR = np.isin(np.arange(256), [9, 10, 32])
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def word_hashes(data: bytes, start: np.ndarray, length: np.ndarray, longest: int = 64) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each slice of ``data``, which ends in eight bytes of padding; eight bytes a step."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), (len(raw) - 7,), (1,))
+    out = [length.astype(np.uint64) * m for m in _MIX]
+    for at in range(0, min(longest, int(length.max(initial=0))), 8):
+        here = np.flatnonzero(length > at)
+        chunk = eight[start[here] + at] & _MASKS[np.minimum(length[here] - at, 8)]
+        for h, m in zip(out, _MIX[::-1]):
+            x = (h[here] ^ chunk) * m
+            h[here] = (x ^ (x >> np.uint64(29))) * _MIX[0]
+    for i in np.flatnonzero(length > longest).tolist():
+        word = data[start[i] : start[i] + length[i]]
+        for k, h in enumerate(out):
+            h[i] = xxhash.xxh64_intdigest(word, k)
+    return out
 
 
 class WordTokenizer:
     """Ids of whole texts by the named tokenizer, which joins nothing over white space: words are encoded once and kept.
 
-    A word of plain letters, digits and marks is taken apart as the tokenizer does it, so that its parts are shared
-    with other words; letter runs go through the tokenizer many at a time, as each ends in a token of its own kind.
+    The words of a block are told apart by two hashes and looked up together; the table holds their ids end to end.
+    A full table forgets the words that only one block held since it was last full. A word of plain letters, digits and marks
+    is taken apart as the tokenizer does it, so that its parts are shared with other words; letter runs go through the
+    tokenizer many at a time, as each ends in a token of its own kind.
     """
 
     _shared: dict[str, WordTokenizer] = {}
@@ -42,10 +69,17 @@ class WordTokenizer:
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words, self.parts = Tokenizer.from_file(path), most, Words(), Words()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores by themselves
+        self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, Words()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.met, self.pool = np.empty(0, bool), np.empty(0, "<u4")
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -56,26 +90,86 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
-        if len(self.words) > self.most:
-            self.words = self.words.next()
+        parts = [t.encode() for t in texts]
+        data = b" ".join(parts) + bytes(8)
+        first = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
+        ends = np.append(np.flatnonzero(_SEPARATOR[np.frombuffer(data, dtype=np.uint8)[:-8]]), len(data) - 8)
+        start = np.r_[0, ends[:-1] + 1]
+        start, length = start[ends > start], (ends - start)[ends > start]
+        if not len(start):
+            return np.empty(0, "<u4"), np.zeros(len(texts), dtype=np.int64)
+        key, check = word_hashes(data, start, length)
+        own, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        clash = (check != check[at][inverse]).any()
+        if clash:
+            # Two words of this block share the first hash: both hashes together tell them apart, in a table of their own.
+            self._clear()
+            own, at, inverse = np.unique(key ^ check, return_index=True, return_inverse=True)
+        place = self._known(own, check[at], data, start[at], length[at])
+        n, at = self.count[place][inverse], self.start[place][inverse]
+        ids = self.pool[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        if clash:
+            self._clear()
+        text = np.searchsorted(first, start, side="right") - 1
+        return ids, np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
+
+    def _known(self, key: np.ndarray, check: np.ndarray, data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Places in the table of distinct words, given in the order of their keys; new ones are learned."""
+        if len(self.key) > self.most:
+            self._forget()
+        at = np.searchsorted(self.key, key)
+        found = np.zeros(len(key), dtype=bool)
+        inside = at < len(self.key)
+        found[inside] = self.key[at[inside]] == key[inside]
+        if (self.check[at[found]] != check[found]).any():
+            self._clear()
+            at, found = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+        new = ~found
+        if new.any():
+            words = [data[a : a + n].decode() for a, n in zip(start[new].tolist(), length[new].tolist())]
+            ids, count = self._learn(words)
+            where = at[new]
+            self.start = np.insert(self.start, where, len(self.pool) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, where, count)
+            self.key, self.check = np.insert(self.key, where, key[new]), np.insert(self.check, where, check[new])
+            self.met = np.insert(self.met, where, False)
+            self.pool = np.concatenate([self.pool, ids])
+            at = at + np.cumsum(new) - new
+        self.met[at[found]] = True
+        return at
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.met)
+        if 2 * len(kept) > self.most:
+            kept = kept[:0]
+        n, at = self.count[kept], self.start[kept]
+        self.pool = self.pool[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        self.start, self.count = np.cumsum(n) - n, n
+        self.key, self.check, self.met = self.key[kept], self.check[kept], np.zeros(len(kept), dtype=bool)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words end to end, and how many each has."""
         if len(self.parts) > self.most:
             self.parts = self.parts.next()
-        split = " ".join(texts).replace("\n", " ").replace("\t", " ").split(" ")
-        found = list(map(self.words.__getitem__, split))
-        open_ = [i for i, v in enumerate(found) if v is None]
-        if open_:
-            self._learn(list(dict.fromkeys([split[i] for i in open_])))
-            for i in open_:
-                found[i] = self.words[split[i]]
-        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
-        words = np.array([t.count(" ") + t.count("\n") + t.count("\t") + 1 for t in texts], dtype=np.int64)
-        return np.frombuffer(b"".join(found), dtype="<u4"), np.add.reduceat(n, np.cumsum(words) - words)
-
-    def _learn(self, new: list[str]) -> None:
-        plain = {w: _PART.findall(w.lower()) for w in new if _PLAIN.fullmatch(w) and "<|" not in w}
-        for w, ids in self._encoded([w for w in new if w not in plain]):
-            self.words[w] = ids
-        missing = [p for p in set().union(*plain.values()) if self.parts[p] is None]
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None and "<|" not in w for w in words), dtype=bool, count=len(words))
+        split = _PART.findall("\n".join([w for w, p in zip(words, plain.tolist()) if p]).lower())
+        self._learn_parts([p for p in dict.fromkeys(split) if p != "\n" and self.parts[p] is None])
+        self.parts["\n"] = b""
+        found = list(map(self.parts.__getitem__, split))
+        ends = np.append(np.flatnonzero(np.fromiter((p == "\n" for p in split), dtype=bool, count=len(split))), len(split))
+        upto = np.cumsum([0, *map(len, found)]) >> 2
+        count = np.zeros(len(words), dtype=np.int64)
+        if plain.any():
+            count[plain] = np.diff(upto[ends], prepend=0)
+        if plain.all():
+            return np.frombuffer(b"".join(found), dtype="<u4"), count
+        data = b"".join(found)
+        own = iter([data[4 * a : 4 * b] for a, b in zip([0, *upto[ends][:-1].tolist()], upto[ends].tolist())] if plain.any() else ())
+        rest = self._encoded([w for w, p in zip(words, plain.tolist()) if not p])
+        out = [next(own) if p else next(rest)[1] for p in plain.tolist()]
+        return np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) >> 2
+
+    def _learn_parts(self, missing: list[str]) -> None:
         runs = [p for p in missing if _LETTERS.fullmatch(p)]
         self.parts.update(self._encoded([p for p in missing if not _LETTERS.fullmatch(p)]))
         for at in range(0, len(runs), 4096):
@@ -91,9 +185,6 @@ class WordTokenizer:
                 for p, end in zip(line, ends.tolist()):
                     self.parts[p] = data[4 * start : 4 * end]
                     start = end
-        get = self.parts.__getitem__
-        for w, parts in plain.items():
-            self.words[w] = b"".join(map(get, parts))
 
     def _encoded(self, texts: list[str]):
         for at in range(0, len(texts), 4096):
