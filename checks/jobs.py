@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.aggregates import (
-    BIN_EXPO, HBAR, HETW_RATES, HOM, LOADS, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
+    BIN_EXPO, HBAR, HETW_RATES, HOM, PLATFORM, _plstar, platforms, LOADS, RATE_BINS, REPORT, SURFACE, TCALLS, TRIO_SCORE, TWO_SETS, AGREE_WIN,
     _FLOORS, boot_draw, boot_sql, TRACE_SQL, ARMS, centromeres, ENRICH,
 )
 from checks.joins import FAMILY_SQL, INTERVALS_SQL, PAIRS_SQL, arithmetic_draw, draw_sql, families, founders, intervals, manifest, MANIFEST_SQL
@@ -20,6 +20,7 @@ from zygospan.config import DEFAULTS
 from zygospan.operators import background as B
 from zygospan.operators import enrich as N
 from zygospan.operators import maps as M
+from zygospan.operators import platform as P
 from zygospan.operators import trio as T
 from zygospan.operators.runs import keep_segments
 from zygospan.plans import atlas as PA
@@ -85,12 +86,34 @@ CHANCE = PAIRS_SQL + ",\n " + runs_sql("cr", "pm", "pop, pair, chrom", "0, 1, 2"
  ce as (select sp.pop, g.gap, sp.exposure_bp from sp cross join (select unnest([0, 1, 2]) as gap) g)"""
 
 
-@check("j08_chance_null", sql(f"with {CHANCE}, {curve_sql('ccv', 'cs', 'ce', 'pop, gap')} select pop, cast(gap as int) as gap, lstar_mb from ({lstar_sql('ccv', 'pop, gap')})", "haps", "grid"))
-def _(v):
+CHANCE_ANALYTIC = CHANCE + f""",
+ {curve_sql('ccv', 'cs', 'ce', 'pop, gap')}, mr as (select avg(m) as mean_rate from (select chrom, avg(rate) as m from cmap group by chrom)),
+ an as (select c.*, pow((c.pop + 1) / 50.0, c.l_bp / 1e6 * mr.mean_rate / 0.5) as p_analytic from ccv c cross join mr where c.gap = 0),
+ al as (select pop, coalesce(min(case when p_analytic <= {THR} then l_bp end) / 1e6, 'inf'::double) as lstar_analytic_mb from an group by 1)"""
+
+
+def chance(v):
     null = PB.chance_null(v.haplotypes, founders(v), 40, (0, 1, 2), arithmetic_draw)
-    gaps = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    curve = B.exceedance_curve(keep_segments(null.segments), null.burden.withColumn("gap", gaps), ["pop", "gap"])
-    return B.decisive_length(curve, ["pop", "gap"])
+    hbar = v.panel.select("pop", ((F.col("pop") + 1) / F.lit(50.0)).alias("mean_hbar")).distinct()
+    return PB.chance_report(null, (0, 1, 2), hbar, M.chromosome_means(v.combined_map).agg(F.avg("mean_rate").alias("mean_rate")), (90.0, 99.0, 99.9))
+
+
+@check("j08_chance_null", sql(f"with {CHANCE_ANALYTIC} select pop, cast(gap as int) as gap, lstar_mb, lstar_analytic_mb from ({lstar_sql('ccv', 'pop, gap')}) left join al using (pop)", "haps", "cmap", "grid"))
+def _(v):
+    return chance(v).lstar.select("pop", "gap", "lstar_mb", "lstar_analytic_mb")
+
+
+@check("j08_chance_curve", sql(f"with {CHANCE_ANALYTIC} select pop, l_bp, round(p_bg + 1e-9, 6) as p_bg, round(p_analytic + 1e-9, 6) as p_analytic from an", "haps", "cmap", "grid"))
+def _(v):
+    return chance(v).curve.select("pop", "l_bp", rd("p_bg"), rd("p_analytic"))
+
+
+@check("j08_chance_percentiles", sql(f"""with {CHANCE}, kp as (select pop, len_bp, row_number() over (partition by pop order by len_bp) as rk, count(*) over (partition by pop) as nk from cs where gap = 0),
+ tot as (select pop, count(*) as n_runs, max(len_bp) as max_bp from cr where gap = 0 group by pop), ask as (select t.*, q.pct from tot t cross join (select unnest([90.0, 99.0, 99.9]::double[]) as pct) q)
+ select a.pop, a.pct, coalesce(max(x.len_bp), 0) as len_bp, a.n_runs, a.max_bp from ask a join (select distinct pop, nk from kp) k on k.pop = a.pop
+ left join kp x on x.pop = a.pop and a.pct / 100 * a.n_runs - (a.n_runs - k.nk) > 0 and x.rk = least(k.nk, ceil(a.pct / 100 * a.n_runs - (a.n_runs - k.nk))) group by 1, 2, 4, 5""", "haps"))
+def _(v):
+    return chance(v).percentiles.select("pop", "pct", "len_bp", "n_runs", "max_bp")
 
 
 _HALF = f"sp as (select pop, sample, row_number() over (partition by pop order by {draw_sql('sample')}, sample) as r from panel)"
@@ -217,6 +240,19 @@ def _(v):
     return B.decisive_length(B.exceedance_curve(null.segments, null.burden, by), by)
 
 
+@check("j14_array_floor", sql(f"""with {PLATFORM}, pk as (select * from pb where not is_outlier), pks as (select s.* from ps s join pk on pk.platform = s.platform and pk.sample = s.sample),
+ k as (select pop, count(*) as k from pb where platform = 'full' and is_outlier group by pop), rkd as (select *, row_number() over (partition by platform, pop order by f_roh desc, sample) as r from pb),
+ pm as (select rkd.* from rkd left join k on k.pop = rkd.pop where r > coalesce(k.k, 0)), pms as (select s.* from ps s join pm on pm.platform = s.platform and pm.sample = s.sample),
+ {_plstar('all', 'pb', 'ps')}, {_plstar('screened', 'pk', 'pks')}, {_plstar('matched', 'pm', 'pms')}
+ select b.*, a.lstar_all_mb, s.lstar_screened_mb, m.lstar_matched_mb from (select platform, pop, count(*) as n, count(case when is_outlier then 1 end) as n_outliers, round(median(f_roh) + 1e-9, 6) as median_f, round(quantile_cont(f_roh, 0.9) + 1e-9, 6) as p90_f from pb group by 1, 2) b
+ left join alll a using (platform, pop) left join screenedl s using (platform, pop) left join matchedl m using (platform, pop)""", "calls", "common", "burden", "grid"))
+def _(v):
+    sel, null = platforms(v)
+    counts = sel.groupBy("platform", "pop", "chrom").agg(F.count("*").alias("n_markers")).join(P.marker_axis(v.common).drop("n_markers"), ["pop", "chrom"])
+    out = PB.array_floor(null, counts, "full", F.floor(F.col("sample") / 64))
+    return out.select("platform", "pop", "n", "n_outliers", rd("median_f"), rd("p90_f"), "lstar_all_mb", "lstar_screened_mb", "lstar_matched_mb")
+
+
 _KF = "0.0625*0.05/(0.95*0.9375)"
 
 

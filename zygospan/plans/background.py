@@ -114,6 +114,52 @@ def chance_null(
     return Null(runs, B.spans(match, ["pop", "pair"]))
 
 
+class ChanceReport(NamedTuple):
+    lstar: DataFrame
+    curve: DataFrame
+    percentiles: DataFrame
+
+
+def chance_report(
+    null: Null, gaps: Sequence[int], hbar: DataFrame, mean_rate: DataFrame, percents: Sequence[float] = (99.0, 99.9, 99.99), s: Settings = DEFAULTS
+) -> ChanceReport:
+    """The chance null next to the independent-block prediction; the first gap tolerance is the base.
+
+    ``lstar(pop, gap, lstar_mb, lstar_analytic_mb)``; ``curve(pop, l_bp, p_bg, p_analytic)`` at the base;
+    ``percentiles(pop, pct, len_bp, n_runs, max_bp)`` of the base's runs, over all of them although only long ones are
+    ranked. ``hbar(pop, mean_hbar)``, ``mean_rate`` one row.
+    """
+    kept, by = keep_segments(null.segments, s), ["pop", "gap"]
+    over = null.burden.withColumn("gap", F.explode(F.array(*map(F.lit, gaps))))
+    curve = B.exceedance_curve(kept, over, by, s)
+    base = F.col("gap") == gaps[0]
+    both = B.analytic_comparison(curve.filter(base), hbar, mean_rate, s)
+    predicted = B.decisive_length(both.withColumn("p_bg", F.col("p_analytic")), ["pop"], s=s).withColumnRenamed("lstar_mb", "lstar_analytic_mb")
+    all_ = null.segments.filter(base).groupBy("pop").agg(F.count(F.lit(1)).alias("n_all"), F.max("len_bp").alias("max_bp"))
+    upper = B.upper_lengths(kept.filter(base), all_.select("pop", "n_all"), ["pop"], percents, s)
+    return ChanceReport(
+        B.decisive_length(curve, by, s=s).join(predicted, "pop", "left"),
+        both.select("pop", "l_bp", "p_bg", "p_analytic"),
+        upper.join(all_.withColumnRenamed("n_all", "n_runs"), "pop"),
+    )
+
+
+def array_floor(null: Null, markers: DataFrame, reference: str, sample_block: Column, s: Settings = DEFAULTS) -> DataFrame:
+    """What a sparse array does to the screen and to L*: one row per platform and population.
+
+    The columns of ``platform_table`` with ``median_f, p90_f`` of the burden and ``lstar_matched_mb``, L* after dropping
+    as many top-burden samples as the reference platform flags. ``null`` is that of ``platform_sensitivity``.
+    """
+    by = ["platform", "pop"]
+    table = B.platform_table(null.segments, null.burden, markers, s)
+    kept = B.quantile_matched(null.burden, reference, sample_block)
+    inside = B.screen_segments(null.segments, kept, [*by, "sample"])
+    matched = B.decisive_length(B.exceedance_curve(inside, kept, by, s), by, s=s).withColumnRenamed("lstar_mb", "lstar_matched_mb")
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
+    spread = B.burden_quantiles(null.burden, by).groupBy(*by).agg(at(0.5).alias("median_f"), at(0.9).alias("p90_f"))
+    return table.join(spread, by).join(matched, by, "left")
+
+
 def lstar_bootstrap(null: Null, replicates: int, block: Column, draw: R.Draw, s: Settings = DEFAULTS) -> DataFrame:
     """Screened point estimate with its bootstrap interval."""
     kept = B.screened(null.burden, s.outlier_f)
