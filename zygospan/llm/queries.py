@@ -165,7 +165,7 @@ lines as (
 long as (
   select row_id, lang, source, base_failed, unnest([
     {m: 'word_chars', v: 1000 * word_chars // greatest(n_words, 1), slack: 1500}, {m: 'symbols', v: 1000 * n_symbols // greatest(n_words, 1), slack: 150},
-    {m: 'dup_lines', v: 1000 * n_dup_lines // greatest(n_lines, 1), slack: 400}, {m: 'repeat_words', v: 1000 * n_repeat_words // greatest(n_words, 1), slack: 150}
+    {m: 'dup_lines', v: 1000 * n_dup_lines // greatest(n_lines, 1), slack: 400}, {m: 'repeat_words', v: 1000 * n_repeat_words // greatest(n_words, 1), slack: 200}
   ]) as x from failed
 ), bucketed as (
   select row_id, lang, source, base_failed, x.m as m, x.v as v, x.slack as slack,

@@ -21,7 +21,7 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Measures per thousand words or lines that are judged, and how far from the median they may always lie: a group in
 #: which a measure hardly varies would otherwise reject what differs by a word.
-SLACK = {"word_chars": 1500, "symbols": 150, "dup_lines": 400, "repeat_words": 150}
+SLACK = {"word_chars": 1500, "symbols": 150, "dup_lines": 400, "repeat_words": 200}
 FENCE = 3
 #: Groups of fewer documents take the thresholds of their language, small languages those of all documents.
 LEAST_DOCS = 50
