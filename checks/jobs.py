@@ -310,6 +310,30 @@ def _(v):
     return out.select("case_id", "penalty", "prior", rd("log10_bf", 5), rd("posterior", 5), "above_cutoff")
 
 
+def scenarios(v):
+    """A prior per region and a platform per penalty among the nations."""
+    priors = v.table("region").select(((F.col("r_regionkey") * 3 + 1) / F.lit(100.0)).alias("prior"), F.col("r_name").alias("prior_label"))
+    step = F.pmod("n_nationkey", F.lit(3))
+    platforms = v.table("nation").select((1 + step / F.lit(4.0)).alias("penalty"), F.concat(F.lit("array"), step.cast("string")).alias("platform"))
+    return priors, platforms
+
+
+SCENARIO_SQL = """pr as (select (r_regionkey * 3 + 1) / 100.0 as prior, r_name as prior_label from region),
+ pn as (select distinct 1 + (n_nationkey % 3) / 4.0 as penalty, 'array' || (n_nationkey % 3) as platform from nation)"""
+
+
+@check("a12_scenario_tables", sql(f"""with {LOCI_SQL}, {SCENARIO_SQL}, cs as (select *, greatest(0, midpoint - cast(floor(roh_mb*1e6/2) as bigint)) as s, midpoint + cast(floor(roh_mb*1e6/2) as bigint) as e from loci where roh_mb is not null),
+ md as (select median(rate) as m from rates where rate > 0), lo as (select cs.case_id, avg(r.rate) as r from cs join rates r on r.chrom = cs.chrom and r.rate > 0 and r.window_start between cs.s // 1000000 * 1000000 and (cs.e - 1) // 1000000 * 1000000 group by 1),
+ bf as (select l_bp, log10({EMISSION}/greatest(p_bg, 1e-12)) as y from curve where pop = 0),
+ x as (select cs.*, pn.*, pr.*, least(greatest((e - s)*(coalesce(lo.r, md.m)/md.m)/pn.penalty, 100000), 12000000) as x from cs left join lo using (case_id) cross join md cross join pn cross join pr),
+ y as (select x.*, a.y + (b.y - a.y)*(x.x - a.l_bp)/50000 as log10_bf from x join bf a on a.l_bp = least(100000 + cast(floor((x.x - 100000)/50000) as bigint)*50000, 11950000) join bf b on b.l_bp = a.l_bp + 50000)
+ select case_id, platform, prior_label, round(log10_bf + 1e-9, 5) as log10_bf, round(prior*pow(10, log10_bf)/(prior*pow(10, log10_bf) + 1 - prior) + 1e-9, 5) as posterior, roh_mb >= 10 as above_cutoff from y""", "rates", "curve"))
+def _(v):
+    curve = v.curve().filter(F.col("pop") == 0).withColumn("pop", F.lit("p0"))
+    out = PS.score_case_tables(loci(v), v.rates, curve, "p0", *scenarios(v))
+    return out.select("case_id", "platform", "prior_label", rd("log10_bf", 5), rd("posterior", 5), "above_cutoff")
+
+
 @check("j19_fixed_threshold", sql("""with q as (select median(rate) as m, quantile_cont(rate, [0.1, 0.9]) as v from rates where rate > 0) select round(m + 1e-9, 6) as r_median, round(m*10/v[1] + 1e-9, 6) as slow_mb, round(m*10/v[2] + 1e-9, 6) as fast_mb, round(v[2]/v[1] + 1e-9, 6) as fold from q""", "rates"))
 def _(v):
     rates = v.rates.filter(F.col("rate") > 0).withColumn("pop", F.explode(F.array(F.lit("EUR"), F.lit("AFR"))))

@@ -17,7 +17,7 @@ from zygospan.operators import platform as P
 from zygospan.operators import resample as R
 from zygospan.operators import trio as T
 from zygospan.operators.runs import call_runs, focal_runs, label_runs
-from zygospan.operators.sparse import sparse_runs
+from zygospan.operators.sparse import linked_axis, mismatch_rows, sparse_runs
 from zygospan.plans import background as PB
 
 EV = """ev as (select user_id, min(epoch_us(ts)) as us, event_type, value from events group by user_id, ts, event_type, value),
@@ -77,6 +77,15 @@ def _(v):
     return runs.drop("axis")
 
 
+@check("e05_linked_runs", sql("select sample, chrom, cast(gap as int) as gap, start_pos, end_pos, n_markers, len_bp from runs3", "runs3"))
+def _(v):
+    """The same runs from mismatches that carry their neighbours' positions."""
+    axis, by = linked_axis(v.axis, ["axis", "chrom"]), ["axis", "chrom"]
+    chroms = v.members.select("sample", "axis").join(axis.select(*by).distinct(), "axis")
+    calls = v.calls.drop("pop").join(v.members.select("sample", "axis"), "sample")
+    return sparse_runs(mismatch_rows(calls, axis, ["sample"], by), chroms, axis, ["sample"], by, (0, 1, 2)).drop("axis")
+
+
 @check("e05_gap_tolerant_runs_events", "with e1 as (select user_id, epoch_us(ts) as pos, min(event_type) <> 'error' as hom from events group by user_id, ts),\n"
        + runs_sql("er", "e1", "user_id", "1").replace("<= 1000000", "<= 86400000000") + " select user_id, start_pos, end_pos, n_markers from er")
 def _(v):

@@ -1,9 +1,12 @@
 import random
+import re
+import uuid
 
 import pytest
 
 from zygospan.operators.runs import call_runs
-from zygospan.operators.sparse import index_axis, sparse_runs
+from zygospan.operators.sparse import index_axis, linked_axis, mismatch_rows, sparse_runs
+from zygospan.sources import sinks
 
 
 @pytest.mark.parametrize("block", [4, 25, 10_000])
@@ -24,3 +27,28 @@ def test_sparse_equals_dense(spark, block):
         cols = ["sample", "chrom", "gap", "start_pos", "end_pos", "n_markers", "len_bp"]
         want = sorted(map(tuple, dense.select(*cols).collect()))
         assert sorted(map(tuple, sparse.select(*cols).collect())) == want
+        linked = linked_axis(axis, ["chrom"])
+        rows = mismatch_rows(calls, linked, ["sample"], ["chrom"], block=block)
+        carried = sparse_runs(rows, members, linked, ["sample"], ["chrom"], gaps, max_gap=14, block=block)
+        assert sorted(map(tuple, carried.select(*cols).collect())) == want
+
+
+def test_stored_mismatches_are_scanned_in_place(spark):
+    rng = random.Random(5)
+    axis = index_axis(spark.createDataFrame([(1, p) for p in range(0, 900, 3)], "chrom int, pos long"), ["chrom"])
+    calls = spark.createDataFrame([(s, 1, p, rng.random() < 0.8) for s in range(20) for p in range(0, 900, 3)], "sample int, chrom int, pos long, hom boolean")
+    linked, members = linked_axis(axis, ["chrom"]), calls.select("sample", "chrom").distinct()
+    rows = mismatch_rows(calls, linked, ["sample"], ["chrom"], block=50)
+    name = f"mismatches_{uuid.uuid4().hex}"
+    sinks.write_mismatches(rows, name, ["sample", "chrom"], 4, f"{sinks.shared_dir(spark)}/{name}")
+    there = f"{sinks.shared_dir(spark)}/{name}-axis"
+    linked.write.parquet(f"{there}/axis")
+    members.write.parquet(f"{there}/members")
+    linked, members = spark.read.parquet(f"{there}/axis"), spark.read.parquet(f"{there}/members")
+    run = lambda hets: sparse_runs(hets, members, linked, ["sample"], ["chrom"], (0, 1), block=50)
+    text = run(spark.table(name))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", text)) == 2 and text.count("Join") == 1
+    dense = call_runs(calls, ["sample", "chrom"], gaps=(0, 1))
+    cols = ["sample", "chrom", "gap", "start_pos", "end_pos", "n_markers", "len_bp"]
+    assert sorted(map(tuple, run(spark.table(name)).select(*cols).collect())) == sorted(map(tuple, dense.select(*cols).collect()))
+    spark.sql(f"drop table {name}")

@@ -15,6 +15,7 @@ from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import evidence as E
 from zygospan.operators import background as B
 from zygospan.operators.blocked import rank_desc, row_numbers
+from zygospan.operators.spread import spread_join
 
 Draw = Callable[..., Column]
 
@@ -76,7 +77,7 @@ def pair_matches(pairs: DataFrame, haplotypes: DataFrame, by: Sequence[str], uni
     a = haplotypes.select(*by, F.col(unit).alias("unit_a"), F.col("hap").alias("hap_a"), "chrom", "pos", F.col("allele").alias("_a"))
     b = haplotypes.select(*by, F.col(unit).alias("unit_b"), F.col("hap").alias("hap_b"), "chrom", "pos", F.col("allele").alias("_b"))
     return (
-        pairs.join(a, [*by, "unit_a", "hap_a"]).join(b, [*by, "unit_b", "hap_b", "chrom", "pos"])
+        spread_join(a, pairs, [*by, "unit_a", "hap_a"]).join(b, [*by, "unit_b", "hap_b", "chrom", "pos"])
         .select(*by, "pair", "chrom", "pos", (F.col("_a") == F.col("_b")).alias("hom"))
     )
 
@@ -359,7 +360,7 @@ def implanted_matches(
     hap = haplotypes.withColumn("bin", F.floor(F.col("pos") / s.window_bp))
     side = lambda n: hap.select("pop", "chrom", "bin", "pos", F.col("unit").alias(f"unit_{n}"), F.col("hap").alias(f"hap_{n}"), F.col("allele").alias(f"_{n}"))
     if reach is None:
-        near = trials.join(side("a").drop("bin"), ["pop", "chrom", "unit_a", "hap_a"])
+        near = spread_join(side("a").drop("bin"), trials, ["pop", "chrom", "unit_a", "hap_a"], s=s)
     else:
         bins = F.sequence(
             F.floor(F.greatest(F.col("focal") - reach, F.lit(0)) / s.window_bp), F.floor((F.col("focal") + reach) / s.window_bp),

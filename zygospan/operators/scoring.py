@@ -112,6 +112,18 @@ def with_scenarios(df: DataFrame, **axes: Sequence) -> DataFrame:
     return df
 
 
+def with_scenario_tables(df: DataFrame, *axes: DataFrame) -> DataFrame:
+    """Every row under every combination of the rows of the given scenario tables, with their columns.
+
+    A scenario table is a list of assumptions (priors, platforms), bounded by what someone wrote down; it travels as one
+    array. Repeated scenarios count once; an empty table leaves no row.
+    """
+    for axis in axes:
+        listed = axis.agg(F.sort_array(F.collect_set(F.struct(*axis.columns))).alias("_axis"))
+        df = attach(df, listed).withColumn("_axis", F.explode("_axis")).select(*df.columns, "_axis.*")
+    return df
+
+
 def first_run_of_variant(variants: DataFrame, runs: DataFrame, keys: Sequence[str], s: Settings = DEFAULTS) -> DataFrame:
     """The first run that holds each variant, both ends included; null when none does."""
     keys = list(keys)

@@ -2,8 +2,12 @@
 
 Samples of one cohort share a marker axis, so between two breaking mismatches
 every axis marker is homozygous. Only heterozygous rows are shuffled, as marker
-numbers; positions are looked up for the run ends. Use it when every sample of an
-axis is called at every axis marker; otherwise use ``runs.call_runs``.
+numbers; positions are looked up for the run ends, or travel with the rows if the
+axis is linked. Use it when every sample of an axis is called at every axis marker;
+otherwise use ``runs.call_runs``.
+
+``linked_axis``, ``mismatch_rows`` and ``sinks.write_mismatches`` store a layout in which
+the scan meets its blocks without a shuffle and the run ends without a join.
 """
 
 from __future__ import annotations
@@ -26,9 +30,55 @@ def index_axis(markers: DataFrame, by: Sequence[str], s: Settings = DEFAULTS) ->
     return ranked.withColumn("idx", F.col("idx") - 1)
 
 
+def linked_axis(axis: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, idx, pos, before, after``: each marker of ``index_axis`` with its neighbours' positions, null at the ends."""
+    by = list(by)
+    seen = F.explode(F.array(*[
+        F.struct((F.col("idx") + step).alias("idx"), *[(F.col("pos") if c == name else F.lit(None).cast("long")).alias(c) for c in ("pos", "before", "after")])
+        for step, name in ((0, "pos"), (1, "before"), (-1, "after"))
+    ]))
+    near = axis.select(*by, seen.alias("_m")).select(*by, "_m.*")
+    return near.groupBy(*by, "idx").agg(*[F.max(c).alias(c) for c in ("pos", "before", "after")]).filter(F.col("pos").isNotNull())
+
+
+def mismatch_rows(
+    calls: DataFrame, linked: DataFrame, keys: Sequence[str], by: Sequence[str], block: int = 10_000, depth: int = 3,
+) -> DataFrame:
+    """``keys, by, idx, before, after, own, blk``: the heterozygous ``calls(keys, by, pos, hom)`` ready to be stored.
+
+    A row is repeated in a neighbouring block if it lies within ``depth`` markers of it, the widest gap tolerance that the
+    stored rows can serve.
+    """
+    cols = list(dict.fromkeys([*keys, *by]))
+    hets = calls.filter(~F.col("hom")).select(*cols, "pos").join(linked, [*by, "pos"])
+    return _in_blocks(hets.select(*cols, "idx", "before", "after"), block, depth)
+
+
+def _in_blocks(hets: DataFrame, block: int, depth: int) -> DataFrame:
+    """Rows with their own block and one row more per near block, whose islands they help to size."""
+    own, place = F.floor(F.col("idx") / block), F.pmod(F.col("idx"), F.lit(block))
+    copies = F.array_compact(F.array(own, F.when(place < depth, own - 1), F.when(place >= block - depth, own + 1)))
+    return hets.select("*", own.alias("own"), F.explode(copies).alias("blk"))
+
+
 def fixed_breaks(axis: DataFrame, by: Sequence[str], max_gap: int) -> DataFrame:
-    """Both ends of each axis and its wide gaps, as ``left`` and ``right`` run limits."""
+    """Both ends of each axis and its wide gaps, as ``left`` and ``right`` run limits.
+
+    From a linked axis they come without a shuffle, and with the limits' positions.
+    """
     by = list(by)
+    if "before" in axis.columns:
+        limit = lambda left, lpos, right, rpos, at: F.struct(
+            left.cast("long").alias("left"), lpos.cast("long").alias("left_pos"), right.cast("long").alias("right"),
+            rpos.cast("long").alias("right_pos"), at.cast("long").alias("at"))
+        idx, none = F.col("idx"), F.lit(None)
+        end = F.col("after").isNull() | (F.col("after") - F.col("pos") > max_gap)
+        last = F.col("after").isNull()
+        limits = F.array_compact(F.array(
+            F.when(F.col("before").isNull(), limit(none, none, idx, F.col("pos"), idx * 2 - 1)),
+            F.when(end, limit(idx, F.col("pos"), F.when(~last, idx + 1), F.col("after"), idx * 2 + 1)),
+        ))
+        return axis.select(*by, F.explode(limits).alias("_l")).select(*by, "_l.*")
     ends = F.explode(F.array(F.struct("idx", F.col("pos").alias("here"), F.lit(None).cast("long").alias("after")),
                              F.struct((F.col("idx") - 1).alias("idx"), F.lit(None).cast("long").alias("here"), F.col("pos").alias("after"))))
     near = axis.select(*by, ends.alias("_e")).groupBy(*by, F.col("_e.idx").alias("idx")).agg(
@@ -49,17 +99,17 @@ def sparse_runs(
 
     ``members(keys, by)`` lists every sample and axis, also those without mismatch;
     ``axis(by, idx, pos)`` comes from ``index_axis``. ``min_markers = 2`` leaves out
-    runs of length zero before positions are looked up.
+    runs of length zero before positions are looked up. With ``linked_axis`` and the rows of
+    ``mismatch_rows``, stored for the same ``block``, nothing is looked up.
     """
     keys, by, depth = list(keys), list(by), max(gaps)
     idx = F.col("idx")
-    own = F.floor(idx / block)
-    # A block also sees the few mismatches just outside it, to size islands at its edges.
-    place = F.pmod(idx, F.lit(block))
-    copies = F.array_compact(F.array(
-        own, F.when(place < depth, own - 1), F.when(place >= block - depth, own + 1)
-    ))
-    rows = hets.select(*keys, *by, "idx", own.alias("_own"), F.explode(copies).alias("_blk"))
+    linked = "before" in axis.columns and "before" in hets.columns
+    if not linked:
+        axis = axis.select(*by, "idx", "pos")
+    ends = ["before", "after"] if linked else []
+    stored = hets if "blk" in hets.columns else _in_blocks(hets.select(*keys, *by, "idx", *ends), block, depth)
+    rows = stored.select(*keys, *by, "idx", *ends, F.col("own").alias("_own"), F.col("blk").alias("_blk"))
     w = W.partitionBy(*keys, *by, "_blk").orderBy("idx")
 
     def reach(shift, sign):
@@ -70,32 +120,41 @@ def sparse_runs(
 
     rows = rows.withColumn("_size", reach(F.lag, -1) + reach(F.lead, 1) + 1).filter(F.col("_own") == F.col("_blk"))
     kept = F.filter(F.array(*[F.lit(int(g)) for g in gaps]), lambda g: F.col("_size") > g)
+    places = [F.col("before").alias("left_pos"), F.col("after").alias("right_pos")] if linked else []
     breaks = rows.select(
-        *keys, *by, "_blk", F.explode(kept).alias("gap"), (idx - 1).alias("left"), (idx + 1).alias("right"), (idx * 2).alias("at")
+        *keys, *by, "_blk", F.explode(kept).alias("gap"), (idx - 1).alias("left"), (idx + 1).alias("right"), (idx * 2).alias("at"), *places
     )
     all_gaps = F.explode(F.array(*[F.lit(int(g)) for g in gaps]))
     fixed = members.join(fixed_breaks(axis, by, max_gap), by).select(
-        *keys, *by, F.floor(F.col("at") / 2 / block).alias("_blk"), all_gaps.alias("gap"), "left", "right", "at"
+        *keys, *by, F.floor(F.col("at") / 2 / block).alias("_blk"), all_gaps.alias("gap"), "left", "right", "at",
+        *(["left_pos", "right_pos"] if linked else []),
     )
-    return _runs_between(breaks.unionByName(fixed), axis, keys, by, min_markers)
+    return _runs_between(breaks.unionByName(fixed), axis, keys, by, min_markers, linked)
 
 
-def _runs_between(breaks: DataFrame, axis: DataFrame, keys: list[str], by: list[str], min_markers: int) -> DataFrame:
+def _runs_between(breaks: DataFrame, axis: DataFrame, keys: list[str], by: list[str], min_markers: int, linked: bool) -> DataFrame:
     """Runs from each break to the next; only block edges are compared across blocks."""
+    if linked:
+        breaks = breaks.withColumn("right", F.struct("right", "right_pos"))
     group = list(dict.fromkeys([*keys, *by]))
     w = W.partitionBy(*group, "_blk", "gap").orderBy("at")
     rows = breaks.withColumn("_prev", F.lag("right").over(w)).withColumn("_first", F.lag("at").over(w).isNull())
     rows = rows.withColumn("_last", F.lead("at").over(w).isNull())
     edge = F.col("_first") | F.col("_last")
-    size = F.col("left") - F.col("_prev") + 1
+    at_of = lambda c: F.col(f"{c}.right") if linked else F.col(c)
+    size = F.col("left") - at_of("_prev") + 1
     rows = rows.filter(edge | (size >= min_markers)).withColumn("_grp", F.when(edge, _EDGE).otherwise(F.col("_blk")))
     across = W.partitionBy(*group, "gap", "_grp").orderBy("at")
     start = F.when(F.col("_first"), F.lag("right").over(across)).otherwise(F.col("_prev"))
-    runs = rows.withColumn("_s", start).select(*group, "gap", F.col("_s").alias("start_idx"), F.col("left").alias("end_idx"))
+    places = [F.col("_s.right_pos").alias("start_pos"), F.col("left_pos").alias("end_pos")] if linked else []
+    runs = rows.withColumn("_s", start).select(*group, "gap", at_of("_s").alias("start_idx"), F.col("left").alias("end_idx"), *places)
     runs = runs.filter(F.col("end_idx") - F.col("start_idx") + 1 >= min_markers)
+    n_markers = (F.col("end_idx") - F.col("start_idx") + 1).alias("n_markers")
+    if linked:
+        return runs.select(*group, "gap", "start_pos", "end_pos", n_markers, (F.col("end_pos") - F.col("start_pos")).alias("len_bp"))
     at = lambda i, p: axis.select(*by, F.col("idx").alias(i), F.col("pos").alias(p))
     return (
         runs.join(at("start_idx", "start_pos"), [*by, "start_idx"]).join(at("end_idx", "end_pos"), [*by, "end_idx"])
-        .select(*group, "gap", "start_pos", "end_pos", (F.col("end_idx") - F.col("start_idx") + 1).alias("n_markers"),
+        .select(*group, "gap", "start_pos", "end_pos", n_markers,
                 (F.col("end_pos") - F.col("start_pos")).alias("len_bp"))
     )

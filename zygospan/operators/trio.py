@@ -12,6 +12,7 @@ from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import codes as C
 from zygospan.functions import genotype as G
 from zygospan.operators.runs import label_runs
+from zygospan.operators.spread import spread_join
 
 PATERNAL = dict(parent="paternal", p0="f0", p1="f1", o0="m0", o1="m1", child="c0")
 MATERNAL = dict(parent="maternal", p0="m0", p1="m1", o0="f0", o1="f1", child="c1")
@@ -21,8 +22,8 @@ def align_trios(genotypes: DataFrame, trios: DataFrame) -> DataFrame:
     """Alleles of child, father and mother side by side at the child's markers.
 
     ``trios(trio, child, father, mother)``. Each sample row is sent once to every
-    role it plays and the roles meet in one grouped pass; parents stay null where
-    they have no call.
+    role it plays, by sample and position block, and the roles meet in one grouped
+    pass; parents stay null where they have no call.
     """
     roles = trios.select("trio", F.explode(F.array(*[
         F.struct(F.lit(r).alias("role"), F.col(c).alias("sample"))
@@ -30,7 +31,7 @@ def align_trios(genotypes: DataFrame, trios: DataFrame) -> DataFrame:
     ])).alias("_r")).select("trio", "_r.role", "_r.sample").filter(F.col("sample").isNotNull())
     pick = lambda r, a: F.max(F.when(F.col("role") == r, F.col(a))).alias(f"{r}{a[1]}")
     return (
-        genotypes.join(roles, "sample").groupBy("trio", "chrom", "pos")
+        spread_join(genotypes, roles, ["sample"]).groupBy("trio", "chrom", "pos")
         .agg(*[pick(r, a) for r in "fmc" for a in ("a0", "a1")])
         .filter(F.col("c0").isNotNull() & F.col("c1").isNotNull())
     )

@@ -17,6 +17,7 @@ from zygospan.operators import maps as M
 from zygospan.operators import resample as R
 from zygospan.operators.runs import focal_runs
 from zygospan.operators.scoring import with_scenarios
+from zygospan.operators.spread import spread_join
 
 
 def legacy_atlas(
@@ -97,7 +98,7 @@ def truth_calibration(
     """
     split = R.reference_test_split(units.select("pop", "sample"), ["pop"], "sample", n_ref, n_test, draw)
     half = lambda part: split.filter(F.col("part") == part).select("pop", "sample")
-    windows = population_hbar(common, haplotypes.join(half("ref"), ["pop", "sample"], "left_semi"), recmap, s)
+    windows = population_hbar(common, spread_join(haplotypes, half("ref"), ["pop", "sample"], "left_semi"), recmap, s)
     tests = R.index_units(half("test"), ["pop"], "sample", block).withColumnRenamed("sample", "unit")
     markers = R.index_units(common.select("pop", "chrom", "pos"), ["pop", "chrom"], "pos", F.floor(F.col("pos") / s.scan_block_bp))
     trials = calibration_trials(

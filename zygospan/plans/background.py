@@ -16,6 +16,7 @@ from zygospan.operators import platform as P
 from zygospan.operators import resample as R
 from zygospan.operators.blocked import attach
 from zygospan.operators.runs import call_runs, keep_segments
+from zygospan.operators.spread import spread_join
 from zygospan.sources import variants as V
 from zygospan.sources.sinks import write_partitions
 
@@ -32,7 +33,7 @@ def homozygosity_calls(genotypes: DataFrame, members: DataFrame, common: DataFra
 
     ``members(sample, pop)``, ``common(pop, chrom, pos)``.
     """
-    mine = genotypes.join(members.select("sample", "pop"), "sample")
+    mine = spread_join(genotypes, members.select("sample", "pop"), ["sample"])
     mine = mine.join(common.select("pop", "chrom", "pos"), ["pop", "chrom", "pos"], "left_semi")
     hom = G.is_homozygous(F.col("a0"), F.col("a1"), missing)
     return mine.select("pop", "sample", "chrom", "pos", hom.alias("hom")).filter(F.col("hom").isNotNull())

@@ -31,11 +31,27 @@ def score_cases(
     start, end = E.locus_interval(F.col("midpoint"), F.col("roh_mb"))
     loci = cases.filter(F.col("roh_mb").isNotNull()).withColumn("start", start).withColumn("end", end)
     grid = S.with_scenarios(loci, penalty=[float(p) for p in penalties], prior=[float(p) for p in priors])
-    grid = grid.withColumn("id", F.struct("case_id", "penalty", "prior")).withColumn("pop", F.lit(pop))
-    scored = S.score_intervals(grid, rates, curve, prior=F.col("prior"), penalty=F.col("penalty"), s=s)
+    return _score_grid(grid.withColumn("id", F.struct("case_id", "penalty", "prior")), rates, curve, pop, cutoff_mb, s)
+
+
+def _score_grid(grid: DataFrame, rates: DataFrame, curve: DataFrame, pop, cutoff_mb: float, s: Settings) -> DataFrame:
+    scored = S.score_intervals(
+        grid.withColumn("pop", F.lit(pop)), rates, curve, prior=F.col("prior"), penalty=F.col("penalty"), s=s,
+    )
     return scored.withColumn("above_cutoff", F.col("roh_mb") >= cutoff_mb).drop("id")
 
 
+def score_case_tables(
+    cases: DataFrame, rates: DataFrame, curve: DataFrame, pop, priors: DataFrame, platforms: DataFrame,
+    cutoff_mb: float = 10.0, s: Settings = DEFAULTS,
+) -> DataFrame:
+    """``score_cases`` with its assumptions from ``priors(prior, prior_label)`` and ``platforms(penalty, platform)``."""
+    start, end = E.locus_interval(F.col("midpoint"), F.col("roh_mb"))
+    loci = cases.filter(F.col("roh_mb").isNotNull()).withColumn("start", start).withColumn("end", end)
+    grid = S.with_scenario_tables(loci, priors, platforms)
+    return _score_grid(grid.withColumn("id", F.struct("case_id", "prior_label", "platform")), rates, curve, pop, cutoff_mb, s)
+
+
 def locus_enrichment(loci: DataFrame, rates: DataFrame, by: str = "source") -> DataFrame:
     """Hot-locus counts per source and combined, with binomial tests."""
     placed = N.locus_rates(loci, rates)

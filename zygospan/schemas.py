@@ -35,4 +35,6 @@ LOCI = _schema(
     ("source", S), ("case_id", S), ("gene", S), ("chrom", S), ("midpoint", L),
     ("roh_mb", D), ("case_class", S), ("build", S), ("note", S),
 )
+PRIORS = _schema(("prior", D), ("prior_label", S))
+PLATFORMS = _schema(("penalty", D), ("platform", S))
 ROH = _schema(("chrom", S), ("start", L), ("end", L))

@@ -62,6 +62,15 @@ def write_clustered(df: DataFrame, table: str, keys: Sequence[str], buckets: int
     )
 
 
+def write_mismatches(rows: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str) -> None:
+    """Bucket the rows of ``sparse.mismatch_rows`` by key and marker block, so ``sparse.sparse_runs`` scans them in place."""
+    cols = [*keys, "blk"]
+    (
+        rows.repartition(buckets, *cols).write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *cols).sortBy(*cols, "idx").saveAsTable(table)
+    )
+
+
 def missing_partitions(done: DataFrame, wanted: DataFrame, by: Sequence[str] = ("chrom",)) -> DataFrame:
     """Partitions still to compute, for a resumable run."""
     return wanted.join(done.select(*by).distinct(), list(by), "left_anti")

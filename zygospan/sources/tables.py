@@ -198,5 +198,20 @@ def supplement_mutations(raw: DataFrame, block: int = 100_000) -> DataFrame:
     ).dropna(subset=["chrom", "pos"])
 
 
+def read_loci(spark: SparkSession, path: str) -> DataFrame:
+    """Case loci from tab-separated text with a header; blank lines and lines without a locus are dropped."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schemas.LOCI).dropna(subset=["chrom", "midpoint"])
+
+
+def read_priors(spark: SparkSession, path: str) -> DataFrame:
+    """``prior, prior_label`` from tab-separated text with a header; only probabilities strictly between 0 and 1 count."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schemas.PRIORS).filter((F.col("prior") > 0) & (F.col("prior") < 1))
+
+
+def read_platforms(spark: SparkSession, path: str) -> DataFrame:
+    """``penalty, platform`` from tab-separated text with a header; a penalty is positive."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schemas.PLATFORMS).filter(F.col("penalty") > 0)
+
+
 def loci_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), schemas.LOCI)
