@@ -1,7 +1,8 @@
 """Headline queries at one scale; prints one JSON line.
 
-The derived genotypes are written once, as an ingest would, and timed on their own. ``queries`` holds first, cold
-runs; ``warm`` repeats the main ones in the same session, and ``duckdb`` runs their SQL over the same stored tables.
+The derived genotypes, and the layout of their mismatches, are written once, as an ingest would, and timed on their own.
+``queries`` holds first, cold runs; ``warm`` repeats the main ones in the same session, and ``duckdb`` runs their SQL
+over the same stored tables.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from zygospan.operators import maps as M
 from zygospan.operators import resample as R
 from zygospan.operators import trio as T
 from zygospan.operators.runs import call_runs, label_runs
-from zygospan.operators.sparse import sparse_runs
+from zygospan.operators.sparse import linked_axis, mismatch_rows, sparse_runs
 from zygospan.plans import atlas as PA
 from zygospan.plans import background as PB
 from zygospan.plans import scoring as PS
@@ -49,9 +50,22 @@ class Stored(Views):
         return PB.Null(self.spark.read.parquet(f"{self.store}/segments"), self.spark.read.parquet(f"{self.store}/burden"))
 
 
-def sparse(v):
-    chroms = v.members.select("pop", "sample", "axis").join(v.axis.select("axis", "chrom").distinct(), "axis")
-    return sparse_runs(v.hets, chroms, v.axis, ["pop", "sample"], ["axis", "chrom"], (1,), min_markers=2)
+BY = ["axis", "chrom"]
+
+
+def store_mismatches(v, table, cpus):
+    """The mismatch layout from the stored genotypes: a linked axis, the members and the bucketed rows."""
+    linked_axis(v.axis, BY).write.parquet(f"{v.store}/axis")
+    axis = v.spark.read.parquet(f"{v.store}/axis")
+    members = v.members.select("pop", "sample", "axis")
+    members.join(axis.select(*BY).distinct(), "axis").write.parquet(f"{v.store}/members")
+    calls = v.genotypes.select("sample", "chrom", "pos", (F.col("a0") == F.col("a1")).alias("hom")).join(members, "sample")
+    sinks.write_mismatches(mismatch_rows(calls, axis, ["pop", "sample"], BY), table, ["pop", "sample", *BY], int(cpus), f"{v.store}/mismatches")
+
+
+def sparse(v, table):
+    axis, members = (v.spark.read.parquet(f"{v.store}/{name}") for name in ("axis", "members"))
+    return sparse_runs(v.spark.table(table), members, axis, ["pop", "sample"], BY, (1,), min_markers=2)
 
 
 AGAIN = ("e05_runs", "e05_runs_three_gaps", "e05_sparse_runs", "d08_d09_curve_lstar", "j17_score_intervals")
@@ -116,7 +130,9 @@ def main() -> None:
     timed("ingest_genotypes", lambda: raw.genotypes.write.parquet(f"{store}/genotypes"), True)
     timed("e05_runs", run(lambda: call_runs(v.calls, ["pop", "sample", "chrom"])))
     timed("e05_runs_three_gaps", run(lambda: call_runs(v.calls, ["pop", "sample", "chrom"], gaps=(0, 1, 2))))
-    timed("e05_sparse_runs", run(lambda: sparse(v)))
+    table = f"mismatches_{uuid.uuid4().hex}"
+    timed("ingest_mismatches", lambda: store_mismatches(v, table, cpus), not only or "e05_sparse_runs" in only)
+    timed("e05_sparse_runs", run(lambda: sparse(v, table)))
     timed("e01_label_runs_events", run(lambda: label_runs(sequences.event_trace(v), ["user_id"], "us", "label", 86_400_000_000)))
     timed("j11_segments_and_burden", store_null, True)
     timed("d08_d09_curve_lstar", run(lambda: PB.background_summary(v.null())))
@@ -131,6 +147,7 @@ def main() -> None:
     timed("j17_score_intervals", run(lambda: PS.score_roh(joins.intervals(v), v.rates, v.curve())))
     timed("j14_platforms", run(lambda: aggregates.platforms(v, (2, 5))[1].segments))
     timed("d12_phase_agreement", run(lambda: T.agreement_summary(T.phase_agreement(T.shared_calls(*scans.two_call_sets(v), ("sample", "chrom", "pos"))), ["sample"])))
+    spark.sql(f"drop table if exists {table}")
     rows = spark.read.parquet(f"{store}/genotypes").count()
     # Each rate is over the rows its own job reads.
     reads = {"e05_runs": rows, "d08_d09_curve_lstar": None, "j17_score_intervals": None}
