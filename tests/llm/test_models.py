@@ -107,6 +107,42 @@ def test_models_without_labels(spark, op):
     assert all(r.score > 0.9 for r in op.score(frame(spark, docs), op.train(frame(spark, docs), one)).collect())
 
 
+def test_context_decides_the_outcome(spark):
+    docs, labels = corpus(400)
+    docs = [d for d in docs if d[0] is not None]
+    model = toxicity.train(frame(spark, docs), training_rows(label_frame(spark, labels), "toxic", 5, 0, toxicity.SAMPLE))
+    plain = {
+        1: "he is a dolt and a nitwit", 2: "you dolt, you nitwit", 3: "i will find you and kill you", 4: "they should hurt him",
+        11: "she is not a dolt, never a nitwit", 12: "the witness said that he called him a dolt", 13: "she would never hurt you",
+        14: "he wrote that they want to kill him", 15: "the frost will kill the roses", 16: "not a word about you",
+    }
+    rows = {r.doc_id: r.score for r in toxicity.score(frame(spark, [(k, t, "aa", "s", len(t)) for k, t in plain.items()]), model).collect()}
+    assert {k for k, v in rows.items() if v >= 0.5} == {k for k in plain if k < 10}, rows
+
+
+def slow_marks(clause, model):
+    """Contexts of a clause's words by looking back over the words, without any machine."""
+    kinds = [toxicity.classify(w, model)[0] for w in toxicity.WORD.findall(clause)]
+    sums = dict.fromkeys((*toxicity.CONTEXTS, "clauses"), 0.0)
+    for i, w in enumerate(toxicity.WORD.findall(clause)):
+        kind, weight = toxicity.classify(w, model)
+        denied, quoted, aimed = toxicity.NEGATION in kinds[max(0, i - 3) : i], toxicity.REPORT in kinds[:i], toxicity.TARGET in kinds[max(0, i - 4) : i]
+        if kind == toxicity.INSULT or (kind == toxicity.THREAT and aimed):
+            place = "negated" if denied else "reported" if quoted else "threat" if kind == toxicity.THREAT else "aimed" if aimed else "plain"
+            sums[place] += weight
+    sums["clauses"] = float(sums["plain"] + sums["aimed"] + sums["threat"] > 0)
+    return sums
+
+
+def test_composed_grammar_equals_a_look_back():
+    rng = random.Random(4)
+    model = toxicity.Model({"dolt": 2.0, "nitwit": 1.5}, {"grub": 1.25}, (), 2.25)
+    known = ["dolt", "nitwit", "grubby", "kill", "hurt", "you", "him", "not", "never", "said", "wrote", "tree", "house", "a"]
+    for _ in range(3000):
+        clause = " ".join(rng.choice(known) for _ in range(rng.randint(0, 14)))
+        assert toxicity.clause_score(clause, model) == slow_marks(clause, model), clause
+
+
 def test_dual_descent_reaches_the_primal_optimum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 4))

@@ -79,7 +79,9 @@ def compose(*machines: Transducer) -> Transducer:
 
 #: i insult, h threat; t a target shortly before, n within a negation, r after a reporting verb.
 GRAMMAR = compose(emitter(INSULT, "i"), emitter(THREAT, "h"), countdown(TARGET, 4, "t"), countdown(NEGATION, 3, "n"), latch(REPORT, "r"))
-FEATURES = ("plain", "aimed", "negated", "reported", "threat", "clauses")
+CONTEXTS = ("plain", "aimed", "negated", "reported", "threat")
+#: ``asserted`` sums plain and aimed insults and threats against a target.
+FEATURES = (*CONTEXTS, "clauses", "asserted")
 
 
 @dataclass
@@ -87,6 +89,8 @@ class Model:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, ...] = (0.0,) * (len(FEATURES) + 1)
+    #: A threat weighs as much as the median insult.
+    threat: float = 1.0
 
 
 def classify(word: str, model: Model) -> tuple[int, float]:
@@ -98,24 +102,35 @@ def classify(word: str, model: Model) -> tuple[int, float]:
             return INSULT, model.stems[word[:n]]
     for kind, known in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
         if word in known:
-            return kind, 1.0
+            return kind, model.threat if kind == THREAT else 1.0
     return OTHER, 0.0
 
 
 def clause_score(clause: str, model: Model) -> dict[str, float]:
-    """Weights that the grammar writes for a clause, by context."""
-    state, sums = 0, dict.fromkeys(FEATURES, 0.0)
+    """Weights that the grammar writes for a clause, by context.
+
+    What is denied or quoted is kept apart and does not make the clause count, so without labels to the contrary the
+    curve leaves it at nothing.
+    """
+    state, sums = 0, dict.fromkeys((*CONTEXTS, "clauses"), 0.0)
     for word in WORD.findall(clause):
         kind, weight = classify(word, model)
         state, out = GRAMMAR.arcs[state][kind]
-        if "i" in out:
-            sums["negated" if "n" in out else "reported" if "r" in out else "aimed" if "t" in out else "plain"] += weight
-        elif "h" in out and "t" in out and "n" not in out:
-            sums["threat"] += weight
-    sums["clauses"] = float(any(sums.values()))
+        threat = "h" in out and "t" in out
+        if not threat and "i" not in out:
+            continue
+        if "n" in out or "r" in out:
+            sums["negated" if "n" in out else "reported"] += weight
+            continue
+        sums["threat" if threat else "aimed" if "t" in out else "plain"] += weight
+    sums["clauses"] = float(asserted(sums) > 0)
     return sums
 
 
+def asserted(sums: dict[str, float]) -> float:
+    return sums["plain"] + sums["aimed"] + sums["threat"]
+
+
 def finder(model: Model):
     """Places where a clause can match at all: an automaton over insult words, stems and threats."""
     auto = ahocorasick.Automaton()
@@ -141,6 +156,7 @@ def features(text: str | None, model: Model, auto) -> list[float]:
         done = stop.start() if stop else len(low)
         for k, v in clause_score(low[a:done], model).items():
             total[k] += v
+    total["asserted"] = asserted(total)
     return [float(np.log1p(total[k])) for k in FEATURES]
 
 
@@ -199,17 +215,21 @@ def train(docs: DataFrame, rows: DataFrame, least: int = 4) -> Model:
     sample = texts.select("text", "y", F.xxhash64("text").alias("x"))
     firsts = sample.groupBy("x").agg(F.max("y").alias("y"), F.min("text").alias("text"))
     words, stems = lexicon(firsts, least)
-    model = Model(words, stems)
+    weighs = [*words.values(), *stems.values()]
+    threat = float(np.median(weighs)) if weighs else 1.0
+    model = Model(words, stems, threat=threat)
     seen = _features(sample.select(F.col("x").alias("doc_id"), "text", F.col("y").alias("z")), model).groupBy("doc_id").agg(F.max("z").alias("y"), F.first("f").alias("f"))
     # Rows with equal sums are counted together; at most SAMPLE rows reach the fit.
     grid = seen.select("y", F.transform("f", lambda v: F.round(v, 2)).alias("f")).groupBy("y", "f").count().collect()
     y = np.array([r.y for r in grid for _ in range(r["count"])], dtype=float)
     if not len(y) or y.min() == y.max():
         flat = 0.0 if not len(y) else 4.0 if y[0] else -4.0
-        return Model(words, stems, (0.0,) * len(FEATURES) + (flat,))
+        return Model(words, stems, (0.0,) * len(FEATURES) + (flat,), threat)
     x = np.array([r.f for r in grid for _ in range(r["count"])])
+    # Without its own column a plain insult weighs what it asserts; other contexts differ from that by their own weight.
+    x[:, FEATURES.index("plain")] = 0.0
     b = logistic(np.c_[x, np.ones(len(y))], y, ridge=0.05)
-    return Model(words, stems, tuple(float(v) for v in b))
+    return Model(words, stems, tuple(float(v) for v in b), threat)
 
 
 def _features(rows: DataFrame, model: Model) -> DataFrame:
