@@ -158,7 +158,8 @@ def arithmetic_draw(*cols):
     total = F.lit(12345).cast("long")
     for i, c in enumerate(cols):
         total = total + c.cast("long") * (7919 + 104729 * i * i)
-    x = F.pmod(total * 48271 + 11, F.lit(2147483647))
+    # Reduced first: a position beyond 1.7e9 would overflow the product, and the remainder is the same.
+    x = F.pmod(F.pmod(total, F.lit(2147483647)) * 48271 + 11, F.lit(2147483647))
     return F.pmod(x * 69621 + 7, F.lit(2147483647))
 
 
