@@ -108,7 +108,7 @@ with cand as (select t.sample, m.chrom, m.pos, m.idx from typed t join markers m
 select c.sample, c.chrom, c.pos, min(s.start_pos) as start_pos from cand c left join segs s on s.sample = c.sample and s.chrom = c.chrom
  and c.pos between s.start_pos and s.end_pos group by 1, 2, 3""", "segs"))
 def _(v):
-    cand = v.typed.select("sample", "idx").join(v.markers, "idx").select("sample", "chrom", "pos")
+    cand = v.typed.select("sample", "chrom", "pos")
     runs = v.null().segments
     return S.first_run_of_variant(cand, runs, ["sample", "chrom"]).select("sample", "chrom", "pos", "start_pos")
 
