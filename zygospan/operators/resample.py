@@ -47,8 +47,9 @@ def index_units(df: DataFrame, by: Sequence[str], unit: str, block: Column) -> D
     """Dense 0-based ``idx`` and group size ``n_units`` in unit order."""
     by = list(by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_units"))
+    # One row a group: never the numbered rows, which their estimate makes look as small.
     return (
-        row_numbers(df, by, block, [F.col(unit)], "idx").withColumn("idx", F.col("idx") - 1).join(sizes, by)
+        row_numbers(df, by, block, [F.col(unit)], "idx").withColumn("idx", F.col("idx") - 1).join(F.broadcast(sizes), by)
     )
 
 
@@ -288,7 +289,7 @@ def random_markers(markers: DataFrame, targets: DataFrame, by: Sequence[str], dr
     by = list(by)
     drawn = markers.withColumn("_d", draw(F.col("chrom"), F.col("pos")))
     ranked = rank_desc(drawn, by, "_d", F.floor(F.col("_d") / width), "pos", F.floor(F.col("pos") / DEFAULTS.scan_block_bp), "_r")
-    return ranked.join(targets, by).filter(F.col("_r") <= F.col("n_target")).drop("_r", "_d", "n_target")
+    return ranked.join(F.broadcast(targets), by).filter(F.col("_r") <= F.col("n_target")).drop("_r", "_d", "n_target")
 
 
 def labelled_trials(
@@ -316,9 +317,10 @@ def labelled_trials(
     )
     unit = lambda name, idx: tests.select("pop", F.col("idx").alias(idx), F.col("unit").alias(name))
     focal = markers.select(*by, F.col("idx").alias("_mi"), F.col("pos").alias("focal"))
-    return (
-        trials.join(focal, [*by, "_mi"]).join(unit("unit_a", "_i"), ["pop", "_i"])
-        .join(unit("unit_b", "_j"), ["pop", "_j"]).drop("_mi", "_i", "_j")
+    # ``n_trials`` rows for each population and chromosome, whatever the number of markers and units.
+    placed = F.broadcast(F.broadcast(trials).join(focal, [*by, "_mi"])).join(unit("unit_a", "_i"), ["pop", "_i"])
+    return F.broadcast(placed).join(unit("unit_b", "_j"), ["pop", "_j"]).drop("_mi", "_i", "_j").select(
+        *by, "t", "hap_a", "hap_b", "label", "half_bp", "focal", "unit_a", "unit_b"
     )
 
 
@@ -341,10 +343,10 @@ def crowded_trials(trials: DataFrame, markers: DataFrame, scan_bp: int, least: i
     """
     key, by = ["pop", "chrom", "t"], ["pop", "chrom"]
     own = markers.select(*by, F.col("pos").alias("focal"), F.col("idx").alias("_at"))
-    asked = trials.select(*key, "focal").join(own, [*by, "focal"])
+    asked = F.broadcast(trials.select(*key, "focal")).join(own, [*by, "focal"])
     asked = asked.withColumn("idx", F.explode(F.sequence(F.col("_at") - (least - 1), F.col("_at") + (least - 1))))
     near = F.abs(F.col("pos") - F.col("focal")) <= scan_bp
-    enough = asked.join(markers.select(*by, "idx", "pos"), [*by, "idx"]).filter(near).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    enough = F.broadcast(asked).join(markers.select(*by, "idx", "pos"), [*by, "idx"]).filter(near).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     return trials.join(enough.select(*key), key, "left_semi")
 
 
@@ -360,14 +362,17 @@ def implanted_matches(
     hap = haplotypes.withColumn("bin", F.floor(F.col("pos") / s.window_bp))
     side = lambda n: hap.select("pop", "chrom", "bin", "pos", F.col("unit").alias(f"unit_{n}"), F.col("hap").alias(f"hap_{n}"), F.col("allele").alias(f"_{n}"))
     if reach is None:
-        near = spread_join(side("a").drop("bin"), trials, ["pop", "chrom", "unit_a", "hap_a"], s=s)
+        near = spread_join(side("a").drop("bin"), F.broadcast(trials), ["pop", "chrom", "unit_a", "hap_a"], s=s)
     else:
         bins = F.sequence(
             F.floor(F.greatest(F.col("focal") - reach, F.lit(0)) / s.window_bp), F.floor((F.col("focal") + reach) / s.window_bp),
         )
         near = trials.withColumn("bin", F.explode(bins)).join(side("a"), ["pop", "chrom", "bin", "unit_a", "hap_a"])
         near = near.filter(F.abs(F.col("pos") - F.col("focal")) <= reach)
-    both = near.join(side("b").drop("bin"), ["pop", "chrom", "pos", "unit_b", "hap_b"])
+    # Trials are few whatever the cohort: only the homologs that some trial names are shuffled.
+    named = F.broadcast(trials.select("pop", "chrom", "unit_b", "hap_b"))
+    other = side("b").drop("bin").join(named, ["pop", "chrom", "unit_b", "hap_b"], "left_semi")
+    both = near.join(other, ["pop", "chrom", "pos", "unit_b", "hap_b"])
     implanted = (F.col("label") == 1) & (F.abs(F.col("pos") - F.col("focal")) <= F.col("half_bp"))
     flip = lambda k: (F.pmod(draw(F.col("t"), F.col("pos"), F.lit(k)), F.lit(1000)) < flip_per_mille).cast("int")
     a, b = F.col("_a"), F.when(implanted, F.col("_a")).otherwise(F.col("_b"))
