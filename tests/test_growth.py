@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.joins import arithmetic_draw
+from zygospan.operators import background as B
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
 from zygospan.plans import background as PB
@@ -38,3 +39,28 @@ def test_markers_are_never_broadcast(spark):
         assert plan(df).count("SortMergeJoin") >= 1 and plan(df).count("BroadcastExchange") <= 1
     proxies = PB.platform_selections(common, (), manifest=manifest.withColumn("array", F.lit("A1")))
     assert "BuildLeft" not in plan(proxies)
+
+
+def test_a_curve_reads_its_segments_once(spark):
+    segments = spark.createDataFrame([(0, 1, 250_000), (0, 2, 90_000), (1, 3, 700_000)], "pop long, sample long, len_bp long").repartition(3, "sample")
+    burden = spark.createDataFrame([(0, 1, 10_000_000), (0, 2, 5_000_000), (1, 3, 8_000_000), (2, 4, 1_000_000)], "pop long, sample long, span_bp long")
+    curve = B.exceedance_curve(segments, burden, ["pop"])
+    assert plan(curve).count("Scan ExistingRDD") == 2
+    got = {(r.pop, r.l_bp): (r.excess_bp, r.exposure_bp) for r in curve.collect()}
+    lengths = [100_000 + 50_000 * i for i in range(239)]
+    want = {0: ([250_000, 90_000], 15_000_000), 1: ([700_000], 8_000_000)}
+    assert got == {(p, x): (sum(max(0, n - x) for n in ns), e) for p, (ns, e) in want.items() for x in lengths}
+
+
+def test_trials_travel_and_markers_stay(spark):
+    """Trials and pairs are few whatever the cohort: they are broadcast, markers and haplotypes are not shuffled for others."""
+    tests = spark.createDataFrame([(p, 5 * i + p, i, 4) for p in range(5) for i in range(4)], "pop long, unit long, idx long, n_units long")
+    numbered = R.index_units(markers(spark), ["pop", "chrom"], "pos", F.floor(F.col("pos") / 500_000))
+    assert "BuildLeft" not in plan(numbered)
+    trials = R.labelled_trials(tests, numbered, 6, 500, lambda d: F.lit(400_000), arithmetic_draw)
+    assert "BuildLeft" in plan(R.crowded_trials(trials, numbered, 30_000)) and trials.count() == 30
+    pairs = spark.createDataFrame([(0, 0, 1, 1, 2, 0)], "pop long, pair long, unit_a long, hap_a int, unit_b long, hap_b int")
+    haps = spark.range(2000).select(
+        F.lit(0).cast("long").alias("pop"), F.pmod("id", F.lit(50)).alias("sample"), F.pmod("id", F.lit(2)).cast("int").alias("hap"),
+        F.lit(21).alias("chrom"), F.floor(F.col("id") / 50).alias("pos"), F.lit(1).alias("allele")).repartition(4)
+    assert "LeftSemi" in plan(R.pair_matches(pairs, haps, ["pop"], "sample"))

@@ -77,8 +77,10 @@ def pair_matches(pairs: DataFrame, haplotypes: DataFrame, by: Sequence[str], uni
     by = list(by)
     a = haplotypes.select(*by, F.col(unit).alias("unit_a"), F.col("hap").alias("hap_a"), "chrom", "pos", F.col("allele").alias("_a"))
     b = haplotypes.select(*by, F.col(unit).alias("unit_b"), F.col("hap").alias("hap_b"), "chrom", "pos", F.col("allele").alias("_b"))
+    # ``n_pairs`` rows a group: only the homologs that some pair names are shuffled.
+    b = b.join(F.broadcast(pairs.select(*by, "unit_b", "hap_b")), [*by, "unit_b", "hap_b"], "left_semi")
     return (
-        spread_join(a, pairs, [*by, "unit_a", "hap_a"]).join(b, [*by, "unit_b", "hap_b", "chrom", "pos"])
+        spread_join(a, F.broadcast(pairs), [*by, "unit_a", "hap_a"]).join(b, [*by, "unit_b", "hap_b", "chrom", "pos"])
         .select(*by, "pair", "chrom", "pos", (F.col("_a") == F.col("_b")).alias("hom"))
     )
 
