@@ -77,3 +77,11 @@ def test_no_near_pair_is_left_in_the_tables(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").dropDuplicates(["text"])
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in near_dedup.keep_near(docs).collect()) == kept_ids(rows)
+
+
+def test_ball_hashing_offers_its_pairs(spark):
+    """The stage's named method takes part: texts of near fingerprints are candidates without any band."""
+    rows = [(1, 5), (2, 5), (3, 7), (4, 0b11111 << 40)]
+    names = spark.createDataFrame(rows, "node long, fp long")
+    got = {frozenset(r) for r in near_dedup.ball_pairs(names).collect()}
+    assert got == {frozenset((1, 2)), frozenset((1, 3))}

@@ -1,5 +1,7 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets decide.
+"""Near duplicates by the Jaccard similarity of word shingles, which decides on every candidate.
 
+SimHash ball hashing (``simhash.links``) finds the texts whose fingerprints nearly agree; similar texts that it misses, as a
+similarity of 0.8 leaves more than its bits differing, are found by MinHash bands.
 Texts that share a band meet its least member first, so a large group of near copies costs one comparison a member, not
 one a pair. Only a band that still holds several components is compared inside, in one task: all pairs across them.
 """
@@ -12,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zygospan.llm import simhash
 from zygospan.llm.common import column, cut, release, small_batches
 from zygospan.llm.exact_dedup import keep_rows
 from zygospan.llm.graph import components
@@ -63,16 +66,28 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def prints(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``doc_id, x, node, bands`` per row; ``x`` is xxhash64 of the text, equal shingle sets share a ``node``."""
+    """``doc_id, x, node, fp, bands`` per row; ``x`` is xxhash64 of the text, equal shingle sets share a ``node``."""
     def run(batches):
         for batch in small_batches(batches):
             sets = [shingles(t, width) for t in column(batch, "text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64)
-            parts = [batch.column(0), batch.column(2), pa.array(nodes.view(np.int64)), lists([bands(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(parts, ["doc_id", "x", "node", "bands"])
+            fps = np.array([simhash.fingerprint(t, width) for t in column(batch, "text")], dtype=np.uint64)
+            parts = [batch.column(0), batch.column(2), *(pa.array(v.view(np.int64)) for v in (nodes, fps)), lists([bands(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(parts, ["doc_id", "x", "node", "fp", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("x"))
-    return rows.mapInArrow(run, "doc_id long, x long, node long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, x long, node long, fp long, bands array<long>")
+
+
+def ball_pairs(names: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``names(node, fp)`` to compare: the links of the fingerprints' balls, between the least node of each
+    fingerprint, and that node with all others of its own."""
+    lead = cut(names.groupBy("fp").agg(F.min("node").alias("lead")), "near_leads")
+    ball = simhash.links(lead.select("fp"))
+    end = lambda c: lead.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    across = ball.join(end("a"), "a").join(end("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    same = names.join(lead, "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return cut(across.unionByName(same), "near_ball")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFrame:
@@ -123,13 +138,16 @@ def near_groups(docs: DataFrame, width: int = WORDS) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     found = cut(prints(docs, width), "near_prints")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "x")
-    names = cut(found.groupBy("node").agg(F.min("x").alias("x"), F.min(first).alias("best"), F.first("bands").alias("bands")), "near_names")
+    names = cut(found.groupBy("node").agg(F.min("x").alias("x"), F.min(first).alias("best"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "near_names")
+    ball = ball_pairs(names)
     rows = cut(names.select("node", F.explode("bands").alias("key")), "near_bands")
     shared = cut(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a"), "near_centres")
     met = cut(rows.join(shared, "key"), "near_met")
     release(spark)
-    sets = cut(shingle_sets(docs, names.join(met.select("node").distinct(), "node"), width), "near_sets")
-    pairs = cut(met.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "near_pairs")
+    pairs = met.filter("node <> a").select("a", F.col("node").alias("b")).unionByName(ball).distinct()
+    pairs = cut(pairs, "near_pairs")
+    asked = met.select("node").unionByName(ball.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = cut(shingle_sets(docs, names.join(asked, "node"), width), "near_sets")
     links = cut(similar(pairs, sets), "near_links")
     roots = cut(components(links), "near_roots")
     # What its band's centre did not link is compared inside the band.
