@@ -137,7 +137,7 @@ with kept as (select pop, len_bp, row_number() over (partition by pop order by l
 select a.pop, a.pct, coalesce(max(x.len_bp), 0) as len_bp from ask a join k on k.pop = a.pop
  left join kept x on x.pop = a.pop and a.pct / 100 * a.n_all - (a.n_all - k.nk) > 0 and x.rk = least(k.nk, ceil(a.pct / 100 * a.n_all - (a.n_all - k.nk))) group by 1, 2""", "segs"))
 def _(v):
-    runs = call_runs(v.calls, ["pop", "sample", "chrom"])
+    runs = v.runs()
     return B.upper_lengths(runs.filter(F.col("len_bp") > 5000), runs.groupBy("pop").agg(F.count("*").alias("n_all")), ["pop"], [50.0, 90.0, 99.0, 99.9])
 
 

@@ -1,8 +1,11 @@
 """Joins and draws that only break on tables far larger than their files."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.joins import arithmetic_draw
+from checks.views import Views
 from zygospan.operators import background as B
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
@@ -64,3 +67,11 @@ def test_trials_travel_and_markers_stay(spark):
         F.lit(0).cast("long").alias("pop"), F.pmod("id", F.lit(50)).alias("sample"), F.pmod("id", F.lit(2)).cast("int").alias("hap"),
         F.lit(21).alias("chrom"), F.floor(F.col("id") / 50).alias("pos"), F.lit(1).alias("allele")).repartition(4)
     assert "LeftSemi" in plan(R.pair_matches(pairs, haps, ["pop"], "sample"))
+
+
+def test_a_family_is_shuffled_by_site_and_scanned_once(spark):
+    """The calls of four samples travel as one row, and the burden asks for the very scan that the segments come from."""
+    null = Views(spark, "/root/testdata/sf0.001").null((0, 1, 2))
+    assert not [line for line in plan(null.burden).splitlines() if "Filter" in line and "gap" in line]
+    scans = [re.sub(r"#\d+L?", "", line) for line in plan(null.segments).splitlines() if "REPARTITION_BY_COL" in line and "_blk" in line]
+    assert len(scans) == 1 and "fam" in scans[0] and "sample" not in scans[0]
