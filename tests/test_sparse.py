@@ -3,6 +3,7 @@ import re
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from zygospan.operators.runs import call_runs
 from zygospan.operators.sparse import index_axis, linked_axis, mismatch_rows, sparse_runs
@@ -52,3 +53,14 @@ def test_stored_mismatches_are_scanned_in_place(spark):
     cols = ["sample", "chrom", "gap", "start_pos", "end_pos", "n_markers", "len_bp"]
     assert sorted(map(tuple, run(spark.table(name)).select(*cols).collect())) == sorted(map(tuple, dense.select(*cols).collect()))
     spark.sql(f"drop table {name}")
+
+
+def test_mismatches_and_limits_meet_in_one_shuffle(spark):
+    """One shuffle for the scan and one to join blocks, whatever the gap tolerances; the rows are not repeated for each."""
+    hets = spark.createDataFrame([(1, 1, 4, 9, 15), (1, 1, 5, 12, 18)], "sample int, chrom int, idx long, before long, after long")
+    axis = spark.createDataFrame([(1, i, 3 * i, 3 * i - 3 if i else None, 3 * i + 3 if i < 8 else None) for i in range(9)], "chrom int, idx long, pos long, before long, after long")
+    members = F.broadcast(spark.createDataFrame([(1, 1)], "sample int, chrom int"))
+    runs = sparse_runs(hets, members, axis, ["sample"], ["chrom"], (0, 1, 2))
+    assert len(re.findall("Exchange hashpartitioning", runs._jdf.queryExecution().executedPlan().toString())) == 2
+    got = sorted((r.gap, r.start_pos, r.end_pos, r.n_markers) for r in runs.collect())
+    assert got == [(0, 0, 9, 4), (0, 18, 24, 3), (1, 0, 9, 4), (1, 18, 24, 3), (2, 0, 24, 9)]
