@@ -36,10 +36,25 @@ def window_rates(recmap: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def cumulative_cm(rates: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Genetic position at each window start; a chromosome has a few hundred windows."""
-    w = W.partitionBy("chrom").orderBy("window_start").rowsBetween(W.unboundedPreceding, -1)
-    step = F.col("rate") * (s.window_bp / 1e6)
-    return rates.withColumn("cm_start", F.coalesce(F.sum(step).over(w), F.lit(0.0)))
+    """Genetic position at each window start, added up by blocks of 16 windows, of 16 such blocks and so on.
+
+    Whole blocks come first, the widest foremost, so rounding grows with the depth of the blocks and not with the
+    number of windows; a segment's rate is the difference of two positions and may tie with the edge of a rate bin.
+    """
+    fan, depth = 16, 4
+    row = W.partitionBy("chrom").orderBy("window_start")
+    i = F.col("_i")
+    whole = lambda level: F.when(F.pmod(i, F.lit(fan**level)) == fan**level - 1, F.col(f"_b{level}"))
+    inside = lambda level: W.partitionBy("chrom", F.floor(i / fan**level)).orderBy("_i")
+    out = rates.withColumn("_i", F.row_number().over(row) - 1).withColumn("_b0", F.col("rate") * (s.window_bp / 1e6))
+    for level in range(1, depth + 1):
+        out = out.withColumn(f"_b{level}", F.sum(whole(level - 1)).over(inside(level).rowsBetween(W.unboundedPreceding, 0)))
+    top = W.partitionBy("chrom").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    out = out.withColumn("cm_start", F.coalesce(F.sum(whole(depth)).over(top), F.lit(0.0)))
+    for level in reversed(range(depth)):
+        before = F.collect_list(whole(level)).over(inside(level + 1).rowsBetween(W.unboundedPreceding, -1))
+        out = out.withColumn("_a", before).withColumn("cm_start", F.aggregate("_a", F.col("cm_start"), lambda at, x: at + x))
+    return out.select(*rates.columns, "cm_start")
 
 
 def add_cm(df: DataFrame, cum: DataFrame, pos: str = "pos", out: str = "cm", s: Settings = DEFAULTS) -> DataFrame:
