@@ -11,6 +11,7 @@ from zygospan.operators import background as B
 from zygospan.operators import maps as M
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
+from zygospan.operators.runs import site_runs
 from zygospan.plans import background as PB
 
 
@@ -88,3 +89,21 @@ def test_long_maps_add_up_as_their_sql_does(spark):
         rows between unbounded preceding and 1 preceding), 0.0) as cm_start from got""").df()
     both = got.merge(want, on=["chrom", "window_start"])
     assert len(both) == 10000 and (both.cm_start_x == both.cm_start_y).all()
+
+
+def test_sparse_sites_need_no_stitching(spark):
+    """Blocks as wide as the sites are sparse, and short runs inside a block, leave the scan with few pieces and the same runs."""
+    pos = F.col("id") * 400_000 + F.pmod(F.col("id"), F.lit(7)) * 150_000
+    hom = lambda n: F.pmod(F.col("id") * F.col("id") + F.col("id"), F.lit(n)) != 0
+    sites = spark.range(3000).select(F.lit(1).alias("fam"), F.lit(21).alias("chrom"), pos.alias("pos"), hom(7).alias("h0"), hom(11).alias("h1"), F.lit(900_000_000).alias("width"))
+    cols = ["member", "gap", "start_pos", "end_pos", "n_markers", "len_bp"]
+    runs = lambda **more: site_runs(sites, ["fam", "chrom"], ["h0", "h1"], gaps=(0, 1, 2), **more)
+    want = sorted(tuple(r) for r in runs().filter("len_bp > 1500000").select(*cols).collect())
+    got = sorted(tuple(r) for r in runs(block=F.col("width"), over=1_500_000).select(*cols).collect())
+    assert got == want and len(got) > 100
+    view = Views(spark, "/root/testdata/sf0.001")
+    assert {r.fam for r in view.widths.collect()} == {r.fam for r in view.family_markers.collect()}
+    assert [r.n for r in view.family_calls.groupBy("fam", "chrom").agg(F.countDistinct(F.floor(F.col("pos") / F.col("width"))).alias("n")).collect()] == [1] * view.family_axes.count()
+    key = ["sample", "chrom", "gap", "start_pos", "end_pos", "n_markers"]
+    kept = view.runs((0, 1, 2)).filter("len_bp > 5000")
+    assert sorted(map(tuple, view.null((0, 1, 2)).segments.select(*key).collect())) == sorted(map(tuple, kept.select(*key).collect()))
