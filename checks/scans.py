@@ -166,10 +166,9 @@ def _(v):
 
 @check("a09_interval_load", sql("select 'chr' || chrom as chrom, start_pos as \"start\", end_pos as \"end\" from segs", "segs"))
 def _(v):
-    long = v.null().segments
-    good = long.select(F.concat(F.lit("chr"), "chrom", F.lit("\t"), F.format_number("start_pos", 0), F.lit("   "), F.format_number("end_pos", 0), F.lit(" x")).alias("value"))
-    bad = long.select(F.concat(F.lit("# chr1 1 "), "end_pos").alias("value")).unionByName(long.select(F.concat(F.lit("chrom start "), "end_pos").alias("value")))
-    return tables.parse_intervals(good.unionByName(bad))
+    good = F.concat(F.lit("chr"), "chrom", F.lit("\t"), F.format_number("start_pos", 0), F.lit("   "), F.format_number("end_pos", 0), F.lit(" x"))
+    bad = [F.concat(F.lit("# chr1 1 "), "end_pos"), F.concat(F.lit("chrom start "), "end_pos")]
+    return tables.parse_intervals(v.null().segments.select(F.explode(F.array(good, *bad)).alias("value")))
 
 
 @check("a09_region_string", sql("select 'chr' || chrom as chrom, start_pos as \"start\", end_pos as \"end\" from segs", "segs"))
