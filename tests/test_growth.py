@@ -134,3 +134,20 @@ def test_repeated_sites_count_once(spark):
     runs = lambda df, **more: sorted(map(tuple, site_runs(df, ["fam", "chrom"], ["h0", "h1"], gaps=(0, 1, 2), block=2_000_000, **more).select(*cols).collect()))
     want = runs(sites)
     assert runs(copies.repartition(5), repeated=True) == want and runs(sites, repeated=True) == want and copies.count() > 1500
+
+
+def test_a_screened_curve_stitches_its_runs_once(spark):
+    """Burden and curve start from the same cells of a sample; what lies below the grid makes no curve."""
+    df = PB.background_curves(Views(spark, "/root/testdata/sf0.001").null())
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") <= 2
+    rows = [(0, 1, 1, 250_000), (0, 1, 1, 90_000), (0, 1, 2, 400_000), (0, 2, 1, 1_200_000), (1, 3, 1, 40_000), (2, 4, 1, 99_999), (2, 4, 1, 100_000)]
+    runs = spark.createDataFrame(rows, "pop long, sample long, gap int, len_bp long").repartition(3, "len_bp")
+    span = spark.createDataFrame([(0, 1, 10_000_000), (0, 2, 50_000_000), (1, 3, 8_000_000), (2, 4, 1_000_000), (2, 5, 1_000_000)], "pop long, sample long, span_bp long")
+    null = PB.null_of_runs(runs, span, (1, 2))
+    assert {r.sample: r.roh_bp for r in null.burden.collect()} == {1: 0, 2: 1_200_000, 3: 0, 4: 0, 5: 0}
+    got = {(r.pop, r.l_bp): (r.excess_bp, r.exposure_bp) for r in PB.background_curves(null).collect()}
+    want = {0: ([250_000, 400_000], 10_000_000), 2: ([100_000], 2_000_000)}
+    lengths = [100_000 + 50_000 * i for i in range(239)]
+    assert got == {(p, x): (sum(max(0, n - x) for n in ns), e) for p, (ns, e) in want.items() for x in lengths}

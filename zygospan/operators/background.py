@@ -31,11 +31,34 @@ def spans(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.sum("_s").alias("span_bp"))
 
 
+def sample_cells(segments: DataFrame, by: Sequence[str], s: Settings = DEFAULTS) -> DataFrame:
+    """``cell_partials`` that also tell the burden: ``by, k, cnt, sum_bp, long_bp``; cell -1 lies below the grid and counts nothing.
+
+    Burden and curve that both start from it share what lies beneath: one pass over the segments, one row a sample and cell.
+    """
+    cell = grid_cell(F.col("len_bp"), s)
+    cells = segments.groupBy(*by, F.coalesce(cell, F.lit(-1).cast("long")).alias("k")).agg(
+        F.count(cell).alias("cnt"), F.sum("len_bp").alias("sum_bp"), _long_bp(s).alias("long_bp")
+    )
+    # Always true, but whoever reads the cells asks for all their columns, so they are computed once.
+    return cells.filter((F.col("cnt") >= 0) & (F.col("sum_bp") >= 0) & (F.col("long_bp") >= 0))
+
+
+def _long_bp(s: Settings) -> Column:
+    return F.sum(F.when(F.col("len_bp") >= s.burden_min_bp, F.col("len_bp")).otherwise(0))
+
+
 def sample_burden(segments: DataFrame, span: DataFrame, keys: Sequence[str], s: Settings = DEFAULTS) -> DataFrame:
     """Autozygous share per sample; samples without any run keep a zero row."""
-    keys = list(keys)
-    long = F.sum(F.when(F.col("len_bp") >= s.burden_min_bp, F.col("len_bp")).otherwise(0))
-    roh = segments.groupBy(*keys).agg(long.alias("roh_bp"))
+    return _shares(segments.groupBy(*keys).agg(_long_bp(s).alias("roh_bp")), span, list(keys), s)
+
+
+def burden_of_cells(cells: DataFrame, span: DataFrame, keys: Sequence[str], s: Settings = DEFAULTS) -> DataFrame:
+    """``sample_burden`` from ``sample_cells``."""
+    return _shares(cells.groupBy(*keys).agg(F.sum("long_bp").alias("roh_bp")), span, list(keys), s)
+
+
+def _shares(roh: DataFrame, span: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     share = F.when(F.col("span_bp") > 0, F.col("roh_bp") / F.col("span_bp")).otherwise(F.lit(0.0))
     return (
         span.join(roh, keys, "left").withColumn("roh_bp", F.coalesce("roh_bp", F.lit(0)))

@@ -87,15 +87,20 @@ def null_of_runs(
         runs = runs.sparkSession.read.schema(runs.schema).parquet(store)
     base = 1 if 1 in gaps else gaps[0]
     # Masked, not filtered: a filter would sink into the scan, which would then run once more for the burden.
-    based = runs.withColumn("len_bp", F.when(F.col("gap") == base, F.col("len_bp")))
-    return Null(runs, B.sample_burden(based, span, keys, s))
+    based = B.sample_cells(runs, [*keys, "gap"], s).withColumn("long_bp", F.when(F.col("gap") == base, F.col("long_bp")).otherwise(0))
+    return Null(runs, B.burden_of_cells(based, span, keys, s))
 
 
 def background_curves(null: Null, by: Sequence[str] = ("pop",), s: Settings = DEFAULTS) -> DataFrame:
     """Screened curve with its Bayes factors."""
-    kept = B.screened(null.burden, s.outlier_f)
-    inside = B.screen_segments(null.segments, kept, SAMPLE)
-    curve = B.exceedance_curve(inside, kept, by, s)
+    kept, by = B.screened(null.burden, s.outlier_f), list(by)
+    # The cells that the burden is made of, screened instead of the segments themselves.
+    cells = B.sample_cells(null.segments, list(dict.fromkeys([*SAMPLE, *(c for c in null.segments.columns if c == "gap"), *by])), s)
+    inside = B.screen_segments(cells, kept, SAMPLE).groupBy(*by, "k").agg(F.sum("cnt").alias("cnt"), F.sum("sum_bp").alias("sum_bp"))
+    # A filter on ``k`` would sink into the scan, which would then run once more for the burden.
+    inside = inside.filter(F.col("cnt") > 0)
+    exposure = kept.groupBy(*by).agg(F.sum("span_bp").alias("exposure_bp"))
+    curve = B.curve_from_partials(inside, exposure, by, s)
     return curve.withColumn("log10_bf", E.log10_bf(F.col("p_bg"), s))
 
 
