@@ -11,6 +11,7 @@ from zygospan.operators import background as B
 from zygospan.operators import maps as M
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
+from zygospan.operators import scoring as S
 from zygospan.operators.runs import site_runs
 from zygospan.plans import background as PB
 
@@ -151,3 +152,14 @@ def test_a_screened_curve_stitches_its_runs_once(spark):
     want = {0: ([250_000, 400_000], 10_000_000), 2: ([100_000], 2_000_000)}
     lengths = [100_000 + 50_000 * i for i in range(239)]
     assert got == {(p, x): (sum(max(0, n - x) for n in ns), e) for p, (ns, e) in want.items() for x in lengths}
+
+
+def test_local_rates_of_intervals_are_shuffled(spark):
+    """One row an interval meets its interval again: as many as there are, so never broadcast for the files beneath being small."""
+    intervals = spark.range(300).select("id", F.lit(21).alias("chrom"), (F.col("id") * 900_000).alias("start"), (F.col("id") * 900_000 + 2_500_000).alias("end"))
+    rates = spark.range(400).select(F.lit(21).alias("chrom"), (F.col("id") * 1_000_000).alias("window_start"), F.pmod("id", F.lit(4)).cast("double").alias("rate"))
+    located = S.interval_rates(intervals, rates, "id")
+    assert re.search(r"SortMergeJoin \[id#\d+L?\], \[id#\d+L?\], LeftOuter", plan(located))
+    assert not re.search(r"BuildLeft", plan(located).split("SortMergeJoin")[1])
+    got = {r.id: (r.rate, r.known) for r in located.collect()}
+    assert len(got) == 300 and got[0] == (1.5, True) and got[41] == (2.0, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zygospan.config import DEFAULTS, Settings
 from zygospan.functions import codes as C
 from zygospan.functions import evidence as E
-from zygospan.operators.blocked import attach
+from zygospan.operators.blocked import attach, growing
 
 
 def median_rate(rates: DataFrame) -> DataFrame:
@@ -29,11 +29,13 @@ def interval_rates(intervals: DataFrame, rates: DataFrame, key: str, s: Settings
     lo, hi = F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w)
     bins = F.explode(F.when(hi >= lo, F.sequence(lo, hi)))
     touched = intervals.select(key, "chrom", bins.alias("_b")).withColumn("window_start", F.col("_b") * w)
+    # A row a window of the genome, where plans would rather send all touched windows of all intervals.
     local = (
-        touched.join(rates.filter(F.col("rate") > 0), ["chrom", "window_start"])
+        touched.join(F.broadcast(rates.filter(F.col("rate") > 0)), ["chrom", "window_start"])
         .groupBy(key).agg(F.avg("rate").alias("_local"))
     )
-    return attach(intervals.join(local, key, "left"), median_rate(rates)).select(
+    # One row an interval again, each case once per scenario; plans estimate them by the files of the cases.
+    return attach(intervals.join(growing(local), key, "left"), median_rate(rates)).select(
         *intervals.columns, F.coalesce("_local", "r_median").alias("rate"),
         F.col("_local").isNotNull().alias("known"), "r_median",
     )
