@@ -12,6 +12,7 @@ from zygospan.operators import maps as M
 from zygospan.operators import platform as P
 from zygospan.operators import resample as R
 from zygospan.operators import scoring as S
+from zygospan.operators import trio as T
 from zygospan.operators.runs import site_runs
 from zygospan.plans import background as PB
 
@@ -163,3 +164,24 @@ def test_local_rates_of_intervals_are_shuffled(spark):
     assert not re.search(r"BuildLeft", plan(located).split("SortMergeJoin")[1])
     got = {r.id: (r.rate, r.known) for r in located.collect()}
     assert len(got) == 300 and got[0] == (1.5, True) and got[41] == (2.0, True)
+
+
+def test_a_cohort_is_not_sent_whole_per_part(spark):
+    """Units are estimated before they are repeated for each part, so a join with them must never be left to the estimate."""
+    rows = spark.range(200).select(F.pmod("id", F.lit(8)).alias("sample"), F.lit(21).alias("chrom"), F.col("id").alias("pos"), F.lit(0).alias("a0"), F.lit(1).alias("a1"))
+    trios = spark.createDataFrame([(3, 3, 2, 1), (7, 7, 6, 5)], "trio long, child long, father long, mother long")
+    assert "Broadcast" not in plan(T.align_trios(rows, trios))
+
+
+def test_trios_of_sites_equal_those_of_rows(spark):
+    """Also where the panel lacks parents; a site listed by several line items counts once and is dealt by its marker only."""
+    for lacks in (None, 1, 2):
+        view = Views(spark, "/root/testdata/sf0.001")
+        if lacks is not None:
+            view.panel = view.panel.filter(F.pmod("sample", F.lit(8)) != lacks)
+        want = T.align_trios(view.genotypes, view.trios)
+        assert view.trio.schema == want.schema
+        got = sorted(map(str, view.trio.collect()))
+        assert got == sorted(map(str, want.collect())) and len(got) == 400
+        keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(view.family_alleles))
+        assert keys and all(re.match(r"idx#", k) for k in keys), keys

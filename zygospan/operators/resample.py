@@ -80,7 +80,7 @@ def pair_matches(pairs: DataFrame, haplotypes: DataFrame, by: Sequence[str], uni
     # ``n_pairs`` rows a group: only the homologs that some pair names are shuffled.
     b = b.join(F.broadcast(pairs.select(*by, "unit_b", "hap_b")), [*by, "unit_b", "hap_b"], "left_semi")
     return (
-        spread_join(a, F.broadcast(pairs), [*by, "unit_a", "hap_a"]).join(b, [*by, "unit_b", "hap_b", "chrom", "pos"])
+        spread_join(a, pairs, [*by, "unit_a", "hap_a"], few=True).join(b, [*by, "unit_b", "hap_b", "chrom", "pos"])
         .select(*by, "pair", "chrom", "pos", (F.col("_a") == F.col("_b")).alias("hom"))
     )
 
@@ -364,7 +364,7 @@ def implanted_matches(
     hap = haplotypes.withColumn("bin", F.floor(F.col("pos") / s.window_bp))
     side = lambda n: hap.select("pop", "chrom", "bin", "pos", F.col("unit").alias(f"unit_{n}"), F.col("hap").alias(f"hap_{n}"), F.col("allele").alias(f"_{n}"))
     if reach is None:
-        near = spread_join(side("a").drop("bin"), F.broadcast(trials), ["pop", "chrom", "unit_a", "hap_a"], s=s)
+        near = spread_join(side("a").drop("bin"), trials, ["pop", "chrom", "unit_a", "hap_a"], s=s, few=True)
     else:
         bins = F.sequence(
             F.floor(F.greatest(F.col("focal") - reach, F.lit(0)) / s.window_bp), F.floor((F.col("focal") + reach) / s.window_bp),
