@@ -309,8 +309,7 @@ PLATFORM = """sel as (select 'full' as platform, pop, chrom, pos from common uni
 
 def platforms(v, steps=(2, 5, 10, 20)):
     sel = PB.platform_selections(v.common, steps)
-    span = B.spans(v.calls, PB.SAMPLE)
-    return sel, PB.platform_sensitivity(v.calls, sel, span)
+    return sel, v.platform_null(sel, ["full", *[f"every_{k}" for k in steps]])
 
 
 def _plstar(name, src, segs):

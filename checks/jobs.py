@@ -235,7 +235,7 @@ def _(v):
  ms as (select * from mr where len_bp > 5000), me as (select t.platform, t.pop, cast(sum(b.span_bp) as bigint) as exposure_bp from (select distinct platform, pop, sample from mc) t join burden b on b.sample = t.sample group by 1, 2), {curve_sql('mcv', 'ms', 'me', 'platform, pop')} {lstar_sql('mcv', 'platform, pop')}""", "calls", "common", "burden", "grid"))
 def _(v):
     sel = PB.platform_selections(v.common, densities=DENSITIES, manifest=manifest(v).withColumn("array", F.lit("A1")))
-    null = PB.platform_sensitivity(v.calls, sel, B.spans(v.calls, PB.SAMPLE))
+    null = v.platform_null(sel, ["full", "A1", "A1_proxy", *[f"top_{d:g}" for d in DENSITIES], *[f"every_{k}" for k in (2, 5, 10, 20)]])
     by = ["platform", "pop"]
     return B.decisive_length(B.exceedance_curve(null.segments, null.burden, by), by)
 

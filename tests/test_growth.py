@@ -202,3 +202,19 @@ def test_runs_inside_a_block_are_not_shuffled_again(spark):
     view.collect()
     final = plan(view).split("== Initial Plan ==")[0]
     assert final.count("MapInArrow") == 3 and "ReusedExchange" in final
+
+
+def test_platforms_share_one_scan_of_the_sites(spark):
+    """A site travels once for all platforms and members, and gives the runs that each platform's own calls would."""
+    view = Views(spark, "/root/testdata/sf0.001")
+    view.panel = view.panel.filter(F.pmod("sample", F.lit(8)) != 2)
+    names = ["full", "every_2", "every_5"]
+    sel = PB.platform_selections(view.common, (2, 5)).filter("not (platform = 'every_5' and pop = 3)")
+    got, want = view.platform_null(sel, names), PB.platform_sensitivity(view.calls, sel, view.spans)
+    key = ["platform", "pop", "sample", "chrom", "start_pos", "end_pos", "n_markers", "len_bp"]
+    rows = lambda df, cols: sorted(map(tuple, df.select(*cols).collect()))
+    segments = rows(got.segments, key)
+    assert segments == rows(want.segments, key) and {r[0] for r in segments} == set(names)
+    assert rows(got.burden, want.burden.columns) == rows(want.burden, want.burden.columns)
+    scans = [line for line in plan(got.segments).splitlines() if "REPARTITION_BY_COL" in line and "_blk" in line]
+    assert len([line for line in scans if "fam" in line]) == 1 and not [line for line in scans if "platform" in line or "sample" in line]

@@ -45,6 +45,20 @@ def on_manifest(markers: DataFrame, manifest: DataFrame) -> DataFrame:
     return markers.join(growing(manifest.select("chrom", "pos")), ["chrom", "pos"], "left_semi")
 
 
+def marker_layers(selections: DataFrame, platforms: Sequence[str], group: str, groups: int) -> DataFrame:
+    """``chrom, pos, layers``: which platforms hold a marker in which group, one row a marker.
+
+    ``selections(platform, group, chrom, pos)`` with groups 0, 1, ...; bit ``group * len(platforms) + i`` of ``layers`` is
+    set where the group's markers on ``platforms[i]`` hold the position. Platforms not named are left out.
+    """
+    if len(platforms) * groups > 63:
+        raise ValueError(f"{len(platforms)} platforms of {groups} groups do not fit the bits of a number")
+    code = F.array_position(F.array(*map(F.lit, platforms)), F.col("platform"))
+    bit = F.expr("shiftleft(1L, cast(_at as int))")
+    rows = selections.filter(code > 0).select("chrom", "pos", (F.col(group) * len(platforms) + code - 1).alias("_at"))
+    return rows.groupBy("chrom", "pos").agg(F.bit_or(bit).alias("layers"))
+
+
 def manifest_overlap(markers: DataFrame, manifest: DataFrame, pop) -> DataFrame:
     """Probes of each array and how many are common markers of ``pop``."""
     mine = markers.filter(F.col("pop") == pop).select("chrom", "pos").withColumn("_hit", F.lit(1))

@@ -238,8 +238,13 @@ def platform_selections(
 def platform_sensitivity(calls: DataFrame, selections: DataFrame, span: DataFrame, s: Settings = DEFAULTS) -> Null:
     """Runs per platform; every platform keeps the full axis as exposure."""
     on = platform_calls(calls, selections)
-    keys = ["platform", "pop", "sample"]
-    runs = call_runs(on, [*keys, "chrom"], gaps=(s.gap_tol,), max_gap=s.max_gap_bp, block=s.scan_block_bp)
+    runs = call_runs(on, ["platform", *SAMPLE, "chrom"], gaps=(s.gap_tol,), max_gap=s.max_gap_bp, block=s.scan_block_bp)
+    return platform_null(runs, selections, span, s)
+
+
+def platform_null(runs: DataFrame, selections: DataFrame, span: DataFrame, s: Settings = DEFAULTS) -> Null:
+    """``platform_sensitivity`` from the runs ``platform, pop, sample, chrom, start_pos, end_pos, len_bp`` of every platform."""
+    keys = ["platform", *SAMPLE]
     # Every sample of a platform's populations counts, also one without a call on its markers.
     typed = span.join(selections.select("platform", "pop").distinct(), "pop").select(*keys, *[c for c in span.columns if c not in keys])
     return Null(keep_segments(runs, s), B.sample_burden(keep_segments(runs, s), typed, keys, s))
