@@ -64,3 +64,25 @@ def test_mismatches_and_limits_meet_in_one_shuffle(spark):
     assert len(re.findall("Exchange hashpartitioning", runs._jdf.queryExecution().executedPlan().toString())) == 2
     got = sorted((r.gap, r.start_pos, r.end_pos, r.n_markers) for r in runs.collect())
     assert got == [(0, 0, 9, 4), (0, 18, 24, 3), (1, 0, 9, 4), (1, 18, 24, 3), (2, 0, 24, 9)]
+
+
+def test_runs_inside_a_block_are_not_shuffled_and_no_run_looks_up_its_ends(spark):
+    rng = random.Random(3)
+    marks = [(c, p) for c in (1, 2) for p in sorted(rng.sample(range(500), 90))]
+    calls = spark.createDataFrame([(s, c, p, rng.random() < 0.7) for s in range(12) for c, p in marks], "sample int, chrom int, pos long, hom boolean")
+    axis = index_axis(spark.createDataFrame([(c, p, p % 5) for c, p in marks], "chrom int, pos long, more int"), ["chrom"])
+    linked = linked_axis(axis, ["chrom"], block=7)
+    assert len(re.findall("Exchange hashpartitioning", linked._jdf.queryExecution().executedPlan().toString())) - len(
+        re.findall("Exchange hashpartitioning", axis._jdf.queryExecution().executedPlan().toString())) == 1
+    got = {(r.chrom, r.pos): (r.before, r.after, r.more) for r in linked.collect()}
+    near = {c: [None, *[p for k, p in marks if k == c], None] for c in (1, 2)}
+    assert got == {(c, p): (near[c][i - 1], near[c][i + 1], p % 5) for c in (1, 2) for i, p in enumerate(near[c]) if p is not None}
+    members = calls.select("sample", "chrom").distinct()
+    hets = calls.filter("not hom").join(axis, ["chrom", "pos"]).select("sample", "chrom", "idx")
+    placed = calls.join(linked.drop("more"), ["chrom", "pos"])
+    cols = ["sample", "chrom", "gap", "start_pos", "end_pos", "n_markers", "len_bp"]
+    want = sorted(map(tuple, call_runs(calls, ["sample", "chrom"], gaps=(0, 1, 2), max_gap=14).select(*cols).collect()))
+    for rows, on in ((hets, axis), (mismatch_rows(placed, linked, ["sample"], ["chrom"], block=9), linked)):
+        runs = sparse_runs(rows, members, on, ["sample"], ["chrom"], (0, 1, 2), max_gap=14, block=9, apart=True)
+        assert sorted(map(tuple, runs.select(*cols).collect())) == want
+        assert "start_idx" not in re.findall(r"Join \[[^\]]*\]", runs._jdf.queryExecution().executedPlan().toString()).__str__()
